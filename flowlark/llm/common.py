@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,15 +13,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where the session names none (tests
+    on one machine) a temporary folder stands in."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    return _own_folder[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of spark.checkpoint.dir, so that later reads neither repeat the work nor
-    depend on an executor. A folder is chosen here only where the session names none (tests on one machine)."""
+    """``df`` written as a table in the shared folder and read back: later reads neither repeat the work nor depend on
+    an executor. The table goes when the driver's file system closes."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/flowlark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(df: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlark.llm import bpe, minhash
+from flowlark.llm import bpe, minhash, mpeg, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
 from flowlark.llm.common import read
 
 
@@ -28,8 +28,37 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.media_digests(read(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash}
+    found = (op1_bpe, op2_minhash, op4_quality, op5_suffix_dedup, op6_packing, op7_sharding, op8_url_filter, op9_mpeg, op10_secrets)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlark.llm import bpe, minhash, mpeg, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
+from flowlark.llm import bpe, html_extract, minhash, mpeg, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
 from flowlark.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bpe, op2_minhash, op4_quality, op5_suffix_dedup, op6_packing, op7_sharding, op8_url_filter, op9_mpeg, op10_secrets)
+    found = (op1_bpe, op2_minhash, op3_html, op4_quality, op5_suffix_dedup, op6_packing, op7_sharding, op8_url_filter, op9_mpeg, op10_secrets)
     return {f.__name__: f for f in found}
 
 

@@ -1,11 +1,71 @@
-"""A corpus pipeline of five stages; each is written as Parquet and read again before the next."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again before the next.
 
-STAGES = []
+Stages take and return the columns of documents, except the last, which returns the pieces of the packed sequences.
+Decisions are joined back by doc_id, so doc_ids must tell documents apart; a document whose doc_id is null is judged
+like any other, and rows that repeat a doc_id share its fate.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlark.llm import minhash, packing, quality, secret_scan, suffix_dedup
+from flowlark.llm.common import cut
+from flowlark.llm.queries import vocabulary
+
+#: SQL expresses neither the sketches nor the packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The documents that ``judged`` (doc_id, kept) keeps."""
+    kept = judged.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    return _only(docs, quality.judge(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    return _only(docs, minhash.near_duplicates(docs))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that also occur elsewhere go from the texts; n_chars follows."""
+    stripped = suffix_dedup.strip_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    out = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return stripped.withColumns(out).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; n_chars follows."""
+    masked = secret_scan.mask_secrets(docs)
+    out = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return masked.withColumns(out).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("suffix dedup", repeated_passages),
+    ("secret scans", secrets),
+    ("best-fit packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

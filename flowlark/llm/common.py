@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
     an executor. The table goes when the driver's file system closes."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/flowlark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

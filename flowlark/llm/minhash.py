@@ -146,14 +146,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _sizes_allow(a: str, b: str, percent: int):
+    """Sets of these sizes can be similar enough: an exact test that needs no set."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def near_duplicates(
-    df: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept, one row for
     each row of ``df``.
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of ``width``-word shingles. A pair at
-    the threshold misses all ``bands`` with a probability of (1 - 0.8^5)^40 = 1e-7. Texts without words (null, empty,
+    the threshold misses all ``bands`` with a probability of (1 - 0.8^7)^64 = 3e-7. Texts without words (null, empty,
     blank) have no shingles and are linked with nothing. Rows that repeat a doc_id are linked if their texts are; null
     doc_ids never count as the smallest, and in a component that has no other the id is null and all are kept. An
     empty table gives an empty table.
@@ -161,18 +166,16 @@ def near_duplicates(
     docs = documents(df, id_col=id_col, text_col=text_col)
     sign = cut(_signatures(docs, width, bands, rows))
     # equal sets are one node, whose number is a fingerprint of the set
-    nodes = sign.filter("set_id is not null").select(F.xxhash64("set_id").alias("node"), "rid", "doc_id", "keys")
+    nodes = sign.filter("set_id is not null").select(F.xxhash64("set_id").alias("node"), "rid", "doc_id", "n_shingles", "keys")
     first = nodes.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"))
     keyed = nodes.join(first.select("node", "rid"), ["node", "rid"], "left_semi").dropDuplicates(["node"]).select(
-        "node", F.posexplode("keys").alias("band", "key")
-    )
-    met = keyed.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("lead"))).alias("l")
+        "node", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key")
     )
-    crowded = met.filter("n > 1").select("band", "key", F.col("l.lead").alias("lead"))
-    members = cut(keyed.join(crowded, ["band", "key"]).select("band", "key", "node", "lead"))
-    pairs = members.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    pairs = cut(pairs)
+    met = keyed.groupBy("band", "key").agg(F.count("*").alias("met"), F.min_by("node", F.xxhash64("band", "node")).alias("lead"), F.min_by("n", F.xxhash64("band", "node")).alias("lead_n"))
+    crowded = met.filter("met > 1").select("band", "key", "lead", "lead_n")
+    members = cut(keyed.join(crowded, ["band", "key"]).select("band", "key", "node", "n", "lead", "lead_n"))
+    pairs = members.filter("node <> lead").filter(_sizes_allow("n", "lead_n", percent))
+    pairs = cut(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
     leaders = members.select("node").distinct()
     texts = cut(
         docs.select(row_key().alias("rid"), "text")
@@ -183,14 +186,15 @@ def near_duplicates(
     links = cut(_confirmed(pairs, texts, width, percent))
     roots = components(links)
     # what is left in a bucket besides its main component is held against the members of other components
-    seen = members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = seen.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("m")).filter("parts > 1")
-    split = cut(seen.join(main.select("band", "key", F.col("m.root").alias("main")), ["band", "key"]))
-    odd = split.filter("root <> main").select("band", "key", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    seen = members.join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = seen.groupBy("band", "key", "root").agg(F.count("*").alias("held"))
+    main = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("root", "held").alias("main")).filter("parts > 1")
+    split = cut(seen.join(main.select("band", "key", "main"), ["band", "key"]))
+    odd = split.filter("root <> main").select("band", "key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    others = split.select("band", "key", F.col("node").alias("y"), F.col("n").alias("y_n"), "root")
     more = (
-        odd.join(split.select("band", "key", F.col("node").alias("y"), "root"), ["band", "key"])
-        .filter("x_root <> root")
+        odd.join(others, ["band", "key"])
+        .filter(_sizes_allow("x_n", "y_n", percent) & F.expr("x_root <> root"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")

@@ -18,12 +18,13 @@ back, never gathered, so a passage in a third of all documents needs no task of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from flowlark.llm.common import arrow_rows, cut, documents, mix, row_key
 
@@ -153,38 +154,49 @@ def _utf8(value) -> bytes:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """core: the gram; hull: from the first byte of the farthest to the last of the nearest window that can belong to
-    an anchor; at: position << 32 | nearest << 16 | farthest."""
-    reach = length - gram + 1
+    """core: the gram's fingerprint; at: position << 32 | nearest << 16 | farthest."""
+
+    def batch(core, k, at):
+        return pa.record_batch([pa.array(core.view(np.int64)), pa.array(k), pa.array(at)], ["core", "k", "at"])
 
     def work(batches):
         for b in arrow_rows(batches, PART):
             texts = [_utf8(t) for t in b.column(2)]
             keys = b.column(0).to_numpy()
-            sizes = np.array([len(t) for t in texts])
             long: dict[int, list] = {}
             for data, valid, number, place, offset in _parts(texts, length, gram):
                 at, near, far, spans = anchors(data, valid, length, gram)
                 which = np.searchsorted(place, at, side="right") - 1
                 own, pos = number[which], at - place[which] + offset[which]
-                inside = (pos >= reach - 1) & (pos + length <= sizes[own])
-                k, packed = keys[own], pos << 32 | near << 16 | far
-                hull = _alone(k, packed)
-                hull[inside] = spans.of(at[inside] - reach + 1, at[inside] + length)
-                rows = spans.of(at, at + gram), hull, k, packed
-                if len(number) == 1 and sizes[number[0]] > PART:
-                    long.setdefault(int(number[0]), []).append((*rows, pos, near, far))
+                core = spans.of(at, at + gram)
+                if len(number) == 1 and len(texts[number[0]]) > PART:
+                    long.setdefault(int(number[0]), []).append((core, pos, near, far))
                 else:
-                    yield _batch(*rows)
-            for found in long.values():  # an anchor of windows on both sides of a seam counts once
-                core, hull, k, packed, pos, near, far = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield batch(core, keys[own], pos << 32 | near << 16 | far)
+            for i, found in long.items():  # an anchor of windows on both sides of a seam counts once
+                core, pos, near, far = (np.concatenate(x) for x in zip(*found, strict=True))
                 one, first, back = np.unique(pos, return_index=True, return_inverse=True)
                 lo, hi = np.full(len(one), 1 << 15), np.zeros(len(one), np.int64)
                 np.minimum.at(lo, back, near)
                 np.maximum.at(hi, back, far)
-                yield _batch(core[first], hull[first], k[first], one << 32 | lo << 16 | hi)
+                yield batch(core[first], np.full(len(one), keys[i]), one << 32 | lo << 16 | hi)
+
+    return docs.mapInArrow(work, "core long, k long, at long")
+
+
+def _hulls(length: int, gram: int):
+    """Gives anchors their hull: from the first byte of the farthest to the last of the nearest of their windows."""
+
+    def work(batches):
+        for b in arrow_rows(batches, PART):
+            for k, text, ats in zip(b.column(0).to_numpy(), b.column(2), _flat(b.column(3)), strict=True):
+                text, ats = _utf8(text), np.sort(ats)
+                for part, left, spans in _spans_in_parts(text, ats >> 32, 2 * length):
+                    pos, near, far = ats[part] >> 32, ats[part] >> 16 & 0xFFFF, ats[part] & 0xFFFF
+                    hull = spans.of(pos - far - left, pos - near + length - left)
+                    yield _batch(spans.of(pos - left, pos + gram - left), hull, np.full(len(pos), k), ats[part])
 
-    return docs.mapInArrow(work, _ROWS)
+    return work
 
 
 def _settle(rows: DataFrame, start, end) -> tuple[DataFrame, DataFrame]:
@@ -282,11 +294,14 @@ def repeated(docs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     the windows that start anywhere else too."""
     if not 0 < gram < length < 1 << 15:
         raise ValueError("0 < gram < length < 32768 is needed")
-    rows = cut(_anchor_rows(docs, length, gram))
+    # anchors are cheap to find again and many: they are not stored, only those which share their gram are
+    rows = _anchor_rows(docs, length, gram)
     alive = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    rows = cut(rows.join(alive, "core", "left_semi"))
-    pos, lo, more = F.shiftright("at", 32), F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    whole, divided = _settle(rows, pos - (length - gram), pos + length)
+    rows = cut(rows.join(alive, "core", "left_semi").select("k", "at"))
+    rows = _divide(docs, rows, _hulls(length, gram))
+    pos, near, far = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF), F.col("at").bitwiseAND(0xFFFF)
+    lo, more = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
+    whole, divided = _settle(rows, pos - far, pos - near + length)
     runs = _divide(docs, divided, _runs(length, gram, step))
     whole_runs, divided = _settle(runs, lo, lo + more + length)
     windows = _divide(docs, divided, _windows(length))
@@ -308,9 +323,14 @@ def merged(spans: np.ndarray, size: int) -> np.ndarray:
     return np.stack([start[new], upto[last]], axis=1)
 
 
-def _judged(df: DataFrame, length: int, gram: int, step: int, id_col: str, text_col: str) -> DataFrame:
-    docs = documents(df, id_col=id_col, text_col=text_col).select(row_key().alias("k"), "doc_id", "text")
-    return docs.join(repeated(docs, length, gram, step), "k", "left")
+def _judged(df: DataFrame, length: int, gram: int, step: int, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """k, doc_id, text, spans and the columns to carry, the latter as one."""
+    whole = documents(df, F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry"), id_col=id_col, text_col=text_col)
+    docs = whole.select(row_key().alias("k"), "doc_id", "text")
+    if not carry:
+        return docs.join(repeated(docs, length, gram, step), "k", "left")
+    spans = repeated(docs, length, gram, step)
+    return whole.select(row_key().alias("k"), "doc_id", "text", "carry").join(spans, "k", "left").select("k", "doc_id", "text", "spans", "carry")
 
 
 def _kept(text: bytes, runs: np.ndarray) -> list[bytes]:
@@ -349,19 +369,24 @@ def removal_digests(
 
 
 def strip_repeats(
-    df: DataFrame, length: int = 200, gram: int = 64, step: int = 12, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, length: int = 200, gram: int = 64, step: int = 12, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id, text without the bytes that removal_digests() counts, n_removed. A character cut in half at the edge of
-    a removed run goes as a whole; null texts stay null."""
+    """doc_id, text without the bytes that removal_digests() counts, and the columns ``carry``. A character cut in half
+    at the edge of a removed run goes as a whole; null texts stay null."""
 
     def work(batches):
         for b in arrow_rows(batches):
-            texts, gone = [], []
+            texts = []
             for t, spans in zip(b.column(2), _flat(b.column(3)), strict=True):
                 text = _utf8(t)
                 kept = _kept(text, merged(spans, len(text)))
                 texts.append("".join(p.decode("utf-8", "ignore") for p in kept) if t.is_valid else None)
-                gone.append(len(text) - sum(map(len, kept)))
-            yield pa.record_batch([b.column(1), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_removed"])
-
-    return _judged(df, length, gram, step, id_col, text_col).mapInArrow(work, "doc_id long, text string, n_removed long")
+            more = [b.column(4)] if carry else []
+            yield pa.record_batch([b.column(1), pa.array(texts, pa.string()), *more], ["doc_id", "text", "carry"][: 2 + len(more)])
+
+    kinds = {f.name: f.dataType for f in df.schema}
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    if carry:
+        schema.add("carry", StructType([StructField(c, kinds[c]) for c in carry]))
+    out = _judged(df, length, gram, step, id_col, text_col, carry).mapInArrow(work, schema)
+    return out.select("doc_id", "text", *(F.col(f"carry.`{c}`") for c in carry))

@@ -63,17 +63,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def ngrams(host: Column, path: Column, least: int = 3, most: int = 5) -> Column:
     """All character n-grams of host and path between end marks, each with its side in front."""
 
+    def of_length(text: Column, side: str, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+        return F.transform(starts, lambda i: F.concat(F.lit(side), F.substring(text, i, F.lit(n))))
+
     def of(text: Column, side: str) -> Column:
-        text = F.concat(F.lit("^"), text, F.lit("$"))
-        return F.concat(
-            *(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)),
-                    lambda i, n=n: F.concat(F.lit(side), F.substring(text, i, n)),
-                )
-                for n in range(least, most + 1)
-            )
-        )
+        marked = F.concat(F.lit("^"), text, F.lit("$"))
+        return F.concat(*(of_length(marked, side, n) for n in range(least, most + 1)))
 
     return F.concat(of(host, "h "), of(path, "p "))
 

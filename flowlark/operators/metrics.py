@@ -129,11 +129,11 @@ def curve(df: DataFrame, truth: Column, score: str) -> DataFrame:
     all_rows = Window.partitionBy()
     per = per.select(
         "span", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("sq").over(before), F.lit(0)).alias("q0"),
-        F.sum("sp").over(all_rows).alias("P"), F.sum("sq").over(all_rows).alias("Q"),
+        F.sum("sp").over(all_rows).alias("all_p"), F.sum("sq").over(all_rows).alias("all_q"),
     )
     upto = Window.partitionBy("span").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     run = spans.join(F.broadcast(per), "span").withColumns({"tp": F.col("p0") + F.sum("p").over(upto), "fp": F.col("q0") + F.sum("q").over(upto)})
-    return run.select("threshold", "tp", "fp", share(F.col("tp"), F.col("P")).alias("tpr"), share(F.col("fp"), F.col("Q")).alias("fpr"), share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    return run.select("threshold", "tp", "fp", share(F.col("tp"), F.col("all_p")).alias("tpr"), share(F.col("fp"), F.col("all_q")).alias("fpr"), share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def auc(df: DataFrame, truth: Column, score: str) -> DataFrame:

@@ -145,7 +145,7 @@ def additivity_gap(det: Detector, rows: DataFrame) -> float:
     """Largest difference between a probability and its bias plus contributions, over the rows of predict()."""
     f, k = len(fixed.FEATURES), len(det.classes)
     c = rows.select("proba", forests.contributions(det.nodes, k)(det.space.vector(rows)).alias("c"))
-    total = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(f)), F.lit(0.0), lambda a, i, j=j: a + F.get("c", i * k + j))
+    total = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(f)), F.lit(0.0), lambda a, i: a + F.get("c", i * k + j))
     return c.agg(F.max(F.greatest(F.lit(0.0), *(F.abs(F.get("proba", F.lit(j)) - total(j)) for j in range(k))))).first()[0] or 0.0
 
 

@@ -185,16 +185,24 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _hulls(length: int, gram: int):
-    """Gives anchors their hull: from the first byte of the farthest to the last of the nearest of their windows."""
+    """Gives anchors their hull: from the first byte of the farthest to the last of the nearest of their windows. Of
+    anchors of a text with the same gram and the same windows (the gram occurs twice in each) only the first stays, for
+    a hull counts once for each place."""
 
     def work(batches):
         for b in arrow_rows(batches, PART):
             for k, text, ats in zip(b.column(0).to_numpy(), b.column(2), _flat(b.column(3)), strict=True):
                 text, ats = _utf8(text), np.sort(ats)
-                for part, left, spans in _spans_in_parts(text, ats >> 32, 2 * length):
-                    pos, near, far = ats[part] >> 32, ats[part] >> 16 & 0xFFFF, ats[part] & 0xFFFF
-                    hull = spans.of(pos - far - left, pos - near + length - left)
-                    yield _batch(spans.of(pos - left, pos + gram - left), hull, np.full(len(pos), k), ats[part])
+                pos, near, far = ats >> 32, ats >> 16 & 0xFFFF, ats & 0xFFFF
+                lo, hi = pos - far, pos - near + length
+                core, hull = np.empty(len(ats), np.uint64), np.empty(len(ats), np.uint64)
+                for part, left, spans in _spans_in_parts(text, pos, 2 * length):
+                    core[part] = spans.of(pos[part] - left, pos[part] + gram - left)
+                    hull[part] = spans.of(lo[part] - left, hi[part] - left)
+                with np.errstate(over="ignore"):
+                    _, one = np.unique(mix(core + mix((lo << 32 | hi).astype(np.uint64))), return_index=True)
+                if len(one):
+                    yield _batch(core[one], hull[one], np.full(len(one), k), ats[one])
 
     return work
 

@@ -146,20 +146,27 @@ def _read_table(body: bytes) -> dict[str, object] | None:
 
 
 def demux(raw: bytes) -> Audio:
-    """Everything a stream holds; see the module's text. A header counts as found anew only if the next frame (or the
-    end) follows where it says. The variable-bitrate frame is not audio and counts in no figure but ``table``."""
+    """Everything a stream holds; see the module's text. A header counts only if the next frame (or the end) follows
+    where it says, or, as long as frames follow each other, if its checksum is right. The variable-bitrate frame is not audio and counts in no figure but ``table``."""
     tags, at = _read_tag(raw)
     table: dict[str, object] = {}
     data, offsets, bad, resyncs, skipped, rate, samples = [], [], 0, 0, 0, 0, 0
     lost, sums = False, {}
+
+    def sound(f: Frame) -> bool:
+        covered = raw[f.offset + 2 : f.offset + 4] + raw[f.offset + 6 : f.offset + f.data]
+        if covered not in sums:
+            if len(sums) > 4096:
+                sums.clear()
+            sums[covered] = crc16(covered)
+        return sums[covered] == int.from_bytes(raw[f.offset + 4 : f.offset + 6], "big")
+
     while at + 4 <= len(raw):
         f = header(raw, at)
         if f and f.size < f.data:
             f = None
-        if f and lost:
-            nxt = at + f.size
-            if nxt != len(raw) and header(raw, nxt) is None:
-                f = None
+        if f and at + f.size != len(raw) and header(raw, at + f.size) is None and (lost or not (f.protected and sound(f))):
+            f = None
         if f is None or at + f.size > len(raw):
             resyncs += not lost
             lost = True
@@ -171,12 +178,7 @@ def demux(raw: bytes) -> Audio:
         lost = False
         main = at + f.data
         if f.protected:
-            covered = raw[at + 2 : at + 4] + raw[at + 6 : main]
-            if covered not in sums:
-                if len(sums) > 4096:
-                    sums.clear()
-                sums[covered] = crc16(covered)
-            bad += sums[covered] != int.from_bytes(raw[at + 4 : at + 6], "big")
+            bad += not sound(f)
         body = raw[main : at + f.size]
         found = _read_table(body) if not offsets and not table else None
         if found:

@@ -166,15 +166,17 @@ def near_duplicates(
     docs = documents(df, id_col=id_col, text_col=text_col)
     sign = cut(_signatures(docs, width, bands, rows))
     # equal sets are one node, whose number is a fingerprint of the set
-    nodes = sign.filter("set_id is not null").select(F.xxhash64("set_id").alias("node"), "rid", "doc_id", "n_shingles", "keys")
-    first = nodes.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"))
-    keyed = nodes.join(first.select("node", "rid"), ["node", "rid"], "left_semi").dropDuplicates(["node"]).select(
-        "node", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key")
-    )
-    met = keyed.groupBy("band", "key").agg(F.count("*").alias("met"), F.min_by("node", F.xxhash64("band", "node")).alias("lead"), F.min_by("n", F.xxhash64("band", "node")).alias("lead_n"))
-    crowded = met.filter("met > 1").select("band", "key", "lead", "lead_n")
-    members = cut(keyed.join(crowded, ["band", "key"]).select("band", "key", "node", "n", "lead", "lead_n"))
-    pairs = members.filter("node <> lead").filter(_sizes_allow("n", "lead_n", percent))
+    nodes = sign.filter("set_id is not null").select(F.xxhash64("set_id").alias("node"), "rid", "doc_id", "n_shingles")
+    first = cut(nodes.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")))
+    # a key holds its band's number; of the rows of a node one gives the keys, and most keys are alone
+    one = sign.join(first.select("rid"), "rid", "left_semi").select(F.xxhash64("set_id").alias("node"), "keys")
+    keyed = one.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1").select("key")
+    members = keyed.join(met, "key", "left_semi").join(first.select("node", "n"), "node")
+    members = cut(members.select("key", "node", "n"))
+    leads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("turn"), "node", "n")).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"))
+    led = members.join(leads, "key")
+    pairs = led.filter("node <> lead").filter(_sizes_allow("n", "lead_n", percent))
     pairs = cut(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
     leaders = members.select("node").distinct()
     texts = cut(
@@ -186,14 +188,14 @@ def near_duplicates(
     links = cut(_confirmed(pairs, texts, width, percent))
     roots = components(links)
     # what is left in a bucket besides its main component is held against the members of other components
-    seen = members.join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = seen.groupBy("band", "key", "root").agg(F.count("*").alias("held"))
-    main = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("root", "held").alias("main")).filter("parts > 1")
-    split = cut(seen.join(main.select("band", "key", "main"), ["band", "key"]))
-    odd = split.filter("root <> main").select("band", "key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    others = split.select("band", "key", F.col("node").alias("y"), F.col("n").alias("y_n"), "root")
+    seen = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = seen.groupBy("key", "root").agg(F.count("*").alias("held"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", "held").alias("main")).filter("parts > 1")
+    split = cut(seen.join(main.select("key", "main"), "key"))
+    odd = split.filter("root <> main").select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    others = split.select("key", F.col("node").alias("y"), F.col("n").alias("y_n"), "root")
     more = (
-        odd.join(others, ["band", "key"])
+        odd.join(others, "key")
         .filter(_sizes_allow("x_n", "y_n", percent) & F.expr("x_root <> root"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()

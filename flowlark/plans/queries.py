@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowlark import fixed
 from flowlark.functions import columns as C
 from flowlark.operators import binning, features, fusion, metrics, rules
-from flowlark.operators.history import with_history
+from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
 from flowlark.sources import events as E
 from flowlark.sources import records
@@ -281,13 +281,26 @@ def q_history_rates(spark, sf_dir):
 @query("""select a.flow_id, count(b.flow_id) as prior from (select * from conn where flow_id % 50 = 0) a left join conn b on a.dst = b.dst and b.start_us >= a.start_us - 3600000000
     and (b.start_us < a.start_us or (b.start_us = a.start_us and b.flow_id < a.flow_id)) group by a.flow_id""")
 def q_range_join(spark, sf_dir):
-    """The window as a range join: both sides meet in time bins as long as the window."""
-    bin_us, df = 3_600_000_000, conn(spark, sf_dir).select("flow_id", "dst", "start_us")
-    a = df.filter("flow_id % 50 = 0").withColumn("bin", F.explode(F.array(F.floor(F.col("start_us") / bin_us), F.floor(F.col("start_us") / bin_us) - 1)))
-    b = df.select(F.col("flow_id").alias("b_id"), "dst", F.col("start_us").alias("b_us"), F.floor(F.col("start_us") / bin_us).alias("bin"))
-    near = "b_us >= start_us - 3600000000 and (b_us < start_us or (b_us = start_us and b_id < flow_id))"
-    found = a.join(b, ["dst", "bin"]).filter(near).groupBy("flow_id").agg(F.count("*").alias("n"))
-    return df.filter("flow_id % 50 = 0").join(found, "flow_id", "left").select("flow_id", F.coalesce("n", F.lit(0)).alias("prior"))
+    """The connections of q_range_join_all that the SQL asks for."""
+    return q_range_join_all(spark, sf_dir).filter("flow_id % 50 = 0")
+
+
+def prior_counts(df, window_us=3_600_000_000, spans=16):
+    """flow_id and prior: how many connections of the same dst started at most ``window_us`` before, those of the same
+    start being earlier if their flow_id is lower; one row for each row of ``df``. Pairs are never built. Without a dst
+    or a start nothing is prior."""
+    keyed = F.col("dst").isNotNull() & F.col("start_us").isNotNull()
+    rows = _dealt(df.filter(keyed).select("flow_id", "dst", "start_us"), "start_us", window_us, spans)
+    upto = Window.partitionBy("_span", "dst").orderBy("start_us").rangeBetween(-window_us, 0)
+    ties = Window.partitionBy("_span", "dst", "start_us").orderBy("flow_id").rangeBetween(0, Window.unboundedFollowing)
+    counted = rows.withColumn("prior", F.count("*").over(upto) - F.count("*").over(ties)).filter("_own").select("flow_id", "prior")
+    return counted.union(df.filter(~keyed).select("flow_id", F.lit(0).cast("long").alias("prior")))
+
+
+@query()
+def q_range_join_all(spark, sf_dir):
+    """The window range join (J2) of every connection, by windows over spans of time: no SQL, as DuckDB's join is of pairs."""
+    return prior_counts(conn(spark, sf_dir))
 
 
 @query("""with gaps as (select *, case when start_us - lag(start_us) over (partition by src order by start_us, flow_id) <= 7200000000 then 0 else 1 end as fresh from conn),

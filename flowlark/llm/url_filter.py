@@ -18,18 +18,17 @@ from pyspark.sql import functions as F
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 # The small labelled URL table: names of unwanted and of wanted hosts. labelled() puts them under the same prefixes,
-# domains and paths, so that only the names tell the two apart.
+# domains and paths, so that only the names tell the two apart. No name is taken from the tables that are judged.
 UNWANTED = (
-    "adult-x adult-video xxx-tube free-porn sexcam hot-sex adult-dating nude-pics porn-hub xxx porn adultshop casino-win online-casino "
-    "best-slots poker-bets betting-tips free-bets jackpot-casino roulette lotto-win cheap-pills viagra-shop pharma-discount replica-watches "
-    "payday-loans quick-cash warez keygen-crack torrent-movies phish-login free-prizes click-ads ads-track popads malware-download spam-offers "
-    "spam-farm escort-girls sexy-chat bet-casino xxx-videos spam bets pills ads casino"
+    "adult-video xxx-tube free-porn sexcam hot-sex adult-dating nude-pics porn-hub xxx porn adultshop online-casino "
+    "best-slots poker-bets betting-tips jackpot-casino roulette lotto-win viagra-shop pharma-discount replica-watches "
+    "payday-loans quick-cash warez keygen-crack torrent-movies phish-login free-prizes click-ads popads malware-download spam-offers "
+    "escort-girls sexy-chat bet-casino xxx-videos spam bets pills ads casino"
 ).split()
 WANTED = (
     "library daily-news gardens weather docs encyclopedia university museum city-council recipes travel science health-service school books "
     "bikes maps music cinema sports chess bank insurance post railway airport astronomy birds lessons history parks charity theatre theory "
-    "thesis nation station mentor blender cooking spring farm track winner video shop tips free-software open-source tionble tionsh ththon "
-    "ththre ththin thther ththth therst therea thndre ererbl onhean anesti ouring enten ththble reand ingly heorth theron tiontion"
+    "thesis nation station mentor blender cooking spring farm track winner video shop tips free-software open-source"
 ).split()
 PREFIXES, DOMAINS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "test")
 PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}?page=2&ref=x", "/{}", "/articles/{}", "")
@@ -80,7 +79,7 @@ def with_grams(urls: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """About 2,000 rows (url, label), label 1 for unwanted: every name with each prefix and domain, paths in turn."""
+    """About 1,500 rows (url, label), label 1 for unwanted: every name with each prefix and domain, paths in turn."""
     rows = []
     for label, names in ((1.0, UNWANTED), (0.0, WANTED)):
         for i, name in enumerate(names):

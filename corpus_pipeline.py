@@ -1,12 +1,14 @@
 """A corpus pipeline of five stages; each is written as Parquet and read again before the next.
 
 Stages take and return the columns of documents, except the last, which returns the pieces of the packed sequences.
-Decisions are joined back by doc_id, so doc_ids must tell documents apart; a document whose doc_id is null is judged
-like any other, and rows that repeat a doc_id share its fate.
+Each row is judged by itself: where decisions are joined back, rows are numbered and written first, and the numbers are
+the key. Rows whose doc_id is null or repeated are rows like any other; of rows repeated whole near dedup keeps one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +20,21 @@ from flowlark.llm.queries import vocabulary
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents that ``judged`` (doc_id, kept) keeps."""
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+def _only(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps; it gives (row, kept) of rows numbered as _row."""
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    kept = judge(numbered).filter("kept").select(F.col("row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
-    return _only(docs, quality.judge(docs))
+    return _only(docs, lambda d: quality.judge(d, row_col="_row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
-    return _only(docs, minhash.near_duplicates(docs))
+    return _only(docs, lambda d: minhash.near_duplicates(d, row_col="_row"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

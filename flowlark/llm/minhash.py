@@ -58,7 +58,7 @@ def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
 
 
 def _signatures(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """rid, doc_id, n_shingles, set_id (16 bytes, null for no shingles) and the keys of the bands."""
+    """rid, doc_id, row, n_shingles, set_id (16 bytes, null for no shingles) and the keys of the bands."""
 
     def work(batches):
         hashes = WordHashes()
@@ -81,12 +81,12 @@ def _signatures(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["rid", "doc_id", "n_shingles", "set_id", "keys"],
+                [b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["rid", "doc_id", "row", "n_shingles", "set_id", "keys"],
             )
 
-    return df.select(row_key().alias("rid"), "doc_id", "text").mapInArrow(
-        work, "rid long, doc_id long, n_shingles long, set_id binary, keys array<long>"
+    return df.select(row_key().alias("rid"), "doc_id", "text", "row").mapInArrow(
+        work, "rid long, doc_id long, row long, n_shingles long, set_id binary, keys array<long>"
     )
 
 
@@ -152,7 +152,7 @@ def _sizes_allow(a: str, b: str, percent: int):
 
 
 def near_duplicates(
-    df: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept, one row for
     each row of ``df``.
@@ -162,12 +162,17 @@ def near_duplicates(
     blank) have no shingles and are linked with nothing. Rows that repeat a doc_id are linked if their texts are; null
     doc_ids never count as the smallest, and in a component that has no other the id is null and all are kept. An
     empty table gives an empty table.
+
+    ``row_col`` names a number of each row, to be given back as row. Then exactly one row of each component is kept: the
+    one with the smallest doc_id (null last), and of those the one with the smallest number.
     """
-    docs = documents(df, id_col=id_col, text_col=text_col)
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    docs = documents(df, row, id_col=id_col, text_col=text_col)
     sign = cut(_signatures(docs, width, bands, rows))
     # equal sets are one node, whose number is a fingerprint of the set
-    nodes = sign.filter("set_id is not null").select(F.xxhash64("set_id").alias("node"), "rid", "doc_id", "n_shingles")
-    first = cut(nodes.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")))
+    nodes = sign.filter("set_id is not null").select(F.xxhash64("set_id").alias("node"), "rid", "doc_id", "row", "n_shingles")
+    turn = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = cut(nodes.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min(turn).alias("turn"), F.min("n_shingles").alias("n")))
     # a key holds its band's number; of the rows of a node one gives the keys, and most keys are alone
     one = sign.join(first.select("rid"), "rid", "left_semi").select(F.xxhash64("set_id").alias("node"), "keys")
     keyed = one.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
@@ -203,16 +208,14 @@ def near_duplicates(
     )
     links = links.union(cut(_confirmed(cut(more), texts, width, percent)))
     roots = components(links)
-    of_node = first.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = of_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = of_node.join(least, "root").select("node", "component_id")
+    of_node = first.join(roots, "node", "left").select("node", "doc_id", "turn", F.coalesce("root", "node").alias("root"))
+    least = of_node.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("turn").alias("turn"))
+    of_node = of_node.select("node", "root").join(least, "root").select("node", "component_id", F.col("turn.row").alias("kept_row"))
+    one_row = F.col("bare") | (F.col("row") == F.col("kept_row"))
     return (
-        sign.select("doc_id", "n_shingles", F.xxhash64("set_id").alias("node"), F.col("set_id").isNull().alias("bare"))
+        sign.select("row", "doc_id", "n_shingles", F.xxhash64("set_id").alias("node"), F.col("set_id").isNull().alias("bare"))
         .join(of_node, "node", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("bare"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .withColumn("component_id", F.when(F.col("bare"), F.col("doc_id")).otherwise(F.col("component_id")))
+        .withColumn("kept", one_row if row_col else F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(*(["row"] if row_col else []), "doc_id", "n_shingles", "component_id", "kept")
     )

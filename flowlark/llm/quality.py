@@ -64,13 +64,15 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _measured(df: DataFrame) -> DataFrame:
+    """Of (doc_id, lang, source, row, text) all but the text, and its counts."""
+
     def work(batches):
         hashes = WordHashes()
         for b in arrow_rows(batches):
-            counts = zip(*(measure(t.as_py(), hashes) for t in b.column(3)), strict=True)
-            yield pa.record_batch([*(b.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", "lang", "source", *_COUNTS])
+            counts = zip(*(measure(t.as_py(), hashes) for t in b.column(4)), strict=True)
+            yield pa.record_batch([*(b.column(i) for i in range(4)), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", "lang", "source", "row", *_COUNTS])
 
-    return df.mapInArrow(work, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return df.mapInArrow(work, "doc_id long, lang string, source string, row long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def _shares() -> dict[str, Column]:
@@ -117,16 +119,20 @@ def thresholds(measured: DataFrame, least: int = 200) -> DataFrame:
     return wide.select(*out)
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200) -> DataFrame:
+def judge(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200, row_col: str | None = None
+) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, one row for each row.
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows found twice or more in the text.
     kept: not base_failed, and every measure lies within the thresholds of the text's language and source. Null texts
     have no words and fail. Null languages and sources are groups like any other. Repeated rows are judged alike, extra
-    columns ignored; an empty table gives an empty table.
+    columns ignored; an empty table gives an empty table. ``row_col`` names a number of each row, to be given back as row.
     """
+    row = F.col(row_col) if row_col else F.lit(None)
     plain = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
+        row.cast("long").alias("row"), F.col(text_col).alias("text"),
     )
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = cut(_measured(plain)).withColumn("base_failed", base).withColumns(_shares())
@@ -140,5 +146,5 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return (
         measured.alias("m")
         .join(limits.alias("t"), on, "left")
-        .select("doc_id", *_COUNTS[:5], "base_failed", (~F.col("base_failed") & fits).alias("kept"))
+        .select(*(["row"] if row_col else []), "doc_id", *_COUNTS[:5], "base_failed", (~F.col("base_failed") & fits).alias("kept"))
     )

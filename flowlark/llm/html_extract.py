@@ -2,7 +2,8 @@
 
 Every paragraph passes points for its length and commas to its ancestors, less the further up they are. An element's
 score is discounted by the share of its text that is in links. The element with the best score is the article's
-container; those of its siblings are kept too that score well or read like paragraphs. Elements that are no part of an
+container, or the article or main element around it; those of its siblings are kept too that score well or hold text
+with few links. Elements that are no part of an
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) neither score nor show.
 """
 
@@ -214,11 +215,17 @@ def extract(html: str | None) -> str:
     best = max(range(n), key=lambda e: (score[e], e))
     if not score[best]:  # headings only, or links only
         best = next((e for e in range(n) if page.tag[e] == "body"), 0)
+    # an article is taken whole: its headline and its other parts are beside the best one
+    up = best
+    while up > 0:
+        if page.tag[up] in ("article", "main") and not outside[up]:
+            best = up
+        up = page.parent[up]
     chosen = {best}
     for e in range(1, n):
         if e != best and page.parent[e] == page.parent[best] and size[e] and not outside[e]:
             density = links[e] / size[e]
-            reads = page.tag[e] == "p" and (density < 0.25 if size[e] > 80 else density == 0)
+            reads = density < 0.25 if size[e] > 80 else density == 0
             if reads or score[e] >= max(10.0, 0.2 * score[best]):
                 chosen.add(e)
     inside = [False] * n

@@ -24,6 +24,22 @@ def test_html_keeps_the_article():
     assert html_extract.extract(PAGE).split("\n") == want
 
 
+@pytest.mark.parametrize("n", [2, 8, 30])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_keeps_what_stands_beside_the_best_part(n, around):
+    long = f"<p>{BODY} {BODY} {BODY}" * n
+    parts = f"<h1>Headline</h1><blockquote>Said, once</blockquote><div class=content>{long}</div><pre>x = 1</pre><ul><li>item</ul><section><h2>Part</h2><p>Short</section>"
+    page = f"<body><nav><a href=/>Home</a></nav><{around}>{parts}</{around}><footer>Footer</footer></body>"
+    want = ["Headline", "Said, once", *[f"{BODY} {BODY} {BODY}"] * n, "x = 1", "item", "Part", "Short"]
+    assert html_extract.extract(page).split("\n") == want
+
+
+def test_html_keeps_all_parts_of_an_article():
+    parts = "".join(f"<div><section><h2>Part {i}</h2>{f'<p>{BODY}' * k}</section></div>" for i, k in enumerate((1, 20, 2)))
+    got = html_extract.extract(f"<body><main><header><h1>Top</h1></header><article>{parts}</article></main></body>").split("\n")
+    assert got == ["Top", "Part 0", BODY, "Part 1", *[BODY] * 20, "Part 2", BODY, BODY]
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, 9), (2, None, "", 9), (3, "u", "plain, text, only", 9), (None, "u", "<p>a<p>b", 9), (5, "u", "<div" * 3000, 9), (6, "u", "<div>" * 3000 + BODY, 9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

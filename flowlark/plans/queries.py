@@ -12,6 +12,7 @@ from flowlark.functions import columns as C
 from flowlark.operators import binning, features, fusion, metrics, rules
 from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
+from flowlark.plans.detector import Detector
 from flowlark.sources import events as E
 from flowlark.sources import records
 
@@ -49,7 +50,7 @@ def hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule hits of single connections fused with stand-ins for the two models."""
+    """Rule hits of single connections fused with stand-ins for the two models, which SQL can compute; see detected()."""
     rows = rules.with_hits(conn(spark, sf_dir))
     rows = rows.withColumns(
         {
@@ -62,6 +63,12 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(rows)
 
 
+def detected(rows: DataFrame, **parameters) -> tuple[Detector, DataFrame]:
+    """The detector fitted to ``rows`` (connections with history and category) and their verdicts."""
+    det = Detector.fit(rows, **parameters)
+    return det, det.predict(rows)
+
+
 _STATE = {"n": "1", "e": "case when flag in ('s0','s1','s2','s3') then 1 else 0 end", "r": "case when flag in ('rej','rsto','rstr') then 1 else 0 end"}
 
 
@@ -612,3 +619,22 @@ def q_near_misses(spark, sf_dir):
 def q_search(spark, sf_dir):
     text = F.lower(F.concat_ws(" ", "src", "dst", "service", "flag", "severity", "category_out"))
     return fused(spark, sf_dir).filter(text.contains("h2 err")).select("flow_id")
+
+
+# ---- the detector: no SQL, as its models are fitted ---------------------------------------------------------------
+
+
+_VERDICT = "flow_id attack_prob supervised_category score novelty rule_score rule_category is_alert fused_score severity category_out".split()
+
+
+@query()
+def q_detect(spark, sf_dir):
+    """Every connection's verdict by models fitted to the whole table with production parameters."""
+    return detected(hist(spark, sf_dir))[1].select(*_VERDICT)
+
+
+@query()
+def q_detect_explained(spark, sf_dir):
+    """The explained record of every alert of q_detect."""
+    det, rows = detected(hist(spark, sf_dir))
+    return det.explain(rows.filter("is_alert"))

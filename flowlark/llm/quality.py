@@ -1,8 +1,9 @@
 """Operator 4: quality rules whose thresholds adapt to language and source.
 
 One pass measures every whole text. Quantile sketches (KLL, mergeable) of the measures are built per language and
-source, merged per language and over all, and each group takes its thresholds from the narrowest sketch that holds
-enough texts. The thresholds are joined back and decide.
+source and merged per language and over all. A threshold is the 90th percentile and a multiple of its distance from the
+median, so it follows what is usual in the language and source; that of a small group is drawn to its language's, and
+that of a small language to all texts', the more the fewer texts there are. The thresholds are joined back and decide.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from flowlark.llm.common import WordHashes, arrow_rows, cut, window_hashes
 BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
-#: measure -> (least half-width, widths allowed above the median); a measure fails above median + widths * half-width,
-#: where the half-width is the distance from the lower quartile to the median. The least half-width keeps a group in
-#: which a measure hardly varies from rejecting texts that are just a little off.
-UPPER = {"symbol_share": (0.02, 4.0), "dup_line_share": (0.1, 4.0), "repeat_share": (0.07, 4.0), "stutter_share": (0.05, 4.0), "upper_share": (0.08, 4.0), "word_length": (1.0, 6.0)}
-LOWER = {"word_length": (0.4, 6.0)}
+#: A measure's threshold lies ``WIDTHS`` times the distance from the median to the 90th (10th) percentile beyond it.
+WIDTHS = 6.0
+#: The distance counts as this part of the median at least, for groups whose texts are all alike: the median of a share
+#: is what one more symbol, line or word makes of a usual text.
+LEAST_PART = {"word_length": 0.02}
+UPPER = ("symbol_share", "dup_line_share", "repeat_share", "stutter_share", "upper_share", "word_length")
+LOWER = ("word_length",)
 
 
 def measure(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
@@ -76,20 +79,24 @@ def _measured(df: DataFrame) -> DataFrame:
 
 
 def _shares() -> dict[str, Column]:
-    ratio = lambda a, b: F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1))
+    """Shares of words, characters or lines, each with a little of the usual added, so that one symbol or one repeated
+    line weighs less in a long text than in a short one and a share is never just zero."""
+    smooth = lambda a, b, more, of: (F.col(a).cast("double") + more) / (F.col(b) + of)
     return {
-        "symbol_share": ratio("n_symbols", "n_words"),
-        "dup_line_share": ratio("n_dup_lines", "n_lines"),
-        "repeat_share": ratio("n_repeat_words", "n_words"),
-        "stutter_share": ratio("n_stutters", "n_words"),
-        "upper_share": ratio("n_upper", "word_chars"),
-        "word_length": ratio("word_chars", "n_words"),
+        "symbol_share": smooth("n_symbols", "n_words", 1, 20),
+        "dup_line_share": smooth("n_dup_lines", "n_lines", 1, 10),
+        "repeat_share": smooth("n_repeat_words", "n_words", 8, 160),
+        "stutter_share": smooth("n_stutters", "n_words", 1, 20),
+        "upper_share": smooth("n_upper", "word_chars", 1, 20),
+        "word_length": F.col("word_chars").cast("double") / F.greatest("n_words", F.lit(1)),
     }
 
 
-def thresholds(measured: DataFrame, least: int = 200) -> DataFrame:
-    """lang, source, and for each measure its lowest and highest allowed value. Groups of fewer than ``least`` texts
-    (that do not fail the base rules) take those of their language, and such languages those of all texts."""
+def thresholds(measured: DataFrame, least: int = 200, widths: float = WIDTHS) -> DataFrame:
+    """lang, source, and for each measure its lowest and highest allowed value, from the texts that pass the base rules.
+
+    A group of n texts weighs n / (n + ``least``) against its language, a language against all texts likewise.
+    """
     names = list(_shares())
     good = measured.filter("not base_failed")
     own = good.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(c) for c in names))
@@ -105,17 +112,19 @@ def thresholds(measured: DataFrame, least: int = 200) -> DataFrame:
         .join(by_lang.alias("l"), same("g", "l", ["lang"]), "left")
         .join(F.broadcast(overall.alias("a")))  # one row
     )
+
+    def limit(c: str, tail: float) -> Column:
+        out = None
+        for level in ("a", "l", "o"):
+            at = lambda q: F.kll_sketch_get_quantile_double(F.col(f"{level}.{c}"), F.lit(q))  # noqa: B023, E731
+            spread = F.greatest(F.abs(at(tail) - at(0.5)), at(0.5) * LEAST_PART.get(c, 1 / 3))
+            value = at(tail) + (widths if tail > 0.5 else -widths) * spread
+            n = F.coalesce(F.col(f"{level}.n"), F.lit(0)).cast("double")
+            out = value if out is None else F.when(n > 0, (n * value + least * out) / (n + least)).otherwise(out)
+        return out
+
     out = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source")]
-    for c in names:
-        sketch = F.when(F.col("o.n") >= least, F.col(f"o.{c}")).when(F.col("l.n") >= least, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-        half = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
-        spread = half - F.kll_sketch_get_quantile_double(sketch, F.lit(0.25))
-        if c in UPPER:
-            floor, widths = UPPER[c]
-            out.append((half + widths * F.greatest(spread, F.lit(floor))).alias(f"{c}_max"))
-        if c in LOWER:
-            floor, widths = LOWER[c]
-            out.append((half - widths * F.greatest(spread, F.lit(floor))).alias(f"{c}_min"))
+    out += [limit(c, 0.9).alias(f"{c}_max") for c in UPPER] + [limit(c, 0.1).alias(f"{c}_min") for c in LOWER]
     return wide.select(*out)
 
 

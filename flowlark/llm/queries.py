@@ -57,7 +57,7 @@ def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents"), vocabulary=vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,18 +2,23 @@
 
 Three patterns give the base spans. The method adds those values that follow a credential word and would cost an
 attacker many guesses: the value is cut into words, dates, repeats, keyboard walks and brute-force spans so that the
-total cost, log10 of the guesses, is the least of all segmentations. Placeholders and plain words cost little.
+total cost, log10 of the guesses, is the least of all segmentations. Placeholders and plain words cost little. Words are
+those of a short list of frequent passwords, then the whole words of a tokenizer's vocabulary, whose order is that of
+their merges: the sooner merged, the more frequent.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from flowlark.llm import bpe
 from flowlark.llm.common import arrow_rows, documents
 
 # The patterns of the contract. Letters outside the second group of assign are in either case.
@@ -40,8 +45,32 @@ WORDS = (
     "now old see two way who boy did its let put say she too use api auth bearer client basic dev prod staging local"
 ).split()
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Ranks of words, 1 for the most frequent, and the length of the longest."""
+
+    rank: dict[str, int]
+    longest: int
+
+    @classmethod
+    def of(cls, words: list[str]) -> Lexicon:
+        rank: dict[str, int] = {}
+        for w in words:
+            rank.setdefault(w, len(rank) + 1)
+        return cls(rank, max(map(len, rank)))
+
+    @classmethod
+    def of_vocabulary(cls, content: bytes) -> Lexicon:
+        """The short list, then the words (three small letters or more) that a byte-level BPE vocabulary has whole: a
+        token that starts with a blank is the beginning of a word in running text, and a frequent word is such a token."""
+        ids = json.loads(content)["model"]["vocab"]
+        whole = (t[1:].lower() for t in sorted(ids, key=ids.__getitem__) if t[0] == "\u0120" and len(t) > 3 and t[1:].isascii() and t[1:].isalpha())
+        return cls.of([*WORDS, *whole])
+
+
+_SHORT = Lexicon.of(WORDS)
 _LEET = str.maketrans("4@3105$7", "aaeiosst")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 
@@ -59,40 +88,44 @@ def _neighbours() -> set[tuple[str, str]]:
 _NEAR = _neighbours()
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs, and its segments (kind, start, end).
+def guess_cost(value: str, lexicon: Lexicon = _SHORT, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
+    """log10 of the guesses that the cheapest segmentation of ``value`` needs, and its segments (kind, start, end); once
+    no segmentation can stay below ``enough``, infinity and none.
 
     A word costs its rank (twice that for each change of case or look-alike character), a date the days of 200 years, a
     repeat its unit's cost times the count, a walk along the keyboard its start, length and turns, and a brute-force
-    span the size of each character's class (less for a small letter after a letter). Each further segment doubles the guesses.
+    span the size of each character's class (less for a small letter after a letter). Each further segment doubles the
+    guesses. Each place offers a bounded number of segments, so the time is linear in the value's length.
     """
     n, low = len(value), value.lower()
     if len(low) != n:  # a few letters change their length in lower case
         low = value
     plain = low.translate(_LEET)
     join = math.log10(2)
-    char = [math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 60) for c in value]
-    for i in range(1, n):
-        if value[i - 1 : i + 1].isalpha() and value[i].islower():
-            char[i] = math.log10(8)  # a small letter after a letter is half known in any language
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     brute, brute_from = math.inf, 0  # cheapest way to the present place that ends in a brute-force span
-
-    def offer(kind: str, i: int, j: int, cost: float) -> None:
-        total = best[i] + cost + (join if i else 0.0)
-        if total < best[j]:
-            best[j], back[j] = total, (kind, i)
-
+    far = 0  # the furthest place that some segmentation reaches below ``enough``
+    patterns = Patterns(value, low, plain, lexicon)
     for i in range(n):
-        for kind, j, cost in _patterns(value, low, plain, char, i):
-            offer(kind, i, j, cost)
-        fresh = best[i] + (join if i else 0.0)
-        if fresh < brute:
-            brute, brute_from = fresh, i
-        brute += char[i]
+        if i > far:
+            return math.inf, []
+        if best[i] < enough:
+            start = best[i] + (join if i else 0.0)
+            for kind, j, cost in patterns.at(i):
+                if start + cost < best[j]:
+                    best[j], back[j] = start + cost, (kind, i)
+                    if best[j] < enough:
+                        far = max(far, j)
+            if start < brute:
+                brute, brute_from = start, i
+        brute += patterns.char(i)
         if brute < best[i + 1]:
             best[i + 1], back[i + 1] = brute, ("brute", brute_from)
+        if best[i + 1] < enough:
+            far = max(far, i + 1)
+    if best[n] >= enough:
+        return math.inf, []
     cuts, at = [], n
     while at:
         kind, start = back[at]
@@ -101,32 +134,64 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], cuts[::-1]
 
 
-def _patterns(value: str, low: str, plain: str, char: list[float], i: int):
-    """(kind, end, log10 of guesses) of all words, dates, repeats and keyboard walks that start at ``i``."""
-    n, twice = len(value), math.log10(2)
-    for j in range(i + 2, min(n, i + _LONGEST) + 1):
-        for text in (low[i:j], plain[i:j]):
-            if text in _RANK:
-                changes = sum(x != y for x, y in zip(value[i:j], text, strict=True))
-                yield "word", j, math.log10(_RANK[text]) + twice * min(changes, 4)
-                break
-    if m := _DATE.match(low, i):
-        yield "date", m.end(), math.log10(365 * 200)
-    for unit in range(1, min(8, (n - i) // 2) + 1):
-        k = 1
-        while value.startswith(value[i : i + unit], i + k * unit):
-            k += 1
-            if k > 1 and k * unit >= 3:
-                yield "repeat", i + k * unit, sum(char[i : i + unit]) + math.log10(k)
-    turns, step = 0, None
-    for j in range(i + 1, n):
-        way = ord(low[j]) - ord(low[j - 1])
-        if (low[j - 1], low[j]) not in _NEAR and abs(way) != 1:
-            break
-        turns += step is not None and way != step
-        step = way
-        if j - i >= 2:
-            yield "walk", j + 1, math.log10(47 * (j + 1 - i)) + 0.15 * turns
+class Patterns:
+    """The words, dates, repeats and keyboard walks that start at a place of a value. Places are asked for in order.
+
+    Repeats have units of up to 8 characters and go on up to ``STEPS`` times or as far as the unit is repeated; walks
+    have up to ``STEPS`` further characters or go as far as the keys are neighbours.
+    """
+
+    STEPS = 16
+
+    def __init__(self, value: str, low: str, plain: str, lexicon: Lexicon = _SHORT) -> None:
+        self.value, self.low, self.plain, self.lexicon = value, low, plain, lexicon
+        self.same = [0] * 9  # same[u]: up to where each character equals the one u places on, from the present place
+        self.walk = 0  # up to where the present walk goes
+        self.turns: list[int] = []  # of the present walk, up to each of its characters
+        self.walk_from = 0
+
+    def char(self, i: int) -> float:
+        """log10 of the size of a character's class; a small letter after a letter is half known in any language."""
+        c = self.value[i]
+        if i and c.islower() and c.isalpha() and self.value[i - 1].isalpha():
+            return math.log10(8)
+        return math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 60)
+
+    def at(self, i: int):
+        """(kind, end, log10 of guesses) of each."""
+        value, low, n, twice = self.value, self.low, len(self.value), math.log10(2)
+        rank = self.lexicon.rank
+        for j in range(i + 2, min(n, i + self.lexicon.longest) + 1):
+            for text in (low[i:j], self.plain[i:j]):
+                if text in rank:
+                    changes = sum(x != y for x, y in zip(value[i:j], text, strict=True))
+                    yield "word", j, math.log10(rank[text]) + twice * min(changes, 4)
+                    break
+        if m := _DATE.match(low, i):
+            yield "date", m.end(), math.log10(365 * 200)
+        for unit in range(1, min(8, (n - i) // 2) + 1):
+            end = max(self.same[unit], i)
+            while end + unit < n and value[end] == value[end + unit]:
+                end += 1
+            self.same[unit] = end
+            most = (end - i) // unit + 1
+            if most > 1:
+                cost = sum(map(self.char, range(i, i + unit)))
+                for k in {*range(2, min(most, self.STEPS) + 1), most}:
+                    if k * unit >= 3:
+                        yield "repeat", i + k * unit, cost + math.log10(k)
+        if i >= self.walk - 1:
+            self.walk, self.walk_from, self.turns = i + 1, i, [0]
+            step = None
+            while self.walk < n and ((low[self.walk - 1], low[self.walk]) in _NEAR or abs(ord(low[self.walk]) - ord(low[self.walk - 1])) == 1):
+                way = ord(low[self.walk]) - ord(low[self.walk - 1])
+                self.turns.append(self.turns[-1] + (step is not None and way != step))
+                step = way
+                self.walk += 1
+        turned = self.turns[min(i - self.walk_from + 1, len(self.turns) - 1)]
+        for j in {*range(i + 3, min(self.walk, i + self.STEPS + 1) + 1), self.walk}:
+            if j - i >= 3:
+                yield "walk", j, math.log10(47 * (j - i)) + 0.15 * (self.turns[j - 1 - self.walk_from] - turned)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -137,10 +202,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def scan(text: str | None, hard: float = 10.0, longest: int = 256) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and all spans, by start and kind. A value counts as a secret if it costs 10^``hard`` guesses or more;
-    of values over ``longest`` characters, whose segmentation would not be cheap to find, every part of that length is
-    judged, and the hardest decides."""
+def scan(text: str | None, hard: float = 10.0, lexicon: Lexicon = _SHORT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and all spans, by start and kind. A value, however long, counts as a secret if its cheapest
+    segmentation costs 10^``hard`` guesses or more."""
     text = text or ""
     if not text:
         return [], []
@@ -149,7 +213,7 @@ def scan(text: str | None, hard: float = 10.0, longest: int = 256) -> tuple[list
     if _HINT.search(text):
         for m in CONTEXT.finditer(text):
             value = m[2].rstrip(",;)]}>.")
-            if len(value) >= 6 and any(guess_cost(value[i : i + longest])[0] >= hard for i in range(0, len(value), longest)):
+            if len(value) >= 6 and guess_cost(value, lexicon, hard)[0] >= hard:
                 span = m.start(2), m.start(2) + len(value)
                 if not any(a <= span[0] and span[1] <= z for a, _, z in base):
                     more.append((span[0], 3, span[1]))
@@ -163,19 +227,41 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def find_secrets(df: DataFrame, hard: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_lexicons: dict[int, Lexicon] = {}
+
+
+def _shared_lexicon(df: DataFrame, vocabulary: str | None):
+    """A function that gives a task its lexicon; the vocabulary's file, of fixed size, is broadcast."""
+    if vocabulary is None:
+        return lambda: _SHORT
+    shared = bpe.share(df.sparkSession, vocabulary)
+
+    def lexicon() -> Lexicon:
+        name = hash(shared.value)
+        if name not in _lexicons:
+            _lexicons[name] = Lexicon.of_vocabulary(shared.value)
+        return _lexicons[name]
+
+    return lexicon
+
+
+def find_secrets(df: DataFrame, hard: float = 10.0, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, one row for each row of ``df``.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind (assign, access, hex, guess).
-    Guess spans are the values alone, and only those outside the base spans. Null texts are empty and have no spans.
+    Guess spans are the values alone, and only those outside the base spans. ``vocabulary`` is the path of a byte-level
+    BPE vocabulary whose words count as words; without it only a short list does. Null texts are empty and have no spans.
     Nothing is shuffled; repeated rows, null doc_ids and empty tables stay as they are, extra columns are ignored.
     """
 
+    lexicon = _shared_lexicon(df, vocabulary)
+
     def work(batches):
+        words = lexicon()
         for b in arrow_rows(batches):
             out = []
             for t in b.column(1):
-                base, every = scan(t.as_py(), hard)
+                base, every = scan(t.as_py(), hard, words)
                 count = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 out.append((*count, hashlib.sha256(_named(base).encode()).hexdigest(), _named(every)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -187,24 +273,27 @@ def find_secrets(df: DataFrame, hard: float = 10.0, id_col: str = "doc_id", text
     return documents(df, id_col=id_col, text_col=text_col).mapInArrow(work, FOUND)
 
 
-def masked(text: str | None, mark: str = "[SECRET]", hard: float = 10.0) -> str | None:
+def masked(text: str | None, mark: str = "[SECRET]", hard: float = 10.0, lexicon: Lexicon = _SHORT) -> str | None:
     """The text with ``mark`` for each run of spans; null stays null."""
     if not text:
         return text
     out, at = [], 0
-    for a, _, z in scan(text, hard)[1]:
+    for a, _, z in scan(text, hard, lexicon)[1]:
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, z)
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", hard: float = 10.0) -> DataFrame:
-    """``df`` with every secret in its text replaced by ``mark``; all columns stay."""
+def mask_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", hard: float = 10.0, vocabulary: str | None = None) -> DataFrame:
+    """``df`` with every secret in its text replaced by ``mark``; all columns stay, null texts too."""
     from pyspark.sql import functions as F
 
+    lexicon = _shared_lexicon(df, vocabulary)
+
     @F.pandas_udf("string")
     def mask(texts):
-        return texts.map(lambda t: masked(t, mark, hard), na_action="ignore")
+        words = lexicon()
+        return texts.map(lambda t: masked(t, mark, hard, words), na_action="ignore")
 
     return df.withColumn(text_col, mask(F.col(text_col)))

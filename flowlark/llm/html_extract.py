@@ -1,6 +1,6 @@
 """Operator 3: main text of HTML pages by scoring the element tree.
 
-Every paragraph passes points for its length and commas to its ancestors, less the further up they are. An element's
+Every paragraph passes points for its length and commas to its next ten ancestors, less the further up they are. An element's
 score is discounted by the share of its text that is in links. The element with the best score is the article's
 container, or the article or main element around it; those of its siblings are kept too that score well or hold text
 with few links. Elements that are no part of an
@@ -10,7 +10,7 @@ article (menus, headers, footers, sidebars, notices, adverts, forms, comments, s
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -54,6 +54,8 @@ _NOT = re.compile(r"(?:^|[-_])(?:no|has|with|without|is)[-_]", re.I)
 _GOOD = re.compile(r"article|content|main|post|entry|story|text|body", re.I)
 _COMMAS = re.compile(r"[,،、，]")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Ancestors that a paragraph passes points to; the time is linear in the page, however deep it is nested.
+_HEARD = 10
 
 
 @dataclass
@@ -72,7 +74,8 @@ def parse(html: str) -> Page:
     tag, parent = page.tag, page.parent
     pieces: list[str] = []
     in_link, linked, owner = 0, 0, 0
-    opened: Counter[str] = Counter()  # elements on the stack by kind
+    owners = [0]  # the innermost block of each element on the stack
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places on the stack by kind
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -84,7 +87,7 @@ def parse(html: str) -> Page:
         nonlocal linked, owner
         if text:
             if not pieces:
-                owner = next(e for e in reversed(stack) if tag[e] in BLOCK or not e)
+                owner = owners[-1]
             pieces.append(text)
             if in_link:
                 linked += len(text.strip())
@@ -93,21 +96,17 @@ def parse(html: str) -> Page:
         """Ends the elements of the stack from place ``upto`` on."""
         nonlocal in_link
         for e in stack[upto:]:
-            opened[tag[e]] -= 1
             in_link -= tag[e] == "a"
             if tag[e] in BLOCK:
                 flush()
-        del stack[upto:]
+        for e in stack[upto:]:
+            opened[tag[e]].pop()
+        del stack[upto:], owners[upto:]
 
     def innermost(names: tuple[str, ...], scope: tuple[str, ...] = ()) -> int:
-        if not any(opened[name] for name in names):
-            return 0
-        for place in range(len(stack) - 1, 0, -1):
-            if tag[stack[place]] in names:
-                return place
-            if tag[stack[place]] in scope:
-                return 0
-        return 0
+        """Place of the innermost of ``names``; 0 if there is none, or one of ``scope`` further in."""
+        place = max((opened[name][-1] for name in names if opened[name]), default=0)
+        return place if place and all(not opened[name] or opened[name][-1] < place for name in scope) else 0
 
     at, n = 0, len(html)
     while at < n:
@@ -137,7 +136,7 @@ def parse(html: str) -> Page:
                 close(len(stack) - 1)
         if name in CLOSES and (place := innermost(CLOSES[name], SCOPES.get(name, ()))):
             close(place)
-        if name == "a" and (place := innermost(("a",), tuple(BLOCK))):
+        if name == "a" and (place := innermost(("a",))) and owners[place] == owners[-1]:
             close(place)
         given = m[3]
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(given)} if given.strip(" /\n") else {}
@@ -150,8 +149,9 @@ def parse(html: str) -> Page:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             at = n if end is None else html.find(">", end.start()) + 1 or n
             continue
+        opened[name].append(len(stack))
         stack.append(len(tag) - 1)
-        opened[name] += 1
+        owners.append(len(tag) - 1 if name in BLOCK else owners[-1])
         in_link += name == "a"
     close(1)
     flush()
@@ -192,15 +192,17 @@ def extract(html: str | None) -> str:
     points, size, links = [0.0] * n, [0] * n, [0] * n
     for e, text, linked in blocks:
         own = 0.0 if page.tag[e] in _HEADINGS else 1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)
-        level, up = 0, e if page.tag[e] in ("body", "#root", "article", "main") else page.parent[e]
-        while up >= 0:
+        up = e if page.tag[e] in ("body", "#root", "article", "main") else page.parent[e]
+        for level in range(_HEARD):
+            if up < 0:
+                break
             points[up] += own / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            level, up = level + 1, page.parent[up]
-        up = e
-        while up >= 0:
-            size[up] += len(text)
-            links[up] += linked
             up = page.parent[up]
+        size[e] += len(text)
+        links[e] += linked
+    for e in range(n - 1, 0, -1):  # an element stands after its parent
+        size[page.parent[e]] += size[e]
+        links[page.parent[e]] += links[e]
     if not blocks:
         return ""
     score = [0.0] * n

@@ -3,12 +3,14 @@
 Documents are cut into pieces of at most ``capacity`` tokens. Pieces are dealt evenly over partitions and each partition
 packs its own best-fit decreasing. Dual feasible functions bound the number of sequences that its pieces need from
 below; a partition that meets the bound is done. The others give up their emptiest sequences, whose pieces meet those
-of other partitions in the next round, in fewer partitions, until the bound is met or a round saves nothing.
+of other partitions in the next round, in fewer partitions, until all meet their bound or a round saves nothing. Each
+piece carries its partition's gap, the sequences beyond the bound: 0 certifies that the partition needs no fewer.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -21,18 +23,32 @@ from pyspark.sql import functions as F
 from flowlark.llm import bpe
 from flowlark.llm.common import arrow_rows, cut, documents
 
-_encodings: dict[int, tiktoken.Encoding] = {}
+_encodings: dict[int, Encoder] = {}
+#: Runs from which the fast encoder's pattern, which backtracks, is not trusted.
+_LONG_RUN = re.compile(r"\s{2000}|([^\W\d_])\1{9999}|\w{200000}|[^\s\w]{200000}")
 
 
-def _encoding(vocabulary: bytes) -> tiktoken.Encoding:
-    """The vocabulary in the form whose encoder is fastest on whole texts; ids and splits are the same."""
+class Encoder:
+    """The vocabulary in the form whose encoder is fastest on whole texts. Texts with very long runs are encoded by the
+    dynamic program of op1, whose time and memory they do not hurt; ids and splits are the same."""
+
+    def __init__(self, fast: tiktoken.Encoding, codec: bpe.Codec) -> None:
+        self.fast, self.codec = fast, codec
+
+    def encode(self, text: str) -> list[int]:
+        if _LONG_RUN.search(text):
+            return list(self.codec.encode(text))
+        return self.fast.encode(text, allowed_special="all")
+
+
+def _encoding(vocabulary: bytes) -> Encoder:
     name = zlib.crc32(vocabulary)
     if name not in _encodings:
         c = bpe.Codec(vocabulary, remember=1)
         special = {t: i for t, i in c.special.items()}
         ranks = {b: i for i, b in c.bytes_of.items() if i not in special.values()}
         pattern = bpe.PIECES.pattern
-        _encodings[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        _encodings[name] = Encoder(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), c)
     return _encodings[name]
 
 
@@ -47,7 +63,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
             out = []
             for doc, t in zip(b.column(0), b.column(1), strict=True):
                 text = (t.as_py() or "").encode("utf-8", "replace").decode()
-                ids = np.array([*enc.encode(text, allowed_special="all"), end_id], "<u4")
+                ids = np.array([*enc.encode(text), end_id], "<u4")
                 edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
                     out.append((doc.as_py(), k, a, z - a, zlib.crc32(ids[a:z].tobytes())))
@@ -108,11 +124,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, l
     return bins, held
 
 
-_PLACED = "pid long, length long, bin long, offset long, again boolean"
+_PLACED = "pid long, length long, bin long, offset long, again boolean, gap int"
 
 
-def _round(items: DataFrame, number: int, capacity: int, last: bool) -> DataFrame:
-    """Packs each partition (column ``part``); again: the piece is given up to the next round."""
+def _round(items: DataFrame, number: int, capacity: int) -> DataFrame:
+    """Packs each partition (column ``part``); again: the piece is given up to the next round; gap: the partition's
+    sequences beyond its lower bound."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "pid"], ascending=[False, True], kind="stable")
@@ -120,7 +137,7 @@ def _round(items: DataFrame, number: int, capacity: int, last: bool) -> DataFram
         bins, held = best_fit_decreasing(sizes, capacity)
         gap = len(held) - lower_bound(sizes, capacity)
         give = np.zeros(len(held), bool)
-        if gap and not last:
+        if gap:
             by_room = np.argsort(held, kind="stable")
             room = np.cumsum(capacity - np.array(held)[by_room])
             give[by_room[: max(64, 1 + int(np.searchsorted(room, 8 * gap * capacity)))]] = True
@@ -131,31 +148,32 @@ def _round(items: DataFrame, number: int, capacity: int, last: bool) -> DataFram
         offset = np.empty(len(sizes), np.int64)
         offset[order] = sums - sizes[order] - base
         return pd.DataFrame(
-            {"pid": group["pid"], "length": sizes, "bin": (number << 56) | (part << 32) | bins, "offset": offset, "again": give[bins]}
+            {"pid": group["pid"], "length": sizes, "bin": (number << 48) | (part << 24) | bins, "offset": offset, "again": give[bins], "gap": np.int32(gap)}
         )
 
     return items.groupBy("part").applyInPandas(work, _PLACED)
 
 
-def place(items: DataFrame, capacity: int = 2048, per_partition: int = 40_000, rounds: int = 4) -> DataFrame:
-    """pid, sequence_id, offset for items (pid long, length long), lengths from 1 to ``capacity``. A pid names one
-    item; ties between equal lengths go by pid. Each partition holds about ``per_partition`` items."""
-    full = items.filter(F.col("length") == capacity).select("pid", F.col("pid").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+def place(items: DataFrame, capacity: int = 2048, per_partition: int = 40_000) -> DataFrame:
+    """pid, sequence_id, offset, gap for items (pid long, length long), lengths from 1 to ``capacity``. A pid names one
+    item; ties between equal lengths go by pid. Each partition holds about ``per_partition`` items. Rounds go on while
+    sequences are given up and the round before has saved some."""
+    kept = ("pid", F.col("bin").alias("sequence_id"), "offset", "gap")
+    zero = F.lit(0)
+    full = items.filter(F.col("length") == capacity).select("pid", F.col("pid").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), zero.cast("long").alias("offset"), zero.alias("gap"))
     rest, done = items.filter(F.col("length") < capacity), [full]
-    n = rest.count()
-    before = None
-    for number in range(1, rounds + 1):
-        parts = max(1, -(-n // per_partition))
-        last = number == rounds or before == n
+    n, given, number = rest.count(), None, 1
+    while n:
+        parts = -(-n // per_partition)
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(number)), F.lit(parts)))
-        placed = cut(_round(dealt, number, capacity, last))
-        done.append(placed.filter("not again").select("pid", F.col("bin").alias("sequence_id"), "offset"))
+        placed = cut(_round(dealt, number, capacity))
+        opens = F.expr("if(offset = 0, 1, 0)")  # one piece of each sequence
+        made = placed.agg(F.sum(opens).alias("made"), F.sum(F.when(F.col("again"), opens)).alias("given"), F.count_if("again").alias("n")).first()
+        last = parts == 1 or not made["n"] or (given is not None and made["made"] >= given)
+        done.append((placed if last else placed.filter("not again")).select(*kept))
         if last:
             break
-        rest = placed.filter("again").select("pid", "length")
-        before, n = n, rest.count()
-        if not n:
-            break
+        rest, given, n, number = placed.filter("again").select("pid", "length"), made["given"], made["n"], number + 1
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
@@ -163,20 +181,15 @@ def place(items: DataFrame, capacity: int = 2048, per_partition: int = 40_000, r
 
 
 def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", per_partition: int = 40_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row for each piece of each row.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap, one row for each piece of each row.
 
-    Null and empty texts are one token, the end id. Rows that repeat a doc_id are packed one by one, each with its own
-    pieces; null doc_ids stay null. Extra columns are ignored; an empty table gives an empty table. No sequence holds
-    more than ``capacity`` tokens, and offsets in a sequence are gapless from 0.
+    gap: how many sequences the piece's partition has beyond the fewest that its pieces can need. Null and empty texts
+    are one token, the end id. Rows that repeat a doc_id are packed one by one, each with its own pieces; null doc_ids
+    stay null. Extra columns are ignored; an empty table gives an empty table. No sequence holds more than ``capacity``
+    tokens, and offsets in a sequence are gapless from 0.
     """
-    cutup = cut(pieces(df, vocabulary, capacity, id_col=id_col, text_col=text_col))
-    # pieces that are alike in every column are told apart by their number among their like
-    like = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
-    numbered = cutup.withColumn("pid", like)
-    repeats = numbered.groupBy("pid").count().filter("count > 1")
-    if repeats.limit(1).count():
-        numbered = cut(cutup.withColumn("pid", F.monotonically_increasing_id()))
-    numbered = numbered.withColumn("pid", F.col("pid").bitwiseAND((1 << 62) - 1))
+    # the number is written with the piece, so that it names the piece whenever it is read
+    numbered = cut(pieces(df, vocabulary, capacity, id_col=id_col, text_col=text_col).withColumn("pid", F.monotonically_increasing_id()))
     return numbered.join(place(numbered.select("pid", "length"), capacity, per_partition), "pid").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap"
     )

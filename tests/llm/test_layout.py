@@ -48,6 +48,26 @@ def test_packing_edges(spark, edges, empty):
     assert packing.pack(empty, vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x" + " \n" * 1_000_000 + "y", "-" * 500_000, "1" * 500_000, "a b " * 300_000], ids=lambda t: repr(t[:4]))
+def test_encoder_on_long_runs(text):
+    with open(vocabulary(), "rb") as f:
+        encoder = packing._encoding(f.read())
+    ids = encoder.encode(text)
+    assert encoder.fast.decode(ids) == text and len(ids) <= len(text)
+    short = text[:1500]
+    assert encoder.fast.encode(short, allowed_special="all") == list(encoder.codec.encode(short))
+
+
+def test_gaps_certify(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 101, 6000))]
+    out = packing.place(spark.createDataFrame(rows, "pid long, length long"), 100, per_partition=700).collect()
+    assert len(out) == len(rows) and all(r.gap >= 0 for r in out)
+    used = len({r.sequence_id for r in out})
+    assert used <= packing.lower_bound(np.array([n for _, n in rows]), 100) * 1.02
+    assert any(r.gap == 0 for r in out)
+
+
 def test_lower_bound_never_exceeds_best_fit():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -68,11 +88,27 @@ def test_sharding(spark, sf_dir, documents, edges, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_shards_hold_whole_groups_and_all_three_resources(spark, documents):
+    """Ten copies of the table under other ids and words, so that a shard has enough documents to be even."""
+    many = documents.crossJoin(spark.range(10)).selectExpr("doc_id * 10 + id as doc_id", "concat(text, ' ', id) as text")
+    rows = sharding.shard(many.repartition(3)).join(many, "doc_id").collect()
+    sums, homes = np.zeros((40, 3)), defaultdict(set)
+    for r in rows:
+        sums[r.shard] += (r.size, len(r.text.split(" ")), 1)
+        homes[r.text].add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())
+    spread = sums.max(axis=0) / sums.mean(axis=0)
+    print("most of a shard over the mean: bytes, tokens, rows", spread)
+    assert spread[0] <= 1.01 and spread[1] <= 1.05 and spread[2] <= 1.05
+
+
 def test_shards_are_balanced_under_a_hot_group(spark):
     rows = [(i, "same text " * 30) for i in range(8000)] + [(i, "word " * (i % 97)) for i in range(8000, 24000)]
-    sums = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").sum("size").collect()
-    sizes = [r[1] for r in sums]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r[1] for r in out.groupBy("shard").sum("size").collect()]
     assert len(sizes) == 40 and max(sizes) <= 1.02 * min(sizes)
+    # the group is larger than a shard: it lies in few shards, not strewn over all
+    assert out.filter("doc_id < 8000").select("shard").distinct().count() <= 40
 
 
 def test_pipeline_stages(spark, sf_dir, documents):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -48,6 +49,35 @@ def test_html_edges(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<div>x", "<div><p>x", "<b>x", "<p><button>x<div>", "<li>x<ul>", "<a>x<div>", "<table><td>x", "<span><p>x</span>", "<h1>x<div>", "</div>x<i>", "<a href=/>x"])
+def test_html_takes_time_in_proportion(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    text = html_extract.extract(page)
+    assert time.perf_counter() - began < 30
+    assert set(text) <= {"x", "\n"}
+
+
+def test_html_of_made_pages():
+    """Pages put together from an article of known blocks and parts that are none; the article comes back whole."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() + rng.choice(["", "", "", ","]) for _ in range(n)) + "."
+    inline = lambda t: "".join(rng.choice(["{} ", "<b>{}</b> ", "<a href=/x>{}</a> ", "{}\n  "] if i % 9 == 0 else ["{} "]).format(w) for i, w in enumerate(t.split()))
+    for _ in range(60):
+        blocks, html = [], ""
+        for _ in range(rng.randrange(3, 25)):
+            kind, text = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "pre"]), prose(rng.randrange(25, 70))
+            blocks.append(text)
+            html += f"<ul><li>{inline(text)}</ul>" if kind == "li" else f"<{kind}>{inline(text)}</{kind}>" if rng.random() < 0.8 or kind != "p" else f"<p>{inline(text)}"
+        links = lambda n: "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(n))  # noqa: B023, E731
+        around = rng.choice(["article", "main", "div class=post-content"])
+        parts = [f"<nav><ul>{links(5)}</ul></nav>", f"<header><p>{prose(9)}</header>", f"<script>{prose(20)}</script>"]
+        after = [f"<aside><p>{prose(30)}</aside>", f"<div class=comments><p>{prose(40)}</div>", f"<footer><p>{prose(12)}</footer>", f"<div class=sidebar><ul>{links(8)}</ul></div>"]
+        page = f"<html><head><title>{prose(4)}</title></head><body>{''.join(parts)}<{around}>{html}</{around.split()[0]}>{''.join(rng.sample(after, 3))}</body></html>"
+        assert html_extract.extract(page).split("\n") == blocks
+
+
 def test_html_of_all_pages(spark, sf_dir):
     rows = html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     assert sum(bool(r.text) for r in rows) >= 0.95 * len(rows)
@@ -114,34 +144,33 @@ def test_urls(spark, sf_dir):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
-def test_url_model_on_names_held_out(spark):
-    table = url_filter.labelled(spark).withColumn("fold", url_filter.F.expr("pmod(xxhash64(split(split(url, '://')[1], '[.]')), 5)"))
-    model = url_filter.train(table.filter("fold <> 0"))
-    out = model.transform(url_filter.with_grams(table.filter("fold = 0")))
-    assert out.filter("prediction = label").count() >= 0.9 * out.count()
-
-
 def test_url_table_holds_no_host_of_the_pages(spark, sf_dir):
     hosts = {plain_url(r.url)[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").distinct().collect()}
     parts = {p for h in hosts for p in h.split(".")}
-    assert not parts & {*url_filter.UNWANTED, *url_filter.WANTED}
+    assert not parts & {t + e for t in [*url_filter.UNWANTED, *url_filter.WANTED] for e in url_filter.ENDINGS}
 
 
-def test_url_model_on_unseen_names(spark):
-    """Folds by the name itself, so that no name is in training with another prefix, domain or path. The share that is
-    right is what it is (see README); the test holds it above what answering with the larger class gives."""
-    host, names = url_filter.host_and_path(url_filter.F.col("url"))[0], [*url_filter.UNWANTED, *url_filter.WANTED]
-    table = url_filter.labelled(spark)
-    name = url_filter.F.regexp_extract(host, r"^(?:www\.|m\.|blog\.)?([^.]+)\.", 1)
-    table = table.withColumn("name", name).withColumn("fold", url_filter.F.expr("pmod(xxhash64(name), 5)")).cache()
-    assert {r.name for r in table.select("name").distinct().collect()} == set(names)
-    right = total = 0
+def folds(table, key, threshold=0.7):
+    """Precision, recall and share of wanted urls blocked, over five folds by ``key``."""
+    caught = called = 0
+    at = url_filter.vector_to_array("probability")[1] >= threshold
     for k in range(5):
-        out = url_filter.train(table.filter(f"fold <> {k}")).transform(url_filter.with_grams(table.filter(f"fold = {k}")))
-        right, total = right + out.filter("prediction = label").count(), total + out.count()
-    print(f"unseen names: {right} of {total} right")
-    larger = max(table.filter("label = 1").count(), table.filter("label = 0").count())
-    assert total == table.count() and right > larger
+        fold = f"pmod(xxhash64({key}), 5)"
+        out = url_filter.train(table.filter(f"{fold} <> {k}")).transform(url_filter.with_grams(table.filter(f"{fold} = {k}"))).filter(at)
+        caught, called = caught + out.filter("label = 1").count(), called + out.count()
+    unwanted, wanted = table.filter("label = 1").count(), table.filter("label = 0").count()
+    print(f"{key}: precision {caught / max(called, 1):.3f}, recall {caught / unwanted:.3f}, wanted blocked {(called - caught) / wanted:.3f}")
+    return caught / max(called, 1), caught / unwanted, (called - caught) / wanted
+
+
+def test_url_model_on_unseen_names(spark):
+    """Folds by the whole name, so that training shares topics but no host label with the test; and folds by topic,
+    which share neither: there the figures (see README) show that the model knows topics, not hosts in general."""
+    table = url_filter.labelled(spark).withColumn("name", url_filter.F.regexp_extract("url", r"^http://(?:www\.|m\.|blog\.)?([^.]+)\.", 1)).cache()
+    assert {r.name for r in table.select("name").distinct().collect()} == {t + e for t in [*url_filter.UNWANTED, *url_filter.WANTED] for e in url_filter.ENDINGS}
+    precision, recall, blocked = folds(table, "name")
+    assert precision >= 0.98 and recall >= 0.9
+    assert folds(table, "topic")[2] < 0.4
 
 
 def test_media_round_trip(spark, sf_dir, documents, edges, empty):
@@ -189,17 +218,15 @@ def cheapest(value):
 
     low = value.lower()
     plain = low.translate(secret_scan._LEET)
-    char = [math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 60) for c in value]
-    for i in range(1, len(value)):
-        if value[i - 1 : i + 1].isalpha() and value[i].islower():
-            char[i] = math.log10(8)
+    patterns = lambda: secret_scan.Patterns(value, low, plain)
+    char = [patterns().char(i) for i in range(len(value))]
 
     @functools.cache
     def rest(i, first):
         if i == len(value):
             return 0.0
         join = 0.0 if first else math.log10(2)
-        spans = [(j, c) for _, j, c in secret_scan._patterns(value, low, plain, char, i)] + [(j, sum(char[i:j])) for j in range(i + 1, len(value) + 1)]
+        spans = [(j, c) for _, j, c in patterns().at(i)] + [(j, sum(char[i:j])) for j in range(i + 1, len(value) + 1)]
         return min(c + join + rest(j, False) for j, c in spans)
 
     return rest(0, True)
@@ -212,6 +239,54 @@ def test_guess_cost_is_the_least(value):
     assert [a for _, a, _ in parts] == [0, *(z for _, _, z in parts[:-1])] and parts[-1][2] == len(value)
 
 
+def plain_patterns(value, i):
+    """Repeats and walks from place i, each found by itself."""
+    low, out = value.lower(), set()
+    for unit in range(1, 9):
+        k = 2
+        while value[i : i + k * unit] == value[i : i + unit] * k and len(value[i : i + k * unit]) == k * unit:
+            out.add(("repeat", i + k * unit)) if k * unit >= 3 else None
+            k += 1
+    j = i + 1
+    while j < len(low) and ((low[j - 1], low[j]) in secret_scan._NEAR or abs(ord(low[j]) - ord(low[j - 1])) == 1):
+        out.add(("walk", j + 1)) if j - i >= 2 else None
+        j += 1
+    return out
+
+
+def test_patterns_are_found_in_order():
+    rng = random.Random(6)
+    for _ in range(300):
+        value = "".join(rng.choice(["ab", "a", "qwe", "123", "x"]) for _ in range(rng.randrange(1, 7)))
+        patterns = secret_scan.Patterns(value, value, value.translate(secret_scan._LEET))
+        for i in range(len(value)):
+            assert {(k, j) for k, j, _ in patterns.at(i) if k in ("repeat", "walk")} == plain_patterns(value, i)
+
+
+@pytest.mark.parametrize("k", range(230, 262))
+def test_a_secret_counts_wherever_it_stands(k):
+    value = "a" * k + "x9Kq2mZ7" + "a" * (300 - k)
+    assert (7, 3, 7 + len(value)) in secret_scan.scan("pwd is " + value)[1]
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "qwertyui", "1234567890", "passw0rd", "hG5%"])
+def test_long_values(unit):
+    began = time.perf_counter()
+    value = unit * (200_000 // len(unit))
+    whole = secret_scan.guess_cost(value)[0]
+    assert (secret_scan.guess_cost(value, enough=10.0)[0] >= 10) == (whole >= 10)
+    assert time.perf_counter() - began < 30
+
+
+def test_plain_words_are_no_secrets():
+    from flowlark.llm.queries import vocabulary
+
+    words = secret_scan.Lexicon.of_vocabulary(open(vocabulary(), "rb").read())
+    for w in ("international", "authentication", "documentation", "environment", "sunshine2019"):
+        assert secret_scan.scan(f"the secret is {w}", lexicon=words)[1] == []
+    assert secret_scan.scan("the secret is vK3-pq0Zt7", lexicon=words)[1]
+
+
 def test_guess_spans():
     text = "pwd is x9$Kq2!mZ7w@ and passphrase: changeme1 and token=abcdef123"
     assert secret_scan._named(secret_scan.scan(text)[1]).split(",")[0] == "guess:7:19"

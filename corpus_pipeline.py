@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked; n_chars follows."""
-    masked = secret_scan.mask_secrets(docs)
+    masked = secret_scan.mask_secrets(docs, vocabulary=vocabulary())
     out = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return masked.withColumns(out).select(*docs.columns)
 

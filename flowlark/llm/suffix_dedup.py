@@ -2,7 +2,7 @@
 
 Suffixes are ordered only through their first ``length`` bytes, their windows; after the last pass the equal groups are
 exactly the repeated windows. A pass splits groups by one more digit, and whatever is alone in its group leaves at
-once. What makes this fit a cluster is the choice of digits:
+once. What makes this fit a cluster is the choice of digits, which are read from a window's anchor outward:
 
 * Pass 1 takes the window's anchor, the fingerprint of the smallest of its ``gram``-byte strings. Equal windows have
   equal anchors at equal offsets, and about ``2 / (length - gram)`` of all positions are anchors, so only those are
@@ -11,8 +11,12 @@ once. What makes this fit a cluster is the choice of digits:
   windows of the run have in common (the core) and what they cover together (the hull). If the core is alone, no window
   repeats; if the hull occurs twice, all repeat; else the run is divided. The last pass has single windows.
 
-Digits are 64-bit fingerprints of the bytes. Groups are only counted (with partial sums before each shuffle) and joined
-back, never gathered, so a passage in a third of all documents needs no task of its own.
+Groups of equal digits are found by hash partitioning, not put in lexical order, which the result does not need. Cores
+are 64-bit polynomials and only rule out; two cores that fall together cost time. What removes bytes is a hull's own
+xxh3 fingerprint within its core's group, and for single windows both numbers, 128 bits.
+
+Groups are only counted (with partial sums before each shuffle) and joined back, never gathered, so a passage in a third
+of all documents needs no task of its own. Each pass is written as a table, and the tables before it are deleted.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from flowlark.llm.common import arrow_rows, cut, documents, mix, row_key
+from flowlark.llm.common import arrow_rows, cut, documents, free, mix, row_key
 
 #: Bytes of text that are fingerprinted at a time; texts beyond it are taken in overlapping parts.
 PART = 1 << 20
@@ -143,6 +148,11 @@ def _batch(core, hull, k, at) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (core, hull, k, at)], ["core", "hull", "k", "at"])
 
 
+def _digests(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    found = [xxhash.xxh3_64_intdigest(text[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.array(found, np.uint64)
+
+
 def _alone(k: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Instead of a hull that leaves its text: a number of its own."""
     with np.errstate(over="ignore"):
@@ -195,10 +205,9 @@ def _hulls(length: int, gram: int):
                 text, ats = _utf8(text), np.sort(ats)
                 pos, near, far = ats >> 32, ats >> 16 & 0xFFFF, ats & 0xFFFF
                 lo, hi = pos - far, pos - near + length
-                core, hull = np.empty(len(ats), np.uint64), np.empty(len(ats), np.uint64)
+                core, hull = np.empty(len(ats), np.uint64), _digests(text, lo, hi)
                 for part, left, spans in _spans_in_parts(text, pos, 2 * length):
                     core[part] = spans.of(pos[part] - left, pos[part] + gram - left)
-                    hull[part] = spans.of(lo[part] - left, hi[part] - left)
                 with np.errstate(over="ignore"):
                     _, one = np.unique(mix(core + mix((lo << 32 | hi).astype(np.uint64))), return_index=True)
                 if len(one):
@@ -207,19 +216,21 @@ def _hulls(length: int, gram: int):
     return work
 
 
-def _settle(rows: DataFrame, start, end) -> tuple[DataFrame, DataFrame]:
-    """One pass: (k, start, end) of the runs that repeat as a whole, and (k, at) of those that must be divided.
+def _settle(rows: DataFrame) -> DataFrame:
+    """One pass over (core, hull, k, at), a table that is deleted: k, at, whole, divided.
 
-    A run is divided if its hull is alone but its core is not; of the runs with equal hulls those of one document stand
-    for all, in case a divided one shares windows with them.
+    whole: the run repeats as a whole. divided: its windows must be looked at; its hull is alone but its core is not, or
+    it stands in for those with its hull, in case a divided one shares windows with them (one document of each hull).
     """
-    hulls = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min("k").alias("stand_in"))
+    hulls = cut(rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min("k").alias("stand_in")))
     cores = hulls.groupBy("core").agg(F.sum("n").alias("of_core"), F.sum(F.expr("if(n = 1, 1, 0)")).alias("open"))
-    told = hulls.join(cores.filter("of_core > 1"), "core")
-    marked = rows.join(told, ["core", "hull"])
-    whole = marked.filter("n > 1").select("k", start.alias("start"), end.alias("end"))
-    divided = marked.filter("n = 1 or (open > 0 and k = stand_in)").select("k", "at")
-    return whole, divided
+    cores = cut(cores.filter("of_core > 1").select("core", F.expr("open > 0").alias("open")))
+    # both sides of each join are dealt for it, so that a key with many rows can be split between tasks
+    told = cut(hulls.join(cores, "core"))
+    marked = rows.join(told, ["core", "hull"]).select("k", "at", F.expr("n > 1").alias("whole"), F.expr("n = 1 or (open and k = stand_in)").alias("divided"))
+    out = cut(marked)
+    free(rows, hulls, cores, told)
+    return out
 
 
 def _divide(docs: DataFrame, items: DataFrame, work) -> DataFrame:
@@ -274,12 +285,12 @@ def _core_rows(k: int, text: bytes, items: np.ndarray, length: int) -> Iterator[
         owner = np.full(len(a), k)
         # a run that leaves its text has no hull; its core is cut nowhere, for hi >= 0 and lo + length <= size
         hull = _alone(owner, items[part])
-        hull[inside] = spans.of(a[inside] - left, z[inside] + length - left)
+        hull[inside] = _digests(text, a[inside], z[inside] + length)
         yield _batch(core, hull, owner, items[part])
 
 
 def _windows(length: int):
-    """Divides runs into single windows, whose core and hull are the same."""
+    """Divides runs into single windows: core and hull are two fingerprints of the same bytes."""
 
     def work(batches):
         for b in arrow_rows(batches, PART):
@@ -291,33 +302,37 @@ def _windows(length: int):
                 starts = np.unique(starts[(starts >= 0) & (starts + length <= len(text))])
                 for part, left, spans in _spans_in_parts(text, starts, 2 * length):
                     at = starts[part]
-                    core = spans.of(at - left, at + length - left)
-                    yield _batch(core, core, np.full(len(at), k), at << 32)
+                    yield _batch(spans.of(at - left, at + length - left), _digests(text, at, at + length), np.full(len(at), k), at << 32)
 
     return work
 
 
 def repeated(docs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
-    """k, spans: for each text (k, doc_id, text) that has any, the byte ranges (start << 32 | end, not yet merged) of
-    the windows that start anywhere else too."""
+    """k, spans, a table: for each text (k, doc_id, text) that has any, the byte ranges (start << 32 | end, not yet
+    merged) of the windows that start anywhere else too."""
     if not 0 < gram < length < 1 << 15:
         raise ValueError("0 < gram < length < 32768 is needed")
-    # anchors are cheap to find again and many: they are not stored, only those which share their gram are
-    rows = _anchor_rows(docs, length, gram)
-    alive = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    rows = cut(rows.join(alive, "core", "left_semi").select("k", "at"))
-    rows = _divide(docs, rows, _hulls(length, gram))
+    every = cut(_anchor_rows(docs, length, gram))
+    alive = cut(every.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
+    anchors_left = cut(every.join(alive, "core").select("k", "at"))
+    free(every, alive)
+    marked = _settle(cut(_divide(docs, anchors_left, _hulls(length, gram))))
+    free(anchors_left)
     pos, near, far = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF), F.col("at").bitwiseAND(0xFFFF)
     lo, more = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    whole, divided = _settle(rows, pos - far, pos - near + length)
-    runs = _divide(docs, divided, _runs(length, gram, step))
-    whole_runs, divided = _settle(runs, lo, lo + more + length)
-    windows = _divide(docs, divided, _windows(length))
-    twice = windows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1")
-    single = windows.join(twice, "core").select("k", lo.alias("start"), (lo + length).alias("end"))
-    found = whole.union(whole_runs).union(single)
-    packed = F.shiftleft(F.greatest("start", F.lit(0)).cast("long"), 32).bitwiseOR(F.col("end"))
-    return found.select("k", packed.alias("span")).groupBy("k").agg(F.collect_set("span").alias("spans"))
+    packed = lambda start, end: F.shiftleft(F.greatest(start, F.lit(0)).cast("long"), 32).bitwiseOR(end).alias("span")
+    spans = [marked.filter("whole").select("k", packed(pos - far, pos - near + length))]
+    # only texts with anchors to divide are read again
+    items = marked.filter("divided").groupBy("k").agg(F.collect_set("at").alias("ats"))
+    left = cut(docs.join(items, "k"))
+    marked_runs = _settle(cut(left.mapInArrow(_runs(length, gram, step), _ROWS)))
+    spans.append(marked_runs.filter("whole").select("k", packed(lo, lo + more + length)))
+    windows = cut(_divide(left.select("k", "doc_id", "text"), marked_runs.filter("divided"), _windows(length)))
+    twice = cut(windows.groupBy("core", "hull").agg(F.count("*").alias("n")).filter("n > 1").select("core", "hull"))
+    spans.append(windows.join(twice, ["core", "hull"]).select("k", packed(lo, lo + length)))
+    found = cut(spans[0].union(spans[1]).union(spans[2]).groupBy("k").agg(F.collect_set("span").alias("spans")))
+    free(marked, left, marked_runs, windows, twice)
+    return found
 
 
 def merged(spans: np.ndarray, size: int) -> np.ndarray:

@@ -37,6 +37,34 @@ def test_chains_and_large_groups(spark):
     check(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=2).collect(), docs, 2)
 
 
+def test_one_large_near_copy_group(spark, monkeypatch):
+    """500 edits of one text, many of them just beyond the threshold, cut short or made longer: no link is lost, and the
+    pairs that are confirmed grow with the group, not with its square."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.sample(words, 120)
+    docs = [(1, " ".join(base))]
+    for i in range(2, 501):
+        text = list(base)
+        for _ in range(rng.randrange(4, 16)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        if rng.random() < 0.3:
+            text = text[: rng.randrange(80, 120)] if rng.random() < 0.5 else text + rng.sample(words, rng.randrange(30))
+        docs.append((i, " ".join(text)))
+    met, confirm = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *a: met.append(pairs.count()) or confirm(pairs, *a))
+    check(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=2).collect(), docs, 2)
+    assert sum(met) < 60 * len(docs)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 99, 1000, 123_457])
+def test_bands_cover_every_size(n):
+    bands = minhash._bands_of_sizes(n, 80)
+    fits = [m for m in range(-(-n * 80 // 100), n * 100 // 80 + 1) if 100 * min(m, n) >= 80 * max(m, n)] if n < 2000 else [-(-n * 80 // 100), n, n * 100 // 80]
+    least = dict(bands)
+    assert len(least) == len(bands) and all(least[minhash._band(m)] <= m for m in fits)
+
+
 def test_edges(edges, empty):
     rows = minhash.near_duplicates(edges, width=2).collect()
     assert len(rows) == edges.count()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlark.llm import minhash, packing, quality, secret_scan, suffix_dedup
-from flowlark.llm.common import cut
+from flowlark.llm.common import cut, free
 from flowlark.llm.queries import vocabulary
 
 #: SQL expresses neither the sketches nor the packing; the stages are tested against brute force.
@@ -66,9 +66,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            free(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -55,6 +55,7 @@ BANDS = [(0.85, "critical"), (0.65, "high"), (0.45, "medium")]
 SUPERVISED_THRESHOLD, ANOMALY_PERCENTILE = 0.5, 99.0
 SEED = 20260826
 
+# Which feature belongs to which group; importances and explanations are told by group.
 FEATURE_GROUPS = {
     "volume": "src_bytes dst_bytes duration byte_ratio bytes_per_second log_src_bytes log_dst_bytes".split(),
     "connection_rate": "count srv_count dst_host_count dst_host_srv_count conn_per_second".split(),

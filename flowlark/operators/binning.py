@@ -62,4 +62,4 @@ def novelty(scored: DataFrame, benign: DataFrame, score: str = "score", spans: i
     ranked = ranked.join(spans_below).join(F.broadcast(total))
     under = F.coalesce(F.array_max(F.transform(F.filter("_steps", lambda s: s["_b"] < F.col("_span")), lambda s: s["_upto"])), F.lit(0))
     ranked = ranked.select(score, (F.coalesce("_r", under) / F.col("_all")).alias("novelty"))
-    return scored.join(ranked, score)
+    return scored.join(ranked, score, "left")  # a score that is null has no novelty

@@ -28,6 +28,8 @@ def usual_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
+#: Nodes of a forest that is broadcast; about 100 bytes each.
+MOST_NODES = 4_000_000
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size long"
 
 
@@ -89,6 +91,8 @@ class Forest:
 
     @classmethod
     def of(cls, nodes: DataFrame) -> Forest:
+        if (n := nodes.count()) > MOST_NODES:
+            raise ValueError(f"{n} nodes are too many for every task to hold; fit fewer or shallower trees")
         pdf = nodes.toPandas().sort_values(["tree", "node"], kind="stable")
         first = pdf["tree"].ne(pdf["tree"].shift()).to_numpy()
         roots = np.flatnonzero(first)
@@ -220,6 +224,21 @@ def contributions(nodes: DataFrame, classes: int):
     return share
 
 
+def node_probabilities(nodes: DataFrame):
+    """A function of the feature array: the mean of the leaves' class distributions, from a node table with value."""
+    forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+
+    @F.pandas_udf("array<double>")
+    def proba(x: pd.Series) -> pd.Series:
+        f, out = forest.value, []
+        for i in range(0, len(x), 2048):
+            leaf, _ = f.leaves(np.stack(x.iloc[i : i + 2048].to_numpy()), inclusive=True)
+            out += list(f.value[leaf].mean(axis=1))
+        return pd.Series(out)
+
+    return proba
+
+
 def importances(nodes: DataFrame) -> DataFrame:
     """feature, importance: weighted impurity decrease of its splits, as shares."""
     per = nodes.filter("feature >= 0").groupBy("feature").agg(F.sum(F.greatest(F.col("gain") * F.col("weight"), F.lit(0.0))).alias("v"))

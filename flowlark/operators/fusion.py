@@ -42,7 +42,7 @@ def fuse(df: DataFrame, percentile: float = fixed.ANOMALY_PERCENTILE) -> DataFra
     return df.withColumns(
         {
             "severity": F.when(F.col("is_alert"), band(F.col("fused_score"))).otherwise("info"),
-            "corroboration": corroboration(q),
+            "corroboration": corroboration(),
             "category_out": F.when(F.col("rule_score") > 0, F.col("rule_category"))
             .when(F.col("supervised_alert"), F.col("supervised_category"))
             .when(F.col("anomaly_alert"), "unknown")
@@ -51,18 +51,15 @@ def fuse(df: DataFrame, percentile: float = fixed.ANOMALY_PERCENTILE) -> DataFra
     )
 
 
-def corroboration(q: float) -> Column:
-    """How the layers support each other, in words."""
+def corroboration() -> Column:
+    """How the layers support each other, in words; the figures are columns of their own."""
     n, only = F.size("layers"), F.try_element_at("layers", F.lit(1))
-    rule_alone = F.format_string(
-        f"signature only: attack probability %.2f, novelty %.3f (the anomaly line is at {q:g}); discounted, for no model agrees", "attack_prob", "novelty"
-    )
     return (
-        F.when(n == 0, "no layer flagged this connection")
-        .when(n >= 2, F.concat(n.cast("string"), F.lit(" of 3 layers agree ("), F.concat_ws(", ", "layers"), F.lit(")")))
-        .when(only == "signature", rule_alone)
-        .when(only == "supervised", "supervised model only: no rule matched and the connection looks like benign traffic")
-        .otherwise("anomaly layer only: unlike benign traffic but no known pattern; the weakest evidence")
+        F.when(n == 0, "nothing raised by any layer")
+        .when(n >= 2, F.concat(F.lit("raised by "), F.concat_ws(" and ", "layers")))
+        .when(only == "signature", "a rule alone; neither model is raised, so the score is lowered")
+        .when(only == "supervised", "the forest alone; no rule and no anomaly, so the score is lowered")
+        .otherwise("an anomaly alone, which says least of the three; the score is lowered most")
     )
 
 

@@ -34,27 +34,40 @@ def rate(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 
 
+def _trailing(df: DataFrame, place: str, reach: int, spans: int, sets: tuple[tuple[str, list[str], tuple[str, ...]], ...]) -> DataFrame:
+    """For each (prefix, keys, take) of ``sets`` adds prefix_k: how many of the rows before (by place, then seq) that
+    share the keys lie at most ``reach`` back, all (n), half-open (e) or rejected (r).
+
+    Each is the difference of two running sums: up to the row, and up to its window's lower edge, which is a row of its
+    own in the same order. So the time does not depend on how many rows a window holds.
+    """
+    rows = _dealt(df, place, reach, spans).withColumns({f"_{k}": c for k, c in _states().items()})
+    edge, own = F.struct((F.col(place) - reach).alias("_at"), F.lit(0).alias("_kind")), F.struct(F.col(place).alias("_at"), F.lit(1).alias("_kind"))
+    both = rows.withColumn("_ends", F.explode(F.when(F.col("_own"), F.array(edge, own)).otherwise(F.array(own)))).select("*", "_ends._at", "_ends._kind").drop("_ends")
+    # an edge counts for nothing itself
+    both = both.withColumns({f"_{k}": F.when(F.col("_kind") == 1, F.col(f"_{k}")).otherwise(0) for k in _states()})
+    for prefix, keys, take in sets:
+        run = Window.partitionBy("_span", *keys).orderBy("_at", "_kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumns({f"{prefix}_{k}": F.sum(f"_{k}").over(run) - F.col(f"_{k}") for k in take})
+    both = both.filter("_own")
+    pair = Window.partitionBy("_span", "seq").orderBy("_kind")
+    both = both.withColumns({f"{p}_{k}": F.col(f"{p}_{k}") - F.lag(f"{p}_{k}").over(pair) for p, _, take in sets for k in take})
+    return both.filter("_kind = 1").drop("_span", "_own", "_at", "_kind", *(f"_{k}" for k in _states()))
+
+
 def time_counts(df: DataFrame, window_us: int, spans: int = 16) -> DataFrame:
     """h_, s_, hs_ counts (n all, e half-open, r rejected) of the earlier connections that started at most
     ``window_us`` before and share dst, service or both. Connections of the same start count as earlier if their seq
     is lower. Needs start_us, seq, dst, service, flag."""
-    rows = _dealt(df, "start_us", window_us, spans).withColumns({f"_{k}": c for k, c in _states().items()})
-    for prefix, keys in (("h", ["dst"]), ("s", ["service"]), ("hs", ["dst", "service"])):
-        upto = Window.partitionBy("_span", *keys).orderBy("start_us").rangeBetween(-window_us, 0)
-        ties = Window.partitionBy("_span", *keys, "start_us").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
-        rows = rows.withColumns({f"{prefix}_{k}": F.sum(f"_{k}").over(upto) - F.sum(f"_{k}").over(ties) for k in _states()})
-    return rows.filter("_own").drop("_span", "_own", *(f"_{k}" for k in _states()))
+    every = tuple(_states())
+    return _trailing(df, "start_us", window_us, spans, (("h", ["dst"], every), ("s", ["service"], every), ("hs", ["dst", "service"], every)))
 
 
 def recent_counts(df: DataFrame, history: int = 100, spans: int = 50) -> DataFrame:
     """d_, ds_, dp_ counts over those of the last ``history`` connections (of all) that share dst, dst and service, or
     dst and port. Needs seq, dst, service, dport, flag."""
-    rows = _dealt(df, "seq", history, spans).withColumns({f"_{k}": c for k, c in _states().items()})
-    for prefix, keys in (("d", ["dst"]), ("ds", ["dst", "service"]), ("dp", ["dst", "dport"])):
-        last = Window.partitionBy("_span", *keys).orderBy("seq").rangeBetween(-history, -1)
-        take = ("n",) if prefix == "dp" else tuple(_states())
-        rows = rows.withColumns({f"{prefix}_{k}": F.coalesce(F.sum(f"_{k}").over(last), F.lit(0)) for k in take})
-    return rows.filter("_own").drop("_span", "_own", *(f"_{k}" for k in _states()))
+    every = tuple(_states())
+    return _trailing(df, "seq", history, spans, (("d", ["dst"], every), ("ds", ["dst", "service"], every), ("dp", ["dst", "dport"], ("n",))))
 
 
 COUNTS = [f"{p}_{k}" for p in ("h", "s", "hs", "d", "ds") for k in "ner"] + ["dp_n"]

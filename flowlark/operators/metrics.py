@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,3 +147,42 @@ def auc(df: DataFrame, truth: Column, score: str) -> DataFrame:
     both = points.join(counts, "threshold")
     right = F.sum(F.col("q") * ((F.col("tp") - F.col("p")) + F.col("p") / 2.0))
     return both.agg(share(right, F.sum("p").cast("double") * F.sum("q")).alias("auc"))
+
+
+def macro(classes: DataFrame) -> DataFrame:
+    """macro_f1, the plain mean of the classes' F1, and accuracy over all classes, from per_class()."""
+    return classes.agg(F.avg("f1").alias("macro_f1"), share(F.sum("detected"), F.sum("support")).alias("accuracy"))
+
+
+def slice_scores(df: DataFrame, slice_of: Column) -> DataFrame:
+    """Connections, attacks, alerts, recall, precision and false-positive rate of each slice."""
+    attack, alert = F.col("category") != "normal", F.col("is_alert")
+    per = df.groupBy(slice_of.alias("slice")).agg(F.count("*").alias("connections"), _n(attack).alias("attacks"), _n(alert).alias("alerts"), _n(attack & alert).alias("tp"))
+    benign, wrong = F.col("connections") - F.col("attacks"), F.col("alerts") - F.col("tp")
+    return per.select("slice", "connections", "attacks", "alerts", share(F.col("tp"), F.col("attacks")).alias("recall"), share(F.col("tp"), F.col("alerts")).alias("precision"), share(wrong, benign).alias("fpr"))
+
+
+def breakdown(alerts: DataFrame) -> DataFrame:
+    """kind, name, n: the rows of ``alerts`` by severity, by layer (each layer has a row) and by rule."""
+    layers = alerts.agg(*(_n(F.array_contains("layers", x)).alias(x) for x in fixed.LAYERS))
+    layers = layers.select(F.explode(F.create_map(*(c for x in fixed.LAYERS for c in (F.lit(x), F.col(x))))).alias("name", "n"))
+    severity = alerts.groupBy(F.col("severity").alias("name")).agg(F.count("*").alias("n"))
+    rules = alerts.select(F.explode("hits").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    kinds = (("layer", layers), ("severity", severity), ("rule", rules))
+    return reduce(DataFrame.union, (d.select(F.lit(k).alias("kind"), "name", "n") for k, d in kinds))
+
+
+def seen_unseen(df: DataFrame, novel: Sequence[str] = tuple(fixed.NOVEL)) -> DataFrame:
+    """seen_recall, unseen_recall, their gap, and the novel family with the least recall (then the most rows)."""
+    per = family_recall(df, novel)
+    alerts = F.col("hybrid_recall") * F.col("support")
+    mean = lambda which: F.try_divide(F.sum(F.when(which, alerts)), F.sum(F.when(which, F.col("support"))))
+    novel_row = ~F.col("in_training")
+    worst = F.min(F.when(novel_row, F.struct("hybrid_recall", (-F.col("support")).alias("by"), "family")))
+    out = per.agg(mean(F.col("in_training")).alias("seen_recall"), mean(novel_row).alias("unseen_recall"), worst.alias("w"))
+    return out.select("seen_recall", "unseen_recall", (F.col("seen_recall") - F.col("unseen_recall")).alias("gap"), F.col("w.family").alias("worst_family"))
+
+
+def gain(df: DataFrame, top: int) -> DataFrame:
+    """family, gain: the hybrid's recall less the supervised layer's; the ``top`` largest."""
+    return family_recall(df).select("family", (F.col("hybrid_recall") - F.col("supervised_recall")).alias("gain")).orderBy(F.desc("gain"), "family").limit(top)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import time
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel
@@ -150,35 +148,21 @@ def additivity_gap(det: Detector, rows: DataFrame) -> float:
 
 
 def narrative(rec: DataFrame) -> Column:
-    """One paragraph on an explained record."""
+    """A few sentences on an explained record: what agrees, what each layer saw, and then the verdict."""
     has = set(rec.select("identity.*").columns)
-    who = F.lit("")
-    if {"src_ip", "dst_ip", "dst_port"} <= has:
-        who = F.concat(F.col("identity.src_ip"), F.lit(" -> "), F.col("identity.dst_ip"), F.lit(":"), F.col("identity.dst_port").cast("string"), F.lit(" "))
-    show = lambda c: F.coalesce(F.col(f"identity.{c}"), F.lit("?")) if c in has else F.lit("?")
-    head = F.concat(who, F.format_string("(%s, state %s) flagged %s as %s with confidence %.2f.", show("service"), show("flag"), F.upper("severity"), "attributed", "confidence"))
-    first = F.try_element_at("rules", F.lit(1))
-    seen = F.concat_ws(", ", F.transform(F.map_entries(first["observed"]), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("?")))))
-    more = F.when(F.size("rules") > 1, F.format_string(" %d more rule(s) matched.", F.size("rules") - 1)).otherwise("")
-    rule = F.when(F.size("rules") > 0, F.concat(F.lit(" Rule "), first["rule_id"], F.lit(" ("), first["rule"], F.lit("): "), first["why"], F.lit(" Observed: "), seen, F.lit("."), more))
-    parts = lambda col, text: F.concat_ws("; ", F.transform(F.slice(f"{col}.features", 1, 3), text))
-    sup = F.when(
+    show = lambda c: F.coalesce(F.col(f"identity.{c}").cast("string"), F.lit("unknown")) if c in has else F.lit("unknown")
+    way = F.concat(F.lit(" from "), show("src_ip"), F.lit(" to "), show("dst_ip"), F.lit(" port "), show("dst_port")) if {"src_ip", "dst_ip"} <= has else F.lit("")
+    what = F.concat(F.lit("A "), show("service"), F.lit(" connection"), way, F.lit(" that ended in state "), show("flag"), F.lit(": "), F.col("corroboration"), F.lit("."))
+    listed = lambda values, each: F.concat_ws(", ", F.transform(values, each))
+    rule = F.transform("rules", lambda r: F.concat(F.lit(" "), r["rule_id"], F.lit(" holds because "), listed(F.map_entries(r["observed"]), lambda e: F.concat(e["key"], F.lit(" is "), F.coalesce(e["value"], F.lit("absent")))), F.lit(".")))
+    head = lambda layer: F.slice(f"{layer}.features", 1, 3)
+    forest = F.when(
         F.array_contains("layers", "supervised"),
-        F.concat(F.format_string(" The supervised model gives %.1f%% to '%s': ", F.col("supervised.probability") * 100, "supervised.predicted"), parts("supervised", lambda f: F.format_string("%s=%.3f %s it by %.3f", f["feature"], f["observed"], f["direction"], F.abs(f["contribution"]))), F.lit(".")),
+        F.concat(F.format_string(" The forest puts %s at %.2f, mostly by ", "supervised.predicted", "supervised.probability"), listed(head("supervised"), lambda f: F.concat(f["feature"], F.format_string(" (%+.3f)", f["contribution"]))), F.lit(".")),
     )
-    ano = F.when(
+    unusual = F.when(
         F.col("anomaly.alerted"),
-        F.concat(F.format_string(" More unusual than %.1f%% of benign traffic: ", F.col("anomaly.more_unusual_than") * 100), parts("anomaly", lambda f: F.format_string("%s=%.3f (%.1f SD)", f["feature"], f["observed"], f["z"])), F.lit(".")),
+        F.concat(F.format_string(" Only %.2f%% of benign traffic is as far out; what stands out is ", (1 - F.col("anomaly.more_unusual_than")) * 100), listed(head("anomaly"), lambda f: F.concat(f["feature"], F.format_string(" (z %+.1f)", f["z"]))), F.lit(".")),
     )
-    return F.concat(head, F.coalesce(rule, F.lit("")), F.coalesce(sup, F.lit("")), F.coalesce(ano, F.lit("")), F.lit(" Corroboration: "), F.col("corroboration"), F.lit("."))
-
-
-def timed(work) -> tuple[object, float]:
-    began = time.perf_counter()
-    return work(), time.perf_counter() - began
-
-
-def model_path(folder: str) -> str:
-    return os.path.join(folder, "detector")
-
-
+    verdict = F.format_string(" Verdict: %s, severity %s, score %.3f.", "attributed", "severity", "confidence")
+    return F.concat(what, F.concat_ws("", rule), F.coalesce(forest, F.lit("")), F.coalesce(unusual, F.lit("")), verdict)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlark import fixed
 from flowlark.functions import columns as C
-from flowlark.operators import binning, features, fusion, metrics, rules
+from flowlark.operators import binning, features, forests, fusion, metrics, rules
 from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
 from flowlark.plans.detector import Detector
@@ -165,6 +165,8 @@ def _with_tables(sql: str) -> str:
     body = sql.strip()
     if not need:
         return body
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join(need) + ", " + body[15:]
     if body.lower().startswith("with "):
         return "with " + ", ".join(need) + ", " + body[5:]
     return "with " + ", ".join(need) + " " + body
@@ -285,11 +287,14 @@ def q_history_rates(spark, sf_dir):
     return hist(spark, sf_dir).select("flow_id", *_HISTORY)
 
 
-@query("""select a.flow_id, count(b.flow_id) as prior from (select * from conn where flow_id % 50 = 0) a left join conn b on a.dst = b.dst and b.start_us >= a.start_us - 3600000000
-    and (b.start_us < a.start_us or (b.start_us = a.start_us and b.flow_id < a.flow_id)) group by a.flow_id""")
+_PRIOR_SQL = """select flow_id, count(*) over (partition by dst order by start_us range between 3600000000 preceding and current row)
+    - count(*) over (partition by dst, start_us order by flow_id rows between current row and unbounded following) as prior from conn"""
+
+
+@query(_PRIOR_SQL)
 def q_range_join(spark, sf_dir):
-    """The connections of q_range_join_all that the SQL asks for."""
-    return q_range_join_all(spark, sf_dir).filter("flow_id % 50 = 0")
+    """The window range join (J2) of every connection."""
+    return prior_counts(conn(spark, sf_dir))
 
 
 def prior_counts(df, window_us=3_600_000_000, spans=16):
@@ -304,9 +309,9 @@ def prior_counts(df, window_us=3_600_000_000, spans=16):
     return counted.union(df.filter(~keyed).select("flow_id", F.lit(0).cast("long").alias("prior")))
 
 
-@query()
+@query(_PRIOR_SQL)
 def q_range_join_all(spark, sf_dir):
-    """The window range join (J2) of every connection, by windows over spans of time: no SQL, as DuckDB's join is of pairs."""
+    """The same as q_range_join, under the name it had first."""
     return prior_counts(conn(spark, sf_dir))
 
 
@@ -401,9 +406,12 @@ def q_severity(spark, sf_dir):
     return fused(spark, sf_dir).select("flow_id", "severity", "category_out")
 
 
-@query("select flow_id, case when n_layers = 0 then 'no layer flagged this connection' else n_layers || ' of 3 layers agree (' || layer_list || ')' end as corroboration from fused where n_layers <> 1")
+@query("""select flow_id, case when n_layers = 0 then 'nothing raised by any layer' when n_layers >= 2 then 'raised by ' || replace(layer_list, ', ', ' and ')
+    when layer_list = 'signature' then 'a rule alone; neither model is raised, so the score is lowered'
+    when layer_list = 'supervised' then 'the forest alone; no rule and no anomaly, so the score is lowered'
+    else 'an anomaly alone, which says least of the three; the score is lowered most' end as corroboration from fused""")
 def q_corroboration(spark, sf_dir):
-    return fused(spark, sf_dir).filter(F.size("layers") != 1).select("flow_id", "corroboration")
+    return fused(spark, sf_dir).select("flow_id", "corroboration")
 
 
 @query("select flow_id, severity from fused where severity in ('medium', 'high', 'critical') and category_out = 'r2l'")
@@ -621,6 +629,205 @@ def q_search(spark, sf_dir):
     return fused(spark, sf_dir).filter(text.contains("h2 err")).select("flow_id")
 
 
+# ---- the evaluation report and scenarios ---------------------------------------------------------------------------
+
+
+@query(f"""select avg(case when 2 * tp + fp + fn > 0 then (2 * tp)::double / (2 * tp + fp + fn) else 0.0 end) as macro_f1, sum(tp)::double / sum(support) as accuracy
+    from (select *, support - tp as fn from (select c, (select count(*) from fused where category = c and supervised_category = c) as tp, (select count(*) from fused where category <> c and supervised_category = c) as fp,
+    (select count(*) from fused where category = c) as support from {_CLASSES}))""")
+def q_macro_f1(spark, sf_dir):
+    return metrics.macro(metrics.per_class(metrics.confusion(fused(spark, sf_dir), "category", "supervised_category")))
+
+
+_SLICE = """count(*) as connections, count(*) filter (where category <> 'normal') as attacks, count(*) filter (where is_alert) as alerts,
+    case when count(*) filter (where category <> 'normal') > 0 then (count(*) filter (where category <> 'normal' and is_alert))::double / count(*) filter (where category <> 'normal') else 0.0 end as recall,
+    case when count(*) filter (where is_alert) > 0 then (count(*) filter (where category <> 'normal' and is_alert))::double / count(*) filter (where is_alert) else 0.0 end as precision,
+    case when count(*) filter (where category = 'normal') > 0 then (count(*) filter (where category = 'normal' and is_alert))::double / count(*) filter (where category = 'normal') else 0.0 end as fpr"""
+
+
+@query(f"select category as slice, {_SLICE} from fused group by category")
+def q_slice_scores(spark, sf_dir):
+    """The scores of the scenarios' slices, one for each category."""
+    return metrics.slice_scores(fused(spark, sf_dir), F.col("category"))
+
+
+@query("""select 'layer' as kind, l as name, (select count(*) from fused where is_alert and category = 'normal' and contains(layer_list, l)) as n from (select unnest(['signature', 'supervised', 'anomaly']) as l)
+    union all select 'severity', severity, count(*) from fused where is_alert and category = 'normal' group by severity
+    union all select 'rule', r, count(*) from (select unnest(string_split(hit_list, ',')) as r from fused where is_alert and category = 'normal' and hit_list <> '') group by r""")
+def q_false_positives(spark, sf_dir):
+    """False positives by layer, severity and rule (scenario of benign traffic)."""
+    return metrics.breakdown(fused(spark, sf_dir).filter("is_alert and category = 'normal'"))
+
+
+@query("""select 'rows' as kind, 'all' as name, count(*) as n from fused union all select 'alerts', 'all', count(*) from fused where is_alert
+    union all select 'severity', severity, count(*) from fused where is_alert group by severity
+    union all select 'layer', l, (select count(*) from fused where is_alert and contains(layer_list, l)) from (select unnest(['signature', 'supervised', 'anomaly']) as l)
+    union all select 'rule', r, count(*) from (select unnest(string_split(hit_list, ',')) as r from fused where is_alert and hit_list <> '') group by r""")
+def q_alert_summary(spark, sf_dir):
+    rows = fused(spark, sf_dir)
+    totals = rows.agg(F.count("*").alias("rows"), F.count_if("is_alert").alias("alerts"))
+    totals = totals.select(F.explode(F.create_map(F.lit("rows"), "rows", F.lit("alerts"), "alerts")).alias("kind", "n")).select("kind", F.lit("all").alias("name"), "n")
+    return totals.union(metrics.breakdown(rows.filter("is_alert")))
+
+
+_GAP = "(label not in ('apache2', 'mscan'))"
+
+
+@query(f"""select avg(is_alert::int) filter (where {_GAP}) as seen_recall, avg(is_alert::int) filter (where not {_GAP}) as unseen_recall,
+    avg(is_alert::int) filter (where {_GAP}) - avg(is_alert::int) filter (where not {_GAP}) as gap,
+    (select label from (select label, avg(is_alert::int) as r, count(*) as n from fused where category <> 'normal' and not {_GAP} group by label order by r, n desc, label limit 1)) as worst_family
+    from fused where category <> 'normal'""")
+def q_seen_unseen(spark, sf_dir):
+    """Recall on families that training had and on those that it had not, and the worst of the latter."""
+    return metrics.seen_unseen(fused(spark, sf_dir), ("apache2", "mscan"))
+
+
+@query("""select label as family, avg(is_alert::int) - avg(supervised_alert::int) as gain from fused where category in ('r2l', 'u2r') group by label order by gain desc, family limit 3""")
+def q_hybrid_gain(spark, sf_dir):
+    """What the hybrid finds beyond the forest, in the families of the rare categories; the three largest."""
+    return metrics.gain(fused(spark, sf_dir).filter("category in ('r2l', 'u2r')"), 3)
+
+
+@query("select src, r as rule, count(*) as n from (select src, unnest(string_split(hit_list, ',')) as r from fused where is_alert and hit_list <> '') group by src, r")
+def q_source_rules(spark, sf_dir):
+    """How often each rule fired on the alerts of each source."""
+    return fused(spark, sf_dir).filter("is_alert").select("src", F.explode("hits").alias("rule")).groupBy("src", "rule").agg(F.count("*").alias("n"))
+
+
+_EXAMPLES = " union all ".join(
+    f"select '{kind}' as kind, flow_id, round(fused_score, 9) as fused_score, severity from (select * from fused where is_alert and category {sign} 'normal' order by round(fused_score, 9) desc, flow_id limit 3)"
+    for kind, sign in (("true_positive", "<>"), ("false_positive", "="))
+)
+
+
+@query(_EXAMPLES)
+def q_examples(spark, sf_dir):
+    """The surest right and the surest wrong alerts."""
+    rows = fused(spark, sf_dir).withColumn("fused_score", F.round("fused_score", 9))
+    best = lambda kind, which: fusion.queue(rows.filter(which)).limit(3).select(F.lit(kind).alias("kind"), "flow_id", "fused_score", "severity")
+    return best("true_positive", "category <> 'normal'").union(best("false_positive", "category = 'normal'"))
+
+
+@query("""select label as family, count(*) as support, avg(is_alert::int) as recall from fused where category = 'dos' group by label having count(*) >= 10 and avg(is_alert::int) < 0.9 order by recall, family limit 3""")
+def q_weak_families(spark, sf_dir):
+    """The least recalled families of the flood category, of those with ten connections or more."""
+    per = fused(spark, sf_dir).filter("category = 'dos'").groupBy(F.col("label").alias("family")).agg(F.count("*").alias("support"), F.avg(F.col("is_alert").cast("int")).alias("recall"))
+    return per.filter("support >= 10 and recall < 0.9").orderBy("recall", "family").limit(3)
+
+
+@query("""select flow_id, severity, layer_list, fused_score from (select flow_id, severity, layer_list, n_layers, round(fused_score, 9) as fused_score, category from fused where is_alert)
+    where severity in ('medium', 'high') and n_layers = 1 and category <> 'normal'""")
+def q_queue_filters(spark, sf_dir):
+    """The queue by severity, number of layers and whether the alert is right."""
+    rows = fused(spark, sf_dir).filter("is_alert and severity in ('medium', 'high') and size(layers) = 1 and category <> 'normal'")
+    return rows.select("flow_id", "severity", F.concat_ws(", ", "layers").alias("layer_list"), F.round("fused_score", 9).alias("fused_score"))
+
+
+# ---- all twelve rules on crafted traffic ---------------------------------------------------------------------------
+
+# events seen so that the flood and sweep rules, which the plain mapping cannot reach, have rows on both sides
+_RICH = {
+    "src_bytes": "case when k >= 50 then 1800.0 else 700.0 end",
+    "service": "case when service = 'click' then 'http' else service end",
+    "count": "case when flow_id % 3 = 0 then 220.0 else 55.0 + k end",
+    "same_srv_rate": "case when flow_id % 2 = 0 then 0.95 else 0.85 end",
+    "srv_diff_host_rate": "case when flow_id % 7 = 0 then 0.75 else 0.65 end",
+    "dst_host_srv_diff_host_rate": "case when flow_id % 5 = 0 then 0.40 else 0.39 end",
+}
+_RICH_SQL = "rich as materialized (select * replace (" + ", ".join(f"{v} as \"{c}\"" for c, v in _RICH.items()) + ") from hist), " + _hits_sql("rich_hit", "rich")
+
+
+@query(f"with {_RICH_SQL} select flow_id, hit_list, rule_severity, rule_category from rich_hit where hit_list <> ''")
+def q_all_rules(spark, sf_dir):
+    """Hits of all twelve rules, R02, R03 and R08 among them."""
+    rows = hist(spark, sf_dir)
+    rows = rules.with_hits(rows.withColumns({c: F.expr(v.replace("0.0 ", "0.0D ")) for c, v in _RICH.items()}))
+    return rows.filter(F.size("hits") > 0).select("flow_id", F.concat_ws(",", "hits").alias("hit_list"), "rule_severity", "rule_category")
+
+
+# ---- models from literal node tables, walked in SQL by recursion ---------------------------------------------------
+
+#: features of the literal models
+_INPUTS = ("duration", "src_bytes", "dst_bytes", "hot")
+#: tree, node, feature (-1 for a leaf), threshold, left, right, size
+_ISOLATION = (
+    (0, 0, 0, 4.0, 1, 2, 64), (0, 1, 1, 900.0, 3, 4, 30), (0, 2, -1, 0.0, -1, -1, 34), (0, 3, -1, 0.0, -1, -1, 12), (0, 4, -1, 0.0, -1, -1, 18),
+    (1, 0, 1, 2500.0, 1, 2, 64), (1, 1, 2, 1500.0, 3, 4, 50), (1, 2, -1, 0.0, -1, -1, 14), (1, 3, 0, 2.0, 5, 6, 40), (1, 4, -1, 0.0, -1, -1, 10), (1, 5, -1, 0.0, -1, -1, 2), (1, 6, -1, 0.0, -1, -1, 38),
+    (2, 0, 2, 3000.0, 1, 2, 64), (2, 1, 3, 3.0, 3, 4, 60), (2, 2, -1, 0.0, -1, -1, 4), (2, 3, -1, 0.0, -1, -1, 59), (2, 4, -1, 0.0, -1, -1, 1),
+)
+_KINDS = ("normal", "dos", "probe")
+#: the same, with the class distribution of the node
+_FOREST = (
+    (0, 0, 1, 1200.0, 1, 2, 100, (0.5, 0.3, 0.2)), (0, 1, 0, 3.0, 3, 4, 60, (0.7, 0.1, 0.2)), (0, 2, -1, 0.0, -1, -1, 40, (0.2, 0.6, 0.2)), (0, 3, -1, 0.0, -1, -1, 20, (0.4, 0.2, 0.4)), (0, 4, -1, 0.0, -1, -1, 40, (0.85, 0.05, 0.1)),
+    (1, 0, 2, 800.0, 1, 2, 100, (0.5, 0.25, 0.25)), (1, 1, -1, 0.0, -1, -1, 70, (0.6, 0.1, 0.3)), (1, 2, 3, 1.0, 3, 4, 30, (0.25, 0.6, 0.15)), (1, 3, -1, 0.0, -1, -1, 10, (0.1, 0.8, 0.1)), (1, 4, -1, 0.0, -1, -1, 20, (0.325, 0.5, 0.175)),
+)
+_ROW = "[duration, src_bytes, dst_bytes, hot]"
+
+
+def _nodes_sql(nodes) -> str:
+    cells = lambda n: ", ".join(f"{v}::double" if isinstance(v, float) else str(v) for v in n[:7]) + "".join(f", {p}::double" for p in (n[7] if len(n) > 7 else ()))
+    extra = "".join(f", p{i}" for i in range(len(nodes[0][7]))) if len(nodes[0]) > 7 else ""
+    return f"nodes(tree, node, feature, threshold, lft, rgt, size{extra}) as (values {', '.join(f'({cells(n)})' for n in nodes)})"
+
+
+def _walk_sql(nodes, less: str) -> str:
+    """walk: flow_id, tree, node, depth for every node on every row's way."""
+    return f"""{_nodes_sql(nodes)}, x as materialized (select flow_id, {_ROW} as v from conn),
+    walk(flow_id, tree, node, depth) as (select flow_id, tree, 0, 0 from x, (select distinct tree from nodes)
+      union all select w.flow_id, w.tree, case when x.v[n.feature + 1] {less} n.threshold then n.lft else n.rgt end, w.depth + 1
+      from walk w join nodes n on n.tree = w.tree and n.node = w.node join x on x.flow_id = w.flow_id where n.feature >= 0)"""
+
+
+def literal_nodes(spark: SparkSession, nodes, classes: bool) -> DataFrame:
+    return spark.createDataFrame([(*n[:7], *([list(n[7])] if classes else [])) for n in nodes], forests.NODES + (", value array<double>" if classes else ""))
+
+
+def _inputs(spark, sf_dir) -> DataFrame:
+    return conn(spark, sf_dir).select("flow_id", F.array(*(F.col(c).cast("double") for c in _INPUTS)).alias("x"))
+
+
+_USUAL = "case when {n} <= 1 then 1e-9 when {n} = 2 then 1.0 else 2.0 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n} end"
+
+
+@query(f"""with recursive {_walk_sql(_ISOLATION, '<')} select flow_id, round(pow(2.0::double, -avg(depth + {_USUAL.format(n='size::double')}) / {_USUAL.format(n='64.0::double')}), 9) as score
+    from walk join nodes using (tree, node) where feature < 0 group by flow_id""")
+def q_iforest_score(spark, sf_dir):
+    """Isolation scores of all connections from a literal node table."""
+    score = forests.isolation_score(literal_nodes(spark, _ISOLATION, False), 64)
+    return _inputs(spark, sf_dir).select("flow_id", F.round(score("x"), 9).alias("score"))
+
+
+@query(f"""with recursive {_walk_sql(_ISOLATION, '<')}, s as (select w.flow_id, n.feature, sum((1.0::double - c.size::double / n.size) / (w.depth + 1)) as part
+      from walk w join nodes n on n.tree = w.tree and n.node = w.node join walk u on u.flow_id = w.flow_id and u.tree = w.tree and u.depth = w.depth + 1 join nodes c on c.tree = u.tree and c.node = u.node group by all)
+    select flow_id, feature, round(part / sum(part) over (partition by flow_id), 9) as weight from s""")
+def q_iforest_attribution(spark, sf_dir):
+    """How much each feature isolated a connection, by literal trees; features that played no part have no row."""
+    weights = forests.isolation_weights(literal_nodes(spark, _ISOLATION, False))
+    each = _inputs(spark, sf_dir).select("flow_id", F.posexplode(weights("x")).alias("feature", "weight"))
+    return each.filter("weight > 0").select("flow_id", F.col("feature").cast("long").alias("feature"), F.round("weight", 9).alias("weight"))
+
+
+@query(f"""with recursive {_walk_sql(_FOREST, '<=')} select flow_id, round(avg(p0), 9) as normal, round(avg(p1), 9) as dos, round(avg(p2), 9) as probe
+    from walk join nodes using (tree, node) where feature < 0 group by flow_id""")
+def q_forest_proba(spark, sf_dir):
+    """Class probabilities of all connections from a literal forest."""
+    proba = forests.node_probabilities(literal_nodes(spark, _FOREST, True))
+    rows = _inputs(spark, sf_dir).select("flow_id", proba("x").alias("p"))
+    return rows.select("flow_id", *(F.round(F.get("p", F.lit(i)), 9).alias(c) for i, c in enumerate(_KINDS)))
+
+
+@query(f"""with recursive {_walk_sql(_FOREST, '<=')} select w.flow_id, n.feature, round(sum(c.p1 - n.p1) / 2, 9) as dos, round(sum(c.p0 - n.p0) / 2, 9) as normal
+    from walk w join nodes n on n.tree = w.tree and n.node = w.node join walk u on u.flow_id = w.flow_id and u.tree = w.tree and u.depth = w.depth + 1 join nodes c on c.tree = u.tree and c.node = u.node group by all""")
+def q_forest_contributions(spark, sf_dir):
+    """Contributions of the features on a connection's ways to two classes; the rest of the features have none."""
+    k = len(_KINDS)
+    share = forests.contributions(literal_nodes(spark, _FOREST, True), k)
+    rows = _inputs(spark, sf_dir).select("flow_id", share("x").alias("c"))
+    at = lambda i, j: F.get("c", F.lit(i * k + j))
+    cells = F.array(*(F.struct(F.lit(i).cast("long").alias("feature"), F.round(at(i, 1), 9).alias("dos"), F.round(at(i, 0), 9).alias("normal"), sum((F.abs(at(i, j)) for j in range(k)), F.lit(0.0)).alias("any")) for i in range(len(_INPUTS))))
+    return rows.select("flow_id", F.explode(cells).alias("r")).select("flow_id", "r.*").filter("any > 0").drop("any")
+
+
 # ---- the detector: no SQL, as its models are fitted ---------------------------------------------------------------
 
 

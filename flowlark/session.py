@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: list[str] = []
-
-
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and the command line; a cluster's own session is used as it is."""
     return (
@@ -17,18 +14,20 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, shared by driver and executors; a temporary folder only where the session names none."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tables-"))
-    return _own_folder[0]
+    """spark.checkpoint.dir, shared by driver and executors. Only a session on one machine may name none: there a temporary
+    folder stands in, and is set for the session. On a cluster that would lose tables, so it is refused."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tables-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
 def table(df: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from flowlark import fixed
 from flowlark.functions.columns import category_of, clean_label, finite, found, is_attack
+from flowlark.session import table
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -35,17 +37,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"is_attack": is_attack(F.col("category")), "flow_id": F.monotonically_increasing_id()})
 
 
-def load_records(spark: SparkSession, folder: str, force_simulated: bool = False, n_train: int | None = None, n_test: int | None = None):
-    """(train, test, provenance) from KDDTrain+.txt and KDDTest+.txt in ``folder``, or simulated if either is absent."""
+def load_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(train, test, provenance) from KDDTrain+.txt and KDDTest+.txt in ``folder``; both must be there."""
     paths = {k: os.path.join(folder, f"KDD{k}+.txt") for k in ("Train", "Test")}
-    if not force_simulated and all(_exists(spark, p) for p in paths.values()):
-        train, test = read_records(spark, paths["Train"]), read_records(spark, paths["Test"])
-        about = {"source": "real", "name": "NSL-KDD (KDDTrain+ / KDDTest+)", "note": f"read from {folder}"}
-    else:
-        from flowlark.sources.simulate import simulate
-
-        train, test = simulate(spark, n_train or 45_000, n_test or 12_000)
-        about = {"source": "simulated", "name": "simulated connections", "note": "files absent; generated from family profiles"}
+    if absent := [p for p in paths.values() if not _exists(spark, p)]:
+        raise FileNotFoundError(f"no such files: {absent}")
+    train, test = read_records(spark, paths["Train"]), read_records(spark, paths["Test"])
+    about = {"source": "real", "name": "NSL-KDD (KDDTrain+ / KDDTest+)", "note": f"read from {folder}"}
     unmapped = train.select("label", "category").union(test.select("label", "category")).filter("category = 'unknown'")
     about["unmapped_labels"] = sorted(r[0] for r in unmapped.select("label").distinct().collect())
     about["novel_in_test"] = sorted(r["label"] for r in novel_families(train, test).collect())
@@ -74,59 +72,59 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(" ".join(c.split()).lower() for c in df.columns))
 
 
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def read_flow_exports(spark: SparkSession, folder: str, max_rows_per_file: int | None = 200_000, seed: int = 0) -> tuple[DataFrame, dict]:
-    """(rows, provenance) of all CSV files of a folder with header. Columns that hold numbers are doubles, infinities and
-    gaps 0; label, category, is_attack and __source_file are added. At most ``max_rows_per_file`` rows of a file are
-    drawn, by hash (None: all)."""
-    if not _exists(spark, f"{folder}/*.csv"):
+    """(rows, provenance) of all CSV files of a folder with header. Files are put together by column name; a column that
+    a file lacks is a gap there. Columns that hold nothing but numbers are doubles, infinities and gaps 0; label,
+    category, is_attack and __source_file are added. Of a file the ``max_rows_per_file`` rows with the lowest hashes
+    are taken (None: all)."""
+    paths = _paths(spark, f"{folder}/*.csv")
+    if not paths:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    rows = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/*.csv")
-    named = clean_names(rows)
+    parts = [clean_names(spark.read.option("header", True).csv(p)).withColumn("__source_file", F.lit(os.path.basename(p))) for p in paths]
+    named = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if "label" not in named.columns:
         raise ValueError(f"no label column; found {named.columns[:8]}")
-    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    out, numeric = [], []
-    for f in named.schema:
-        if f.name == "label":
-            out.append(F.lower(F.trim(F.col("label").cast("string"))).alias("label"))
-        elif f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal"):
-            out.append(finite(F.col(f"`{f.name}`").cast("double")).alias(f.name))
-            numeric.append(f.name)
-        else:
-            out.append(F.col(f"`{f.name}`"))
-    data = named.select(*out, file.alias("__source_file"))
+    named = table(named.withColumn("_row", F.monotonically_increasing_id()))
+    values = [c for c in named.columns if c not in ("label", "__source_file", "_row")]
+    as_number = lambda c: F.col(f"`{c}`").try_cast("double")
+    odd = named.agg(*(F.count_if((F.trim(f"`{c}`") != "") & as_number(c).isNull()).alias(f"c{i}") for i, c in enumerate(values))).first() if values else []
+    numeric = [c for c, n in zip(values, odd, strict=True) if not n]
+    out = [finite(as_number(c)).alias(c) if c in numeric else F.col(f"`{c}`") for c in values]
+    data = named.select(*out, F.lower(F.trim("label")).alias("label"), "__source_file", "_row")
     if max_rows_per_file:
-        from pyspark.sql import Window
-
-        data = data.withColumn("_row", F.monotonically_increasing_id())
-        sizes = data.groupBy("__source_file").agg(F.count("*").alias("_n"))
-        turn = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        data = data.join(F.broadcast(sizes), "__source_file").filter(turn * F.col("_n") < 1.1 * max_rows_per_file)
-        # what is left is a little more than the cap for each file
-        at = F.row_number().over(Window.partitionBy("__source_file").orderBy(F.xxhash64("_row", F.lit(seed))))
-        data = data.withColumn("_at", at).filter(F.col("_at") <= max_rows_per_file).drop("_at", "_n", "_row")
+        data = lowest_hashes(data, F.least(F.col("_all"), F.lit(max_rows_per_file)), "__source_file", "_row", seed).filter("_low").drop("_low")
     data = data.withColumn("category", found(fixed.FLOW_CSV_CATEGORY, F.col("label"), "unknown"))
-    data = data.withColumns({"is_attack": is_attack(F.col("category")), "flow_id": F.monotonically_increasing_id()})
+    data = data.withColumns({"is_attack": is_attack(F.col("category"))}).withColumnRenamed("_row", "flow_id")
     about = {"source": "real", "name": "flow exports (CSV)", "note": f"read from {folder}", "numeric_features": numeric}
     unmapped = sorted(r[0] for r in data.filter("category = 'unknown'").select("label").distinct().collect() if r[0])
     return data, about | ({"unmapped_labels": unmapped} if unmapped else {})
 
 
 def stratified_split(df: DataFrame, test_fraction: float = 0.3, seed: int = 0, row_id: str = "flow_id", stratum: str = "category") -> DataFrame:
-    """Adds is_test. In each stratum the rows with the lowest hashes are the test rows.
+    """Adds is_test: in each stratum the rounded share of rows with the lowest hashes."""
+    return lowest_hashes(df, F.round(F.col("_all") * test_fraction), stratum, row_id, seed).withColumnRenamed("_low", "is_test")
 
-    Their number is the rounded share exactly: hashes are counted in 4096 ranges first, and only the range in which the
-    cut lies is ordered, so no task sees a whole stratum.
-    """
-    from pyspark.sql import Window
 
+def lowest_hashes(df: DataFrame, quota: Column, stratum: str, row_id: str, seed: int) -> DataFrame:
+    """Adds _low: whether a row is among the ``quota`` (of _all, its stratum's rows) rows of its stratum with the lowest
+    hashes of seed and ``row_id``.
+
+    The number is exact: hashes are counted in 4096 ranges first, and only the range in which the cut lies is ordered,
+    so no task sees a whole stratum.
+    """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(row_id).cast("string"))), 1, 13), 16, 10).cast("long")
     rows = df.withColumns({"_h": h}).withColumn("_r", F.shiftright("_h", 40))
     ranges = rows.groupBy(stratum, "_r").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(stratum).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = ranges.withColumn("_before", F.sum("n").over(upto) - F.col("n")).withColumn("_quota", F.round(F.sum("n").over(Window.partitionBy(stratum)) * test_fraction))
+    ranges = ranges.withColumns({"_before": F.sum("n").over(upto) - F.col("n"), "_all": F.sum("n").over(Window.partitionBy(stratum))}).withColumn("_quota", quota)
     rows = rows.join(F.broadcast(ranges.select(stratum, "_r", "_before", "_quota", "n")), [stratum, "_r"])
     cut_here = (F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") > F.col("_quota"))
     place = F.row_number().over(Window.partitionBy(stratum, "_r").orderBy("_h", row_id))
-    is_test = F.when(cut_here, F.col("_before") + place <= F.col("_quota")).otherwise(F.col("_before") < F.col("_quota"))
-    return rows.withColumn("is_test", is_test).drop("_h", "_r", "_before", "_quota", "n")
+    low = F.when(cut_here, F.col("_before") + place <= F.col("_quota")).otherwise(F.col("_before") < F.col("_quota"))
+    return rows.withColumn("_low", low).drop("_h", "_r", "_before", "_quota", "n")

@@ -81,5 +81,19 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.b, d
 from d left join n on n.doc_id = d.doc_id left join m on m.a = d.doc_id"""
 
 
+#: All windows of 200 bytes, as hex; those that start more than once; the bytes they cover, and what is between.
+_REPEATS_SQL = r"""
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as materialized (select doc_id, h, length(h) // 2 as n from d),
+w as materialized (select doc_id, s, md5(substr(h, 2 * s + 1, 400)) as m from (select doc_id, h, unnest(range(0, n - 199)) as s from b where n >= 200)),
+t as materialized (select m from w group by m having count(*) > 1),
+r as materialized (select doc_id, s, lag(s) over (partition by doc_id order by s) as before, lead(s) over (partition by doc_id order by s) as after from w where m in (select m from t)),
+x as (select doc_id, sum(least(200, coalesce(after - s, 200))) as gone, count(*) filter (where before is null or s - before > 200) as spans from r group by doc_id),
+k as (select b.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (z - f)), '' order by f) as kept from b join (
+    select doc_id, s + 200 as f, coalesce(after, 1000000000) as z from r where after is null or after - s > 200 union all select doc_id, 0, min(s) from r group by doc_id) e on e.doc_id = b.doc_id group by b.doc_id)
+select b.doc_id, n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from b left join x on x.doc_id = b.doc_id left join k on k.doc_id = b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": _NEAR_SQL}
+    return {"op2_minhash": _NEAR_SQL, "op5_suffix_dedup": _REPEATS_SQL}

@@ -3,9 +3,10 @@
 import random
 
 from brute import removal, repeats
+from compare import difference
 
 from flowlark.llm import suffix_dedup
-from flowlark.llm.queries import op5_suffix_dedup
+from flowlark.llm.queries import op5_suffix_dedup, oracle_sql
 
 
 def raw(text):
@@ -21,6 +22,10 @@ def test_whole_table(spark, sf_dir, documents):
     check(op5_suffix_dedup(spark, sf_dir).collect(), [(r.doc_id, r.text) for r in documents.collect()])
 
 
+def test_whole_table_by_sql(spark, sf_dir):
+    assert difference(op5_suffix_dedup(spark, sf_dir), oracle_sql()["op5_suffix_dedup"], sf_dir) is None
+
+
 def test_planted_passages(spark):
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("ab é") for _ in range(n))

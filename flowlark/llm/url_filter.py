@@ -101,7 +101,7 @@ def train(table: DataFrame, features: int = 1 << 18, penalty: float = 0.02) -> P
     return Pipeline(stages=stages).fit(with_grams(table).select("grams", "label"))
 
 
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.7, model: PipelineModel | None = None) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.9, model: PipelineModel | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, one row for each row of ``df``.
 
     The verdict is that of the longest fitting rule, else block if the regression's probability reaches ``threshold``

@@ -150,7 +150,7 @@ def test_url_table_holds_no_host_of_the_pages(spark, sf_dir):
     assert not parts & {t + e for t in [*url_filter.UNWANTED, *url_filter.WANTED] for e in url_filter.ENDINGS}
 
 
-def folds(table, key, threshold=0.7):
+def folds(table, key, threshold=0.9):
     """Precision, recall and share of wanted urls blocked, over five folds by ``key``."""
     caught = called = 0
     at = url_filter.vector_to_array("probability")[1] >= threshold
@@ -170,7 +170,7 @@ def test_url_model_on_unseen_names(spark):
     assert {r.name for r in table.select("name").distinct().collect()} == {t + e for t in [*url_filter.UNWANTED, *url_filter.WANTED] for e in url_filter.ENDINGS}
     precision, recall, blocked = folds(table, "name")
     assert precision >= 0.98 and recall >= 0.9
-    assert folds(table, "topic")[2] < 0.4
+    assert folds(table, "topic")[2] < 0.15
 
 
 def test_media_round_trip(spark, sf_dir, documents, edges, empty):

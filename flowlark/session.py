@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, shared by driver and executors. Only a session on one machine may name none: there a temporary
     folder stands in, and is set for the session. On a cluster that would lose tables, so it is refused."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tables-"))
     return spark.conf.get("spark.checkpoint.dir").rstrip("/")

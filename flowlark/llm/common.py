@@ -27,19 +27,36 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: later reads neither repeat the work nor depend on
-    an executor. free() deletes the table; else it goes when the driver's file system closes."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's file system closes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Adds the rows of ``df`` to the table at ``path``: all of them or, if the job fails, none."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/flowlark-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.mode("append").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     place, files = _place(spark, path)
-    files.deleteOnExit(place)
+    return files.exists(place)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: later reads neither repeat the work nor depend on
+    an executor. free() deletes the table; else it goes when the driver's file system closes."""
+    spark = df.sparkSession
+    path = scratch(spark, "flowlark")
+    append(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

@@ -2,15 +2,89 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges into which a column's values are counted before the ranges that hold a wanted rank are ordered.
+RANGES = 1024
+
+
+def quantiles(df: DataFrame, columns: list[Column], at: list[float]) -> list[list[float]]:
+    """For each column its exact quantiles at the shares ``at``, between two values in proportion; none for a column of nulls.
+
+    Selection for all ranks of all columns at once: a mergeable sketch gives points that cut each column in ranges of about
+    equal size, one pass counts the ranges exactly, and only the values of ranges that hold a wanted rank are ordered, each
+    range by itself and equal values as one row. Nulls are left out, NaN is the largest value.
+    """
+    many = len(columns)
+    rows = df.select(F.array(*(c.cast("double") for c in columns)).alias("x"))
+    grid = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    sketch = rows.agg(*(F.percentile_approx(F.get("x", F.lit(i)), grid, 4 * RANGES).alias(f"c{i}") for i in range(many))).first()
+    cuts = [np.unique(np.array(c or [], float)) for c in sketch]
+
+    def values(b: pa.RecordBatch) -> np.ndarray:
+        x = b.column(0).flatten()
+        return x.to_numpy(zero_copy_only=False).reshape(-1, many), x.is_valid().to_numpy(zero_copy_only=False).reshape(-1, many)
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+        for b in batches:
+            x, there = values(b)
+            for i, c in enumerate(cuts):
+                sums[i] += np.bincount(np.searchsorted(c, x[there[:, i], i], side="left"), minlength=len(c) + 1)
+        column = np.repeat(np.arange(many), [len(s) for s in sums])
+        place = np.concatenate([np.arange(len(s)) for s in sums])
+        yield pa.record_batch([pa.array(column, pa.int32()), pa.array(place, pa.int32()), pa.array(np.concatenate(sums), pa.int64())], ["column", "place", "n"])
+
+    sizes = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+    for r in rows.mapInArrow(count, "column int, place int, n long").groupBy("column", "place").agg(F.sum("n").alias("n")).collect():  # RANGES rows a column
+        sizes[r["column"]][r["place"]] = r["n"]
+    wanted, ways = [], []  # (column, range, rank in it); and for each column (position, lower rank, higher rank)
+    for i, size in enumerate(sizes):
+        upto = np.cumsum(size)
+        n = int(upto[-1])
+        ways.append([(q * (n - 1), math.floor(q * (n - 1)), math.ceil(q * (n - 1))) for q in at] if n else [])
+        for rank in sorted({r for _, low, high in ways[i] for r in (low, high)}):
+            place = int(np.searchsorted(upto, rank, side="right"))
+            wanted.append((i, place, rank - int(upto[place] - size[place]), rank))
+    if not wanted:
+        return [[] for _ in columns]
+    hit = [np.isin(np.arange(len(c) + 1), [p for j, p, _, _ in wanted if j == i]) for i, c in enumerate(cuts)]
+
+    def pick(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, there = values(b)
+            for i, c in enumerate(cuts):
+                v, n = np.unique(x[there[:, i], i], return_counts=True)
+                place = np.searchsorted(c, v, side="left")
+                held = hit[i][place]
+                if held.any():
+                    k = int(held.sum())
+                    yield pa.record_batch([pa.array(np.full(k, i), pa.int32()), pa.array(place[held], pa.int32()), pa.array(v[held]), pa.array(n[held], pa.int64())], ["column", "place", "value", "n"])
+
+    picked = rows.mapInArrow(pick, "column int, place int, value double, n long").groupBy("column", "place", "value").agg(F.sum("n").alias("n"))
+    placed = picked.withColumn("upto", F.sum("n").over(Window.partitionBy("column", "place").orderBy("value")))
+    ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "column int, place int, inner long, rank long"))  # two a share and column
+    found = placed.join(ranks, ["column", "place"]).filter("inner >= upto - n and inner < upto").select("column", "rank", "value").collect()
+    value = {(r["column"], r["rank"]): r["value"] for r in found}
+    between = lambda i, x, low, high: value[i, low] if low == high else (high - x) * value[i, low] + (x - low) * value[i, high]
+    return [[between(i, *w) for w in ways[i]] for i in range(many)]
+
+
+def exact_quantiles(df: DataFrame, columns: list[Column], bins: int) -> list[list[float]]:
+    """For each column the distinct exact quantiles at i / bins."""
+    return [sorted(set(q)) for q in quantiles(df, columns, [i / bins for i in range(1, bins)])]
+
+
 def bin_edges(df: DataFrame, column: str, bins: int = 64) -> list[float]:
-    """Distinct exact quantiles at i / bins; the percentile aggregate counts equal values before it sorts."""
-    at = [i / bins for i in range(1, bins)]
-    edges = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("e")).first()["e"]
-    return sorted(set(edges or []))
+    """Distinct exact quantiles of one column at i / bins."""
+    return exact_quantiles(df, [F.col(column)], bins)[0]
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:

@@ -11,12 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.session import shared_folder, table
+from flowlark.session import table
 
 
 def usual_path(n: float) -> float:
@@ -79,14 +77,16 @@ def fit_isolation(df: DataFrame, vector: Column, trees: int = 150, sample: int =
 
 @dataclass
 class Forest:
-    """Nodes of all trees as arrays; ``roots`` are the places of the trees' first nodes."""
+    """Nodes of all trees as arrays, level by level in each tree, a right child next to its left one; ``roots`` are the places of
+    the trees' first nodes, ``trees`` their numbers, ``depth`` that of each node."""
 
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
-    right: np.ndarray
     size: np.ndarray
+    depth: np.ndarray
     roots: np.ndarray
+    trees: list[int]
     value: np.ndarray | None = None
 
     @classmethod
@@ -94,12 +94,26 @@ class Forest:
         if (n := nodes.count()) > MOST_NODES:
             raise ValueError(f"{n} nodes are too many for every task to hold; fit fewer or shallower trees")
         pdf = nodes.toPandas().sort_values(["tree", "node"], kind="stable")
-        first = pdf["tree"].ne(pdf["tree"].shift()).to_numpy()
-        roots = np.flatnonzero(first)
-        base = np.maximum.accumulate(np.where(first, np.arange(len(pdf)), 0))
-        value = np.stack(pdf["value"].to_numpy()) if "value" in pdf else None
-        link = lambda c: pdf[c].to_numpy(np.int64) + base
-        return cls(pdf["feature"].to_numpy(np.int64), pdf["threshold"].to_numpy(float), link("left"), link("right"), pdf["size"].to_numpy(np.int64), roots, value)
+        tree = pdf["tree"].to_numpy(np.int64)
+        key = tree << 32 | pdf["node"].to_numpy(np.int64)
+        feature = pdf["feature"].to_numpy(np.int64)
+        roots = np.flatnonzero(np.diff(tree, prepend=-1))
+        order, depth, cur = [], [], roots
+        while len(cur):
+            order.append(cur)
+            depth.append(np.full(len(cur), len(depth)))
+            inner = cur[feature[cur] >= 0]
+            cur = np.stack([np.searchsorted(key, tree[inner] << 32 | pdf[c].to_numpy(np.int64)[inner]) for c in ("left", "right")], axis=1).ravel()
+        order, depth = np.concatenate(order), np.concatenate(depth)
+        at = np.lexsort((np.arange(len(order)), tree[order]))  # one tree after the other
+        order, depth = order[at], depth[at]
+        place = np.empty(len(pdf), np.int64)
+        place[order] = np.arange(len(order))
+        feature, inner = feature[order], feature[order] >= 0
+        left = np.arange(len(order))
+        left[inner] = place[np.searchsorted(key, tree[order][inner] << 32 | pdf["left"].to_numpy(np.int64)[order][inner])]
+        value = np.stack(pdf["value"].to_numpy())[order] if "value" in pdf else None
+        return cls(feature, pdf["threshold"].to_numpy(float)[order], left, pdf["size"].to_numpy(np.int64)[order], depth, place[roots], tree[roots].tolist(), value)
 
     def walk(self, x: np.ndarray, inclusive: bool):
         """Yields (place, feature, next place) for each step of all rows (first axis) in all trees (second axis); steps
@@ -113,18 +127,35 @@ class Forest:
                 return
             v = x[rows, np.maximum(f, 0)]
             go = v <= self.threshold[at] if inclusive else v < self.threshold[at]
-            to = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
+            to = np.where(inner, self.left[at] + ~go, at)
             yield at, f, to
             at = to
 
     def leaves(self, x: np.ndarray, inclusive: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf and depth of every row in every tree."""
-        at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
-        depth = np.zeros(at.shape)
-        for _, f, to in self.walk(x, inclusive):
-            depth += f >= 0
-            at = to
-        return at, depth
+        """Leaf and depth of every row in every tree. One tree at a time, whose nodes then stay in the processor's cache; a step
+        is two lookups of the node and one of the row, as the right child is next to the left. NaN goes right."""
+        rows, width = x.shape
+        most = np.finfo(float).max
+        flat = np.where(np.isnan(x) | (x > most), most, x).ravel()
+        out = np.empty((rows, len(self.roots)), np.int64)
+        bounds = [*self.roots.tolist(), len(self.feature)]
+        for t in range(len(self.roots)):
+            nodes = slice(bounds[t], bounds[t + 1])
+            feature, left = np.maximum(self.feature[nodes], 0), self.left[nodes] - bounds[t]
+            # a leaf is its own left child, and no value is beyond it
+            threshold = np.where(self.feature[nodes] >= 0, self.threshold[nodes], np.inf)
+            last = np.zeros(rows, np.int64)
+            live, at, base = np.arange(rows), np.zeros(rows, np.int64), np.arange(rows) * width
+            for step in range(int(self.depth[nodes].max(initial=0))):
+                v, edge = flat.take(base + feature.take(at)), threshold.take(at)
+                at = left.take(at) + (v > edge if inclusive else v >= edge)
+                if step % 4 == 3:  # those that have arrived leave
+                    going = threshold.take(at) < np.inf
+                    last[live] = at
+                    live, at, base = live[going], at[going], base[going]
+            last[live] = at
+            out[:, t] = last + bounds[t]
+        return out, self.depth[out].astype(float)
 
 
 def isolation_score(nodes: DataFrame, sample: int):
@@ -166,13 +197,6 @@ def isolation_weights(nodes: DataFrame):
     return weights
 
 
-def fit_forest(df: DataFrame, vector: Column, label: Column, weight: Column, trees: int = 120, depth: int = 20, leaf: int = 2, bins: int = 64, seed: int = 0) -> RandomForestClassificationModel:
-    """Spark ML's distributed random forest over the feature array."""
-    rows = df.select(array_to_vector(vector).alias("features"), label.cast("double").alias("label"), weight.alias("weight"))
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxBins=bins, seed=seed, weightCol="weight")
-    return rf.fit(rows)
-
-
 def class_weights(df: DataFrame, target: str) -> dict[str, float]:
     """n / (classes * n of the class)."""
     rows = df.groupBy(target).count().collect()
@@ -180,28 +204,6 @@ def class_weights(df: DataFrame, target: str) -> dict[str, float]:
     return {r[target]: n / (len(rows) * r["count"]) for r in rows}
 
 
-def forest_nodes(model: RandomForestClassificationModel, spark) -> DataFrame:
-    """Node table of a fitted random forest, with value: the class distribution of each node."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-    model.save(path)
-    data = spark.read.parquet(f"{path}/data")
-    n = data.select("treeID", "nodeData.*")
-    total = F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x)
-    return n.select(
-        F.col("treeID").alias("tree"), F.col("id").alias("node"), F.coalesce(F.col("split.featureIndex"), F.lit(-1)).alias("feature"),
-        F.coalesce(F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)), F.lit(0.0)).alias("threshold"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-        F.col("rawCount").cast("long").alias("size"), F.transform("impurityStats", lambda x: x / total).alias("value"), "gain", "impurity", total.alias("weight"),
-    )
-
-
-def probabilities(model: RandomForestClassificationModel, df: DataFrame, vector: Column) -> DataFrame:
-    """``df`` with proba, the mean of the leaves' class distributions."""
-    out = model.setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("").transform(df.withColumn("features", array_to_vector(vector)))
-    return out.withColumn("proba", vector_to_array("_p")).drop("features", "_p", "rawPrediction", "prediction")
-
-
 def contributions(nodes: DataFrame, classes: int):
     """A function of the feature array: features * classes contributions, row by row, and after them the bias of each
     class. Added up over features and bias they are the probabilities. For explained rows only."""
@@ -210,15 +212,19 @@ def contributions(nodes: DataFrame, classes: int):
     @F.pandas_udf("array<double>")
     def share(x: pd.Series) -> pd.Series:
         f, out = forest.value, []
-        trees = len(f.roots)
-        bias = f.value[f.roots].mean(axis=0)
-        for row in x:
-            row = np.asarray(row, float)[None, :]
-            total = np.zeros((row.shape[1], classes))
-            for at, feature, to in f.walk(row, inclusive=True):
-                step = (f.value[to] - f.value[at])[0] * (feature[0] >= 0)[:, None]
-                np.add.at(total, np.maximum(feature[0], 0), step / trees)
-            out.append(np.concatenate([total.ravel(), bias]))
+        trees, bias = len(f.roots), f.value[f.roots].mean(axis=0)
+        for i in range(0, len(x), 512):
+            rows = np.stack(x.iloc[i : i + 512].to_numpy())
+            n, width = rows.shape
+            total = np.zeros((n * width, classes))
+            for at, feature, to in f.walk(rows, inclusive=True):
+                row, tree = np.nonzero(feature >= 0)
+                cell = row * width + feature[row, tree]
+                step = f.value[to[row, tree]] - f.value[at[row, tree]]
+                for k in range(classes):
+                    total[:, k] += np.bincount(cell, weights=step[:, k], minlength=n * width)
+            total = total.reshape(n, width * classes) / trees
+            out += list(np.concatenate([total, np.broadcast_to(bias, (n, classes))], axis=1))
         return pd.Series(out)
 
     return share
@@ -233,7 +239,10 @@ def node_probabilities(nodes: DataFrame):
         f, out = forest.value, []
         for i in range(0, len(x), 2048):
             leaf, _ = f.leaves(np.stack(x.iloc[i : i + 2048].to_numpy()), inclusive=True)
-            out += list(f.value[leaf].mean(axis=1))
+            sums = np.zeros((len(leaf), f.value.shape[1]))
+            for t in range(leaf.shape[1]):
+                sums += f.value.take(leaf[:, t], axis=0)
+            out += list(sums / leaf.shape[1])
         return pd.Series(out)
 
     return proba

@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlark import fixed
-from flowlark.operators import forests, fusion, rules
-from flowlark.operators.binning import novelty
+from flowlark.operators import forests, fusion, histogram, rules
+from flowlark.operators.binning import novelty, quantiles
 from flowlark.operators.features import FeatureSpace
 from flowlark.session import table
 
@@ -21,7 +20,6 @@ IDENTITY = "src_ip dst_ip dst_port start_time protocol_type service flag duratio
 @dataclass
 class Detector:
     space: FeatureSpace
-    forest: RandomForestClassificationModel
     classes: list[str]
     nodes: DataFrame  # of the supervised forest
     isolation: DataFrame  # nodes of the isolation forest
@@ -31,12 +29,12 @@ class Detector:
     benign_mean: list[float]
     benign_std: list[float]
     percentile: float = fixed.ANOMALY_PERCENTILE
+    seed: int = fixed.SEED
 
     @classmethod
     def fit(cls, train: DataFrame, trees: int = 120, isolation_trees: int = 150, sample: int = 256, seed: int = fixed.SEED, depth: int = 20, benign: Column | None = None) -> Detector:
         """Fits all layers to rows with flow_id and category. Benign rows (category normal, or ``benign``) must be 50 or
         more; the feature space and the forest see all rows, the isolation forest benign ones only."""
-        spark = train.sparkSession
         train = table(train)
         benign_rows = train.filter(F.col("category") == "normal" if benign is None else benign)
         if benign_rows.limit(50).count() < 50:
@@ -44,23 +42,28 @@ class Detector:
         space = FeatureSpace.fit(train)
         weights = forests.class_weights(train, "category")
         classes = sorted(weights)
-        of = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.col("category"))
-        label = of({c: float(i) for i, c in enumerate(classes)})
-        model = forests.fit_forest(train, space.vector(train), label, of(weights), trees, depth, seed=seed)
+        nodes = histogram.fit(train, "flow_id", space.vector(train), cls._label(classes), [weights[c] for c in classes], len(fixed.FEATURES), trees, depth, seed=seed)
         isolation = forests.fit_isolation(benign_rows, space.vector(benign_rows, scaled=True), isolation_trees, sample, seed)
         size = min(sample, benign_rows.count())
         score = forests.isolation_score(isolation, size)
         scores = table(benign_rows.select(score(space.vector(benign_rows, scaled=True)).alias("score")))
-        threshold = scores.agg(F.percentile("score", F.lit(fixed.ANOMALY_PERCENTILE / 100))).first()[0]
+        threshold = quantiles(scores, [F.col("score")], [fixed.ANOMALY_PERCENTILE / 100])[0][0]
         raw = space.transform(benign_rows).agg(*(f(c).alias(f"{k}{c}") for c in fixed.FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         std = [s if (s := raw[f"s{c}"]) >= 1e-12 else 1.0 for c in fixed.FEATURES]
-        nodes = table(forests.forest_nodes(model, spark))
-        return cls(space, model, classes, nodes, isolation, scores, size, threshold, [raw[f"m{c}"] for c in fixed.FEATURES], std)
+        return cls(space, classes, nodes, isolation, scores, size, threshold, [raw[f"m{c}"] for c in fixed.FEATURES], std, seed=seed)
+
+    @staticmethod
+    def _label(classes: list[str]) -> Column:
+        return F.array_position(F.lit(classes), F.col("category")).cast("int") - 1
+
+    def oob_accuracy(self, train: DataFrame) -> DataFrame:
+        """n_rows, n_voted, n_right, accuracy of the forest on the rows that it was fitted to, each by the trees that did not see it."""
+        return histogram.oob_accuracy(train, "flow_id", self.space.vector(train), self._label(self.classes), self.nodes, self.seed)
 
     def score(self, df: DataFrame) -> DataFrame:
         """Rule, forest and isolation results for each row (flow_id and connection features)."""
         out = rules.with_hits(df)
-        out = forests.probabilities(self.forest, out, self.space.vector(df))
+        out = out.withColumn("proba", forests.node_probabilities(self.nodes)(self.space.vector(df)))
         normal = self.classes.index("normal") if "normal" in self.classes else -1
         attack = 1.0 - F.col("proba")[normal] if normal >= 0 else F.array_max("proba")
         best = F.array_position("proba", F.array_max("proba")).cast("int")
@@ -124,10 +127,9 @@ class Detector:
 
     def save(self, path: str) -> None:
         """Models and tables as Parquet, parameters as JSON. Rules are code and not saved."""
-        self.forest.write().overwrite().save(f"{path}/forest")
         for name in ("nodes", "isolation", "benign_scores"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        rest = {"classes": self.classes, "sample": self.sample, "threshold": self.threshold, "benign_mean": self.benign_mean, "benign_std": self.benign_std, "percentile": self.percentile, "space": self.space.to_json()}
+        rest = {"classes": self.classes, "sample": self.sample, "threshold": self.threshold, "benign_mean": self.benign_mean, "benign_std": self.benign_std, "percentile": self.percentile, "seed": self.seed, "space": self.space.to_json()}
         spark = self.nodes.sparkSession
         spark.createDataFrame([(json.dumps(rest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/parameters")
 
@@ -136,7 +138,7 @@ class Detector:
         rest = json.loads(spark.read.text(f"{path}/parameters", wholetext=True).first()["value"])
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "isolation", "benign_scores")}
         space = FeatureSpace.from_json(rest.pop("space"))
-        return cls(space=space, forest=RandomForestClassificationModel.load(f"{path}/forest"), **tables, **rest)
+        return cls(space=space, **tables, **rest)
 
 
 def additivity_gap(det: Detector, rows: DataFrame) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlark import fixed
 from flowlark.functions import columns as C
-from flowlark.operators import binning, features, forests, fusion, metrics, rules
+from flowlark.operators import binning, features, forests, fusion, histogram, metrics, rules
 from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
 from flowlark.plans.detector import Detector
@@ -525,7 +525,8 @@ def q_auc(spark, sf_dir):
 
 @query("select round(quantile_cont(src_bytes, 0.99), 6) as threshold from conn where category = 'normal'")
 def q_percentile_threshold(spark, sf_dir):
-    return conn(spark, sf_dir).filter("category = 'normal'").agg(F.round(F.percentile("src_bytes", F.lit(0.99)), 6).alias("threshold"))
+    (value,) = binning.quantiles(conn(spark, sf_dir).filter("category = 'normal'"), [F.col("src_bytes")], [0.99])[0]
+    return spark.createDataFrame([(round(value, 6),)], "threshold double")
 
 
 @query("""select flow_id, (select count(*) from conn b where b.category = 'normal' and b.duration <= a.duration)::double / (select count(*) from conn where category = 'normal') as novelty
@@ -828,6 +829,45 @@ def q_forest_contributions(spark, sf_dir):
     return rows.select("flow_id", F.explode(cells).alias("r")).select("flow_id", "r.*").filter("any > 0").drop("any")
 
 
+_BAG_SEED = 11
+
+
+def _bag_sql(trees: int) -> str:
+    """bag: flow_id, tree, w of every row and tree; ids below 2 ** 32."""
+    keys = ", ".join(f"({t}, {histogram.tree_key(t, _BAG_SEED)}::ubigint)" for t in range(trees))
+    draw = " + ".join(f"(h >= {p})::int" for p in histogram.POISSON)
+    step = lambda name, of, more: f"{name} as materialized (select flow_id, tree, {more} as h from {of})"
+    h = "h"
+    stages, last = [], "b0"
+    stages.append(f"b0 as materialized (select flow_id, tree, xor(flow_id::ubigint, key) as h from conn, (values {keys}) k(tree, key))")
+    for i in range(2):  # the second is for the upper half of the id, which is 0
+        for j, (shift, factor) in enumerate(((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None))):
+            stir = f"xor({h}, {h} >> {shift})"
+            name = f"b{i}{j}"
+            stages.append(step(name, last, f"({stir} * {factor}::ubigint) % 4294967296::ubigint" if factor else stir))
+            last = name
+    return ", ".join(stages) + f", bag as (select flow_id, tree, {draw} as w from {last})"
+
+
+@query(f"""with recursive {_walk_sql(_FOREST, '<=')}, {_bag_sql(2)},
+    v as (select w.flow_id, sum(p0) as p0, sum(p1) as p1, sum(p2) as p2 from walk w join nodes n on n.tree = w.tree and n.node = w.node join bag b on b.flow_id = w.flow_id and b.tree = w.tree
+      where n.feature < 0 and b.w = 0 group by w.flow_id),
+    k as (select flow_id, case category when 'normal' then 0 when 'dos' then 1 when 'probe' then 2 else 3 end as label from conn),
+    r as (select label, p0 is not null as voted, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as best from k left join v on v.flow_id = k.flow_id)
+    select label, count(*) as n_rows, count(*) filter (voted) as n_voted, count(*) filter (voted and best = label) as n_right,
+      count(*) filter (voted and best = label)::double / nullif(count(*) filter (voted), 0) as accuracy from r group by label""")
+def q_oob_accuracy(spark, sf_dir):
+    """By class, how many connections the trees of a literal forest get right that did not see them, with hashed bags of all rows."""
+    rows = conn(spark, sf_dir).select("flow_id", "category", F.array(*(F.col(c).cast("double") for c in _INPUTS)).alias("x"))
+    place = F.array_position(F.lit(list(_KINDS)), F.col("category"))
+    label = F.when(place > 0, place - 1).otherwise(len(_KINDS)).cast("long")
+    votes = histogram.oob_votes(literal_nodes(spark, _FOREST, True), _BAG_SEED)
+    voted = rows.select(label.alias("label"), votes("flow_id", "x").alias("v"))
+    right = (F.array_position("v", F.array_max("v")) - 1) == F.col("label")
+    out = voted.groupBy("label").agg(F.count("*").alias("n_rows"), F.count("v").alias("n_voted"), F.sum(F.coalesce(right, F.lit(False)).cast("long")).alias("n_right"))
+    return out.withColumn("accuracy", F.try_divide(F.col("n_right").cast("double"), F.col("n_voted")))
+
+
 # ---- the detector: no SQL, as its models are fitted ---------------------------------------------------------------
 
 
@@ -840,6 +880,13 @@ def q_detect(spark, sf_dir):
     return detected(hist(spark, sf_dir))[1].select(*_VERDICT)
 
 
+@query()
+def q_detect_oob(spark, sf_dir):
+    """Accuracy of the forest that is fitted to the whole table, each row judged by the trees that did not see it."""
+    rows = hist(spark, sf_dir)
+    return Detector.fit(rows).oob_accuracy(rows)
+
+
 @query()
 def q_detect_explained(spark, sf_dir):
     """The explained record of every alert of q_detect."""

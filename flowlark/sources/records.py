@@ -123,8 +123,9 @@ def lowest_hashes(df: DataFrame, quota: Column, stratum: str, row_id: str, seed:
     ranges = rows.groupBy(stratum, "_r").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(stratum).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
     ranges = ranges.withColumns({"_before": F.sum("n").over(upto) - F.col("n"), "_all": F.sum("n").over(Window.partitionBy(stratum))}).withColumn("_quota", quota)
-    rows = rows.join(F.broadcast(ranges.select(stratum, "_r", "_before", "_quota", "n")), [stratum, "_r"])
+    ranges = ranges.select(F.col(stratum).alias("_stratum"), F.col("_r").alias("_range"), "_before", "_quota", "n")
+    rows = rows.join(ranges, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_r") == F.col("_range")))  # rows without a stratum are one
     cut_here = (F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") > F.col("_quota"))
     place = F.row_number().over(Window.partitionBy(stratum, "_r").orderBy("_h", row_id))
     low = F.when(cut_here, F.col("_before") + place <= F.col("_quota")).otherwise(F.col("_before") < F.col("_quota"))
-    return rows.withColumn("_low", low).drop("_h", "_r", "_before", "_quota", "n")
+    return rows.withColumn("_low", low).drop("_h", "_r", "_stratum", "_range", "_before", "_quota", "n")

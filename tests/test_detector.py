@@ -33,6 +33,13 @@ def test_scores_are_in_range_and_useful(fitted, traffic):
     assert mean(False) > mean(True) + 0.2
 
 
+def test_accuracy_out_of_the_bag(fitted, traffic):
+    det, _ = fitted
+    train = traffic.filter("flow_id % 4 <> 0")
+    got = det.oob_accuracy(train).first()
+    assert got.n_rows == train.count() and got.n_voted > 0.95 * got.n_rows and 0.6 < got.accuracy <= 1  # ten trees: 1 % of the rows are in all bags
+
+
 def test_contributions_add_up(fitted):
     det, rows = fitted
     assert additivity_gap(det, rows.limit(50)) < 1e-9
@@ -44,14 +51,21 @@ def test_explained_alerts(fitted):
     assert len(told) == 10
     for r in told:
         assert r.narrative and r.corroboration and r.layers and len(r.supervised.features) <= 5
+        weights = [abs(f.contribution) for f in r.supervised.features]
+        assert weights == sorted(weights, reverse=True) and sum(r.supervised.class_probabilities.values()) == pytest.approx(1)
+        assert r.supervised.attack_probability == pytest.approx(1 - r.supervised.class_probabilities["normal"])
+        assert all(f.z == pytest.approx((f.observed - f.benign_mean) / f.benign_sd) and f.weight >= 0 for f in r.anomaly.features)
 
 
-def test_save_and_load(fitted, spark, tmp_path):
+def test_save_and_load(fitted, traffic, spark, tmp_path):
     det, rows = fitted
     det.save(f"file://{tmp_path}/d")
     again = Detector.load(spark, f"file://{tmp_path}/d")
     assert again.threshold == det.threshold and again.classes == det.classes
-    assert again.nodes.count() == det.nodes.count()
+    verdicts = lambda d: sorted((r.flow_id, r.attack_prob, r.score, r.novelty, r.category_out) for r in d.collect())
+    some = rows.limit(200).select("flow_id")
+    test = traffic.join(some, "flow_id", "left_semi")
+    assert verdicts(again.predict(test)) == verdicts(det.predict(test)) and again.nodes.count() == det.nodes.count()
 
 
 def test_isolation_path_lengths():

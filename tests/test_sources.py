@@ -57,3 +57,12 @@ def test_novelty_keeps_rows_without_a_score(spark):
     benign = spark.createDataFrame([(0.1,), (0.5,), (0.5,), (0.9,)], "score double")
     got = {r.flow_id: r.novelty for r in binning.novelty(scored, benign).collect()}
     assert got == {1: 0.75, 2: None, 3: 0.75, 4: 0.0, 5: 1.0}
+
+
+def test_rows_without_a_stratum_are_split_too(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(300)], "flow_id long, category string")
+    rows = records.stratified_split(df, 0.3).collect()
+    assert len(rows) == 300 and {r.flow_id for r in rows} == set(range(300))
+    for c in (None, "a", "b"):
+        own = [r.is_test for r in rows if r.category == c]
+        assert sum(own) == round(0.3 * len(own))

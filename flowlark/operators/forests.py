@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,9 +159,16 @@ class Forest:
         return out, self.depth[out].astype(float)
 
 
+def shared(nodes: DataFrame) -> Broadcast:
+    """The forest of a node table, sent out once however often the table is used."""
+    if (found := getattr(nodes, "_flowlark_forest", None)) is None:
+        found = nodes._flowlark_forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+    return found
+
+
 def isolation_score(nodes: DataFrame, sample: int):
     """A function of the (scaled) feature array: 2 ^ -(mean depth / usual depth)."""
-    forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+    forest = shared(nodes)
     usual = usual_path(sample)
 
     @F.pandas_udf("double")
@@ -178,7 +186,7 @@ def isolation_score(nodes: DataFrame, sample: int):
 
 def isolation_weights(nodes: DataFrame):
     """A function of the feature array: how much each feature isolated the row, as shares. For explained rows only."""
-    forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+    forest = shared(nodes)
 
     @F.pandas_udf("array<double>")
     def weights(x: pd.Series) -> pd.Series:
@@ -207,7 +215,7 @@ def class_weights(df: DataFrame, target: str) -> dict[str, float]:
 def contributions(nodes: DataFrame, classes: int):
     """A function of the feature array: features * classes contributions, row by row, and after them the bias of each
     class. Added up over features and bias they are the probabilities. For explained rows only."""
-    forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+    forest = shared(nodes)
 
     @F.pandas_udf("array<double>")
     def share(x: pd.Series) -> pd.Series:
@@ -232,7 +240,7 @@ def contributions(nodes: DataFrame, classes: int):
 
 def node_probabilities(nodes: DataFrame):
     """A function of the feature array: the mean of the leaves' class distributions, from a node table with value."""
-    forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+    forest = shared(nodes)
 
     @F.pandas_udf("array<double>")
     def proba(x: pd.Series) -> pd.Series:

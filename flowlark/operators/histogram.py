@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.operators.binning import exact_quantiles
-from flowlark.operators.forests import MOST_NODES, NODES, Forest
+from flowlark.operators.forests import MOST_NODES, NODES, shared
 from flowlark.session import table
 
 #: Weighted rows of a node that one task finishes.
@@ -351,7 +351,7 @@ def _nodes(found: DataFrame, weights: list[float], edges: list[np.ndarray]) -> D
 
 def oob_votes(nodes: DataFrame, seed: int):
     """A function of row id and feature array: class votes of the trees that did not see the row; null if all did."""
-    forest = nodes.sparkSession.sparkContext.broadcast(Forest.of(nodes))
+    forest = shared(nodes)
 
     @F.pandas_udf("array<double>")
     def votes(row: pd.Series, x: pd.Series) -> pd.Series:

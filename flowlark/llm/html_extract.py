@@ -1,10 +1,10 @@
 """Operator 3: main text of HTML pages by scoring the element tree.
 
-Every paragraph passes points for its length and commas to its next ten ancestors, less the further up they are. An element's
+Every paragraph passes points for its length and commas to its ancestors, to each half of what the one below it gets. An element's
 score is discounted by the share of its text that is in links. The element with the best score is the article's
-container, or the article or main element around it; those of its siblings are kept too that score well or hold text
-with few links. Elements that are no part of an
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) neither score nor show.
+container, or the article or main element around it. Else what reads like text is kept beside it, and beside each element around
+it, up to the body. Elements that are no part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments,
+scripts) neither score nor show; a class name alone makes an element one of them only if most of the page is elsewhere.
 """
 
 from __future__ import annotations
@@ -54,8 +54,15 @@ _NOT = re.compile(r"(?:^|[-_])(?:no|has|with|without|is)[-_]", re.I)
 _GOOD = re.compile(r"article|content|main|post|entry|story|text|body", re.I)
 _COMMAS = re.compile(r"[,،、，]")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Ancestors that a paragraph passes points to; the time is linear in the page, however deep it is nested.
-_HEARD = 10
+#: Names of readers' remarks, which may be longer than the article; of boxes of links, which prose may be named like; of headers.
+_REMARKS = re.compile(r"comment|repl(?:y|ies)|respond|disqus", re.I)
+_LINKED = re.compile(r"related|recommended|recommendations", re.I)
+_HEADER = re.compile(r"header|masthead", re.I)
+#: Elements that are text whatever their length.
+_TEXT = _HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
+#: Headings over lists of links to other articles, and lines that are no text of an article.
+_ELSEWHERE = re.compile(r"related|recommended|more |read next|popular|trending|latest|also like|see all", re.I)
+_LEGAL = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
 
 @dataclass
@@ -161,23 +168,64 @@ def parse(html: str) -> Page:
 def _outside(page: Page) -> list[bool]:
     """Of each element whether it is (in) something that is no part of an article."""
     n = len(page.tag)
-    has_article, in_article = [False] * n, [False] * n
+    hard, holds, size, links = [False] * n, [False] * n, [0] * n, [0] * n
+    for e in range(1, n):
+        a, tag = page.attributes[e], page.tag[e]
+        hard[e] = hard[page.parent[e]] or tag in NO_ARTICLE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+        hard[e] = hard[e] or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
+    for e, pieces, linked in page.blocks:
+        if not hard[e]:
+            size[e] += sum(map(len, pieces))
+            links[e] += linked
+    for e in range(n - 1, 0, -1):  # an element stands after its parent
+        up = page.parent[e]
+        holds[up] |= holds[e] or page.tag[e] in ("article", "main")
+        size[up] += size[e]
+        links[up] += links[e]
+    headline = [page.tag[e] == "h1" for e in range(n)]
     for e in range(n - 1, 0, -1):
-        has_article[page.parent[e]] |= has_article[e] or page.tag[e] in ("article", "main")
-    out = [False] * n
+        headline[page.parent[e]] |= headline[e]
+    out, header, in_article = [False] * n, [False] * n, [False] * n
+    wrong: list[tuple[frozenset[str], int]] = [(frozenset(), size[0])] * n  # names that said nothing further out, and the text there
     for e in range(1, n):
         tag, a, up = page.tag[e], page.attributes[e], page.parent[e]
         in_article[e] = in_article[up] or tag in ("article", "main")
+        wrong[e] = wrong[up]
         if out[up]:
             # a header inside the article may hold its headline
-            out[e] = not (tag in ("h1", "h2") and in_article[e] and page.tag[up] in ("header", "hgroup"))
+            header[e] = header[up] and not hard[e]
+            out[e] = not (header[e] and tag in ("h1", "h2") and in_article[e])
             continue
-        out[e] = tag in NO_ARTICLE or tag == "header" or a.get("role", "").lower() in ROLES
-        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+        out[e] = hard[e] or tag == "header"
+        header[e] = tag == "header" and not hard[e]
+        if out[e] or tag in ("html", "body", "article", "main") or holds[e]:
+            continue
+        names = [x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if _NAME.search(x) and not _NOT.search(x)]
+        remarks = [x for x in names if _REMARKS.search(x)]
+        if remarks and not headline[e]:
             out[e] = True
-        if tag not in ("html", "body", "article", "main") and not has_article[e] and not out[e]:
-            names = f"{a.get('class', '')} {a.get('id', '')}".split()
-            out[e] = any(_NAME.search(x) and not _NOT.search(x) for x in names)
+        elif names and (
+            (holds[0] and not in_article[e])  # the article is elsewhere
+            or (not headline[e] and any(x.lower() in NAMES for x in names))  # a plain name, no part of a longer one
+            or 2 * size[e] < (wrong[up][1] if wrong[up][0].issuperset(names) else size[0])
+        ):
+            # a box of links is one by its links; the same name may stand over prose
+            out[e] = not all(_LINKED.search(x) for x in names) or 4 * links[e] >= size[e]
+            header[e] = out[e] and all(_HEADER.search(x) for x in names)
+        elif names:
+            wrong[e] = frozenset(names), size[e]
+    return out
+
+
+def points(page: Page, blocks: list[tuple[int, str, int]]) -> list[float]:
+    """What each element gets: a block's points go to its parent (to an article or body itself), half of them to the next
+    ancestor, and so on up to the root."""
+    out = [0.0] * len(page.tag)
+    for e, text, _ in blocks:
+        if page.tag[e] not in _HEADINGS:
+            out[e if page.tag[e] in ("body", "#root", "article", "main") else page.parent[e]] += 1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)
+    for e in range(len(out) - 1, 0, -1):
+        out[page.parent[e]] += out[e] / 2
     return out
 
 
@@ -189,22 +237,15 @@ def extract(html: str | None) -> str:
     outside = _outside(page)
     n = len(page.tag)
     blocks = [(e, text, min(linked, len(text))) for e, pieces, linked in page.blocks if not outside[e] and (text := " ".join("".join(pieces).split()))]
-    points, size, links = [0.0] * n, [0] * n, [0] * n
+    if not blocks:
+        return ""
+    heard, size, links = points(page, blocks), [0] * n, [0] * n
     for e, text, linked in blocks:
-        own = 0.0 if page.tag[e] in _HEADINGS else 1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)
-        up = e if page.tag[e] in ("body", "#root", "article", "main") else page.parent[e]
-        for level in range(_HEARD):
-            if up < 0:
-                break
-            points[up] += own / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up = page.parent[up]
         size[e] += len(text)
         links[e] += linked
-    for e in range(n - 1, 0, -1):  # an element stands after its parent
+    for e in range(n - 1, 0, -1):
         size[page.parent[e]] += size[e]
         links[page.parent[e]] += links[e]
-    if not blocks:
-        return ""
     score = [0.0] * n
     for e in range(n):
         if size[e] and not outside[e]:
@@ -213,7 +254,7 @@ def extract(html: str | None) -> str:
                 bonus = 25.0
             elif _GOOD.search(f"{page.attributes[e].get('class', '')} {page.attributes[e].get('id', '')}"):
                 bonus = 5.0
-            score[e] = (points[e] + bonus * bool(points[e] or page.tag[e] in ("article", "main"))) * (1 - links[e] / size[e])
+            score[e] = (heard[e] + bonus * bool(heard[e] or page.tag[e] in ("article", "main"))) * (1 - links[e] / size[e])
     best = max(range(n), key=lambda e: (score[e], e))
     if not score[best]:  # headings only, or links only
         best = next((e for e in range(n) if page.tag[e] == "body"), 0)
@@ -223,27 +264,48 @@ def extract(html: str | None) -> str:
         if page.tag[up] in ("article", "main") and not outside[up]:
             best = up
         up = page.parent[up]
-    chosen = {best}
+    # beside it, and beside what is around it, text is kept; far out it must be a text element or longer than a line
+    chosen, around, place = {best}, {}, page.parent[best]
+    whole = page.tag[best] in ("article", "main")
+    while place >= 0 and page.tag[best] not in ("body", "#root"):
+        around[place] = len(around)
+        if whole or page.tag[place] in ("body", "#root"):
+            break
+        place = page.parent[place]
+    first: dict[int, str] = {}
+    for e, text, _ in blocks:
+        first.setdefault(e, text)
+    path = {best, *around}
     for e in range(1, n):
-        if e != best and page.parent[e] == page.parent[best] and size[e] and not outside[e]:
-            density = links[e] / size[e]
-            reads = density < 0.25 if size[e] > 80 else density == 0
-            if reads or score[e] >= max(10.0, 0.2 * score[best]):
-                chosen.add(e)
+        if e in path or page.parent[e] not in around or not size[e] or outside[e] or (e in first and _LEGAL.match(first[e])):
+            continue
+        density, level = links[e] / size[e], around[page.parent[e]]
+        reads = density < 0.25 if size[e] > 80 or (level and page.tag[e] in _TEXT) else density == 0 and not level
+        if reads or (not level and score[e] >= max(10.0, 0.2 * score[best])):
+            chosen.add(e)
     inside = [False] * n
     for e in range(n):
         inside[e] = e in chosen or (e > 0 and inside[page.parent[e]])
-    # lists and boxes that are little but links are menus, wherever they stand
-    menu = [False] * n
-    count = [0] * n
+    loose = {e for e in around if not whole}  # text right in an element around the container
+    # lists and boxes that are little but links are menus; but a list between the text of the article, or under a heading, is part of it
+    menu, count = [0] * n, [0] * n
     for e in range(n - 1, 0, -1):
         count[e] += page.tag[e] == "a"
         count[page.parent[e]] += count[e]
     for e in range(1, n):
-        menu[e] = menu[page.parent[e]] or (
-            page.tag[e] in ("ul", "ol", "div", "table", "section") and count[e] >= 3 and size[e] > 0 and links[e] > 0.7 * size[e] and links[e] < 40 * count[e] and e not in chosen
-        )
-    return "\n".join(text for e, text, _ in blocks if inside[e] and not menu[e])
+        own = page.tag[e] in ("ul", "ol", "div", "table", "section") and count[e] >= 3 and size[e] > 0 and links[e] > 0.7 * size[e] and links[e] < 40 * count[e] and e not in chosen
+        menu[e] = menu[page.parent[e]] or (e if own else 0)
+    shown = [(e, text, linked) for e, text, linked in blocks if inside[e] or (e in loose and 4 * linked < len(text) and len(text) > 80)]
+    last = max((i for i, (e, _, _) in enumerate(shown) if not menu[e] and page.tag[e] not in _HEADINGS), default=-1)
+    out, kept, before = [], {}, None
+    for i, (e, text, _) in enumerate(shown):
+        if (m := menu[e]) and m not in kept:
+            under = before is not None and page.tag[before[0]] in _HEADINGS and not _ELSEWHERE.search(before[1])
+            kept[m] = page.tag[m] in ("ul", "ol") and bool(out) and (i < last or under)
+        if not m or kept[m]:
+            out.append(text)
+            before = (e, text)
+    return "\n".join(out)
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -24,8 +24,9 @@ from flowlark.llm import bpe
 from flowlark.llm.common import arrow_rows, cut, documents
 
 _encodings: dict[int, Encoder] = {}
-#: Runs from which the fast encoder's pattern, which backtracks, is not trusted.
-_LONG_RUN = re.compile(r"\s{2000}|([^\W\d_])\1{9999}|\w{200000}|[^\s\w]{200000}")
+#: Runs from which the fast encoder's pattern, which backtracks, is not trusted. Each is looked for at the beginning of a run
+#: only, so the search is linear.
+_LONG_RUN = re.compile(r"(?<!\s)\s{2000}|([^\W\d_])(?<!\1\1)\1{9999}|(?<!\w)\w{200000}|(?<![^\s\w])[^\s\w]{200000}")
 
 
 class Encoder:

@@ -1,5 +1,6 @@
 """Packing, sharding and the whole pipeline."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -58,6 +59,18 @@ def test_encoder_on_long_runs(text):
     assert encoder.fast.encode(short, allowed_special="all") == list(encoder.codec.encode(short))
 
 
+@pytest.mark.parametrize("run", ["ab" * 95_000, "a" * 9_000, "-+" * 95_000, " " * 1_999, "\n" * 1_999, "Zq" * 95_000 + "="], ids=lambda t: f"{t[:2]!r}x{len(t)}")
+def test_long_runs_inside_a_text_take_linear_time(run):
+    """Texts of 2 MB whose runs stay just below the limits, over and over, between other characters."""
+    text = (run + " x. ") * (2_000_000 // (len(run) + 4)) if len(run) < 10_000 else "some words. " * 80_000 + run + " and more. " * 80_000
+    began = time.perf_counter()
+    assert packing._LONG_RUN.search(text) is None
+    assert time.perf_counter() - began < 5
+    for long in ("w" * 10_000, "\u00e9" * 10_000, " " * 2_000, "ab" * 100_000, "-+" * 100_000):
+        before, after = ("some.", "more") if long[0] == " " else ("some. ", " more")
+        assert packing._LONG_RUN.search(before + long + after) and not packing._LONG_RUN.search(before + long[:-1] + after)
+
+
 def test_gaps_certify(spark):
     rng = np.random.default_rng(7)
     rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 101, 6000))]

@@ -88,42 +88,87 @@ def _neighbours() -> set[tuple[str, str]]:
 _NEAR = _neighbours()
 
 
+#: The cheapest character of a brute-force span, and what a further segment costs: log10 of the guesses.
+_CHEAPEST, _JOIN = math.log10(8), math.log10(2)
+
+
 def guess_cost(value: str, lexicon: Lexicon = _SHORT, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs, and its segments (kind, start, end); once
     no segmentation can stay below ``enough``, infinity and none.
 
     A word costs its rank (twice that for each change of case or look-alike character), a date the days of 200 years, a
-    repeat its unit's cost times the count, a walk along the keyboard its start, length and turns, and a brute-force
-    span the size of each character's class (less for a small letter after a letter). Each further segment doubles the
-    guesses. Each place offers a bounded number of segments, so the time is linear in the value's length.
+    repeat (three characters or more) its unit's characters and their count, a walk along the keyboard its start, length and
+    turns, and a brute-force span the size of each character's class (less for a small letter after a letter). Each further
+    segment doubles the guesses.
+
+    Units are of any length: one whose characters cost ``enough`` already cannot be part of a cheaper segmentation, which bounds
+    what has to be looked at. Of the repeats (or walks) that may go on at a place, one that is not the cheapest when it
+    is first complete never will be, as the counts of two draw nearer; it is dropped. So time is linear in the length, but for infinite ``enough``.
     """
     n, low = len(value), value.lower()
     if len(low) != n:  # a few letters change their length in lower case
         low = value
     plain = low.translate(_LEET)
-    join = math.log10(2)
+    chars = [_char(value, i) for i in range(n)] if n <= 64 else None
+    widest = n // 2 if enough == math.inf else min(n // 2, int(enough / _CHEAPEST))
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     brute, brute_from = math.inf, 0  # cheapest way to the present place that ends in a brute-force span
-    far = 0  # the furthest place that some segmentation reaches below ``enough``
-    patterns = Patterns(value, low, plain, lexicon)
-    for i in range(n):
-        if i > far:
+    last = 0  # the last place that a segmentation below ``enough`` may pass
+    upto = [0.0]  # cost of the characters before each place
+    equal = [0] * (widest + 1)  # characters before the present place that equal the ones so far before them
+    repeats: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(widest + 1)]  # by unit and place modulo the unit: those that go on
+    walks: list[tuple[int, float]] = []
+    walk = 0  # where the present walk began
+    turns: list[int] = []  # up to each character
+    for j in range(n + 1):
+        if j:
+            x = j - 1
+            for u in range(1, min(widest, x) + 1):
+                if value[x] != value[x - u]:
+                    if equal[u]:
+                        equal[u] = 0
+                        repeats[u].clear()
+                    continue
+                equal[u] += 1
+                held = repeats[u].setdefault(j % u, [])
+                if equal[u] >= u and (s := j - 2 * u) >= 0 and 2 * u >= 3 and best[s] < enough:
+                    _offer(held, s, best[s] + (_JOIN if s else 0.0) + upto[s + u] - upto[s], lambda s: math.log10((j - s) / u))  # noqa: B023
+                elif u == 1 and equal[1] >= 2 and best[j - 3] < enough:
+                    _offer(held, j - 3, best[j - 3] + (_JOIN if j > 3 else 0.0) + upto[j - 2] - upto[j - 3], lambda s: math.log10(j - s))  # noqa: B023
+                for s, cost in held:
+                    if (cost := cost + math.log10((j - s) / u)) < best[j]:
+                        best[j], back[j] = cost, ("repeat", s)
+            near = x > 0 and _adjacent(low[x - 1], low[x])
+            turns.append((turns[-1] if turns else 0) + (near and walk < x - 1 and ord(low[x]) - ord(low[x - 1]) != ord(low[x - 1]) - ord(low[x - 2])))
+            if not near:
+                walk = x
+                walks.clear()
+            elif (s := j - 3) >= walk and best[s] < enough:
+                _offer(walks, s, best[s] + (_JOIN if s else 0.0) + math.log10(47) - 0.15 * turns[s + 1], lambda s: math.log10(j - s))  # noqa: B023
+            for s, cost in walks:
+                if (cost := cost + math.log10(j - s) + 0.15 * turns[x]) < best[j]:
+                    best[j], back[j] = cost, ("walk", s)
+        if best[j] < enough:
+            last = max(last, min(n, j + max(1, 2 * widest, 3)))
+        if j > last:
             return math.inf, []
-        if best[i] < enough:
-            start = best[i] + (join if i else 0.0)
-            for kind, j, cost in patterns.at(i):
-                if start + cost < best[j]:
-                    best[j], back[j] = start + cost, (kind, i)
-                    if best[j] < enough:
-                        far = max(far, j)
+        if j == n:
+            break
+        if best[j] < enough:
+            start = best[j] + (_JOIN if j else 0.0)
+            for kind, end, cost in _words_and_dates(value, low, plain, lexicon, j):
+                if start + cost < best[end]:
+                    best[end], back[end] = start + cost, (kind, j)
+                    if best[end] < enough:
+                        last = max(last, end)
             if start < brute:
-                brute, brute_from = start, i
-        brute += patterns.char(i)
-        if brute < best[i + 1]:
-            best[i + 1], back[i + 1] = brute, ("brute", brute_from)
-        if best[i + 1] < enough:
-            far = max(far, i + 1)
+                brute, brute_from = start, j
+        c = chars[j] if chars else _char(value, j)
+        upto.append(upto[-1] + c)
+        brute += c
+        if brute < best[j + 1]:
+            best[j + 1], back[j + 1] = brute, ("brute", brute_from)
     if best[n] >= enough:
         return math.inf, []
     cuts, at = [], n
@@ -134,64 +179,39 @@ def guess_cost(value: str, lexicon: Lexicon = _SHORT, enough: float = math.inf)
     return best[n], cuts[::-1]
 
 
-class Patterns:
-    """The words, dates, repeats and keyboard walks that start at a place of a value. Places are asked for in order.
+def _offer(held: list[tuple[int, float]], start: int, cost: float, more) -> None:
+    """Adds a start to those that go on, unless one of them is as cheap already; drops those that never will be cheaper."""
+    now = cost + more(start)
+    if all(c + more(s) > now for s, c in held):
+        held[:] = [(s, c) for s, c in held if c < cost]
+        held.append((start, cost))
+
+
+def _char(value: str, i: int) -> float:
+    """log10 of the size of a character's class; a small letter after a letter is half known in any language."""
+    c = value[i]
+    if i and c.islower() and c.isalpha() and value[i - 1].isalpha():
+        return _CHEAPEST
+    return math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 60)
+
+
+def _adjacent(a: str, b: str) -> bool:
+    """Keys next to each other, or characters next to each other in their alphabet."""
+    return (a, b) in _NEAR or abs(ord(a) - ord(b)) == 1
 
-    Repeats have units of up to 8 characters and go on up to ``STEPS`` times or as far as the unit is repeated; walks
-    have up to ``STEPS`` further characters or go as far as the keys are neighbours.
-    """
 
-    STEPS = 16
-
-    def __init__(self, value: str, low: str, plain: str, lexicon: Lexicon = _SHORT) -> None:
-        self.value, self.low, self.plain, self.lexicon = value, low, plain, lexicon
-        self.same = [0] * 9  # same[u]: up to where each character equals the one u places on, from the present place
-        self.walk = 0  # up to where the present walk goes
-        self.turns: list[int] = []  # of the present walk, up to each of its characters
-        self.walk_from = 0
-
-    def char(self, i: int) -> float:
-        """log10 of the size of a character's class; a small letter after a letter is half known in any language."""
-        c = self.value[i]
-        if i and c.islower() and c.isalpha() and self.value[i - 1].isalpha():
-            return math.log10(8)
-        return math.log10(10 if c.isdigit() else 26 if c.islower() else 30 if c.isupper() else 60)
-
-    def at(self, i: int):
-        """(kind, end, log10 of guesses) of each."""
-        value, low, n, twice = self.value, self.low, len(self.value), math.log10(2)
-        rank = self.lexicon.rank
-        for j in range(i + 2, min(n, i + self.lexicon.longest) + 1):
-            for text in (low[i:j], self.plain[i:j]):
-                if text in rank:
-                    changes = sum(x != y for x, y in zip(value[i:j], text, strict=True))
-                    yield "word", j, math.log10(rank[text]) + twice * min(changes, 4)
-                    break
-        if m := _DATE.match(low, i):
-            yield "date", m.end(), math.log10(365 * 200)
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            end = max(self.same[unit], i)
-            while end + unit < n and value[end] == value[end + unit]:
-                end += 1
-            self.same[unit] = end
-            most = (end - i) // unit + 1
-            if most > 1:
-                cost = sum(map(self.char, range(i, i + unit)))
-                for k in {*range(2, min(most, self.STEPS) + 1), most}:
-                    if k * unit >= 3:
-                        yield "repeat", i + k * unit, cost + math.log10(k)
-        if i >= self.walk - 1:
-            self.walk, self.walk_from, self.turns = i + 1, i, [0]
-            step = None
-            while self.walk < n and ((low[self.walk - 1], low[self.walk]) in _NEAR or abs(ord(low[self.walk]) - ord(low[self.walk - 1])) == 1):
-                way = ord(low[self.walk]) - ord(low[self.walk - 1])
-                self.turns.append(self.turns[-1] + (step is not None and way != step))
-                step = way
-                self.walk += 1
-        turned = self.turns[min(i - self.walk_from + 1, len(self.turns) - 1)]
-        for j in {*range(i + 3, min(self.walk, i + self.STEPS + 1) + 1), self.walk}:
-            if j - i >= 3:
-                yield "walk", j, math.log10(47 * (j - i)) + 0.15 * (self.turns[j - 1 - self.walk_from] - turned)
+def _words_and_dates(value: str, low: str, plain: str, lexicon: Lexicon, i: int):
+    """(kind, end, log10 of guesses) of each that starts at a place."""
+    rank, n = lexicon.rank, len(value)
+    for j in range(i + 2, min(n, i + lexicon.longest) + 1):
+        for text in {low[i:j], plain[i:j]}:
+            if text in rank:
+                changes = sum(x != y for x, y in zip(value[i:j], text, strict=True))
+                yield "word", j, math.log10(rank[text]) + _JOIN * min(changes, 4)
+    if low[i].isdigit():
+        for j in range(i + 4, min(n, i + 10) + 1):
+            if _DATE.fullmatch(low, i, j):
+                yield "date", j, math.log10(365 * 200)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,16 +1,20 @@
 """Trailing-window and recent-history features of connections.
 
-A window over all connections of a host would put a busy host into one task. Connections are therefore dealt into
-spans of time (or of sequence numbers) several times as long as the window; those at the end of a span are also shown
-to the next one, as context. A task has one key and one span, and results are exact.
+A window over all connections of a host would put a busy host into one task. Connections are therefore dealt by their
+sequence number into chunks of equal size, whatever their keys, each with the connections before it that its windows reach; a
+task makes all counts of a chunk from sorted arrays. So there is one exchange for all features, and results are exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from flowlark import fixed
 
@@ -25,56 +29,118 @@ def _dealt(df: DataFrame, place: str, reach: int, spans: int) -> DataFrame:
     return df.withColumn("_c", F.explode(copies)).select("*", "_c._span", "_c._own").drop("_c")
 
 
-def _states() -> dict[str, Column]:
-    flag = F.lower("flag")
-    return {"n": F.lit(1), "e": flag.isin(fixed.HALF_OPEN).cast("int"), "r": flag.isin(fixed.REJECTED).cast("int")}
-
-
 def rate(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 
 
-def _trailing(df: DataFrame, place: str, reach: int, spans: int, sets: tuple[tuple[str, list[str], tuple[str, ...]], ...]) -> DataFrame:
-    """For each (prefix, keys, take) of ``sets`` adds prefix_k: how many of the rows before (by place, then seq) that
-    share the keys lie at most ``reach`` back, all (n), half-open (e) or rejected (r).
+#: Rows of a chunk: at most, and at most where windows hold so many rows that smaller chunks would be copied many times.
+CHUNK, DENSE = 1 << 20, 1 << 22
+#: Mean number of chunks that a row may be shown to before chunks are made larger.
+_COPIES = 3.0
+
+
+def _edges(df: DataFrame, window_us: int, history: int) -> tuple[int, np.ndarray]:
+    """Rows of a chunk and the start of the first connection of each chunk: a row for each million of the table's."""
+    last = df.agg(F.max("seq")).first()[0]
+    if last is None:
+        return 1, np.zeros(0, np.int64)
+    size = max(1024, history, min(CHUNK, -(-(last + 1) // (2 * df.sparkSession.sparkContext.defaultParallelism))))
+    rows = df.groupBy(F.floor(F.col("seq") / size).cast("long").alias("c")).agg(F.min("start_us").alias("t")).orderBy("c").collect()
+    least = np.iinfo(np.int64).min
+    firsts = np.full(int(last // size) + 1, least)
+    for r in rows:
+        firsts[r["c"]] = least if r["t"] is None else r["t"]
+    firsts = np.maximum.accumulate(firsts)
+    while len(firsts) > 1 and size < DENSE:
+        reach = np.where(firsts > least, firsts, 0) + window_us
+        if (np.searchsorted(firsts, reach, side="right") - np.arange(len(firsts))).mean() <= _COPIES:
+            break
+        size, firsts = 2 * size, firsts[::2]
+    return size, firsts
+
 
-    Each is the difference of two running sums: up to the row, and up to its window's lower edge, which is a row of its
-    own in the same order. So the time does not depend on how many rows a window holds.
+#: Counted keys: prefix, columns, what of them (all, half-open, rejected), and whether in the time window or the last rows.
+_SETS = (("h", ("dst",), "ner", True), ("s", ("service",), "ner", True), ("hs", ("dst", "service"), "ner", True), ("d", ("dst",), "ner", False), ("ds", ("dst", "service"), "ner", False), ("dp", ("dst", "dport"), "n", False))
+
+
+def counts_of(seq: np.ndarray, start: np.ndarray, timed: np.ndarray, codes: dict[str, np.ndarray], states: dict[str, np.ndarray], own: np.ndarray, window_us: int, history: int) -> dict[str, np.ndarray]:
+    """prefix_k of the rows at ``own`` among rows in order of seq: how many of the rows before that share the keys lie in the
+    window, all (n), half-open (e) or rejected (r). Rows without a start (``timed`` false) are in no time window and have none.
+
+    Rows of a key are brought together, in order; a window's rows are then a run, and a count is the difference of two places in
+    it, or of two running sums, so the time does not depend on how many rows a window holds.
     """
-    rows = _dealt(df, place, reach, spans).withColumns({f"_{k}": c for k, c in _states().items()})
-    edge, own = F.struct((F.col(place) - reach).alias("_at"), F.lit(0).alias("_kind")), F.struct(F.col(place).alias("_at"), F.lit(1).alias("_kind"))
-    both = rows.withColumn("_ends", F.explode(F.when(F.col("_own"), F.array(edge, own)).otherwise(F.array(own)))).select("*", "_ends._at", "_ends._kind").drop("_ends")
-    # an edge counts for nothing itself
-    both = both.withColumns({f"_{k}": F.when(F.col("_kind") == 1, F.col(f"_{k}")).otherwise(0) for k in _states()})
-    for prefix, keys, take in sets:
-        run = Window.partitionBy("_span", *keys).orderBy("_at", "_kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-        both = both.withColumns({f"{prefix}_{k}": F.sum(f"_{k}").over(run) - F.col(f"_{k}") for k in take})
-    both = both.filter("_own")
-    pair = Window.partitionBy("_span", "seq").orderBy("_kind")
-    both = both.withColumns({f"{p}_{k}": F.col(f"{p}_{k}") - F.lag(f"{p}_{k}").over(pair) for p, _, take in sets for k in take})
-    return both.filter("_kind = 1").drop("_span", "_own", "_at", "_kind", *(f"_{k}" for k in _states()))
-
-
-def time_counts(df: DataFrame, window_us: int, spans: int = 16) -> DataFrame:
-    """h_, s_, hs_ counts (n all, e half-open, r rejected) of the earlier connections that started at most
-    ``window_us`` before and share dst, service or both. Connections of the same start count as earlier if their seq
-    is lower. Needs start_us, seq, dst, service, flag."""
-    every = tuple(_states())
-    return _trailing(df, "start_us", window_us, spans, (("h", ["dst"], every), ("s", ["service"], every), ("hs", ["dst", "service"], every)))
-
-
-def recent_counts(df: DataFrame, history: int = 100, spans: int = 50) -> DataFrame:
-    """d_, ds_, dp_ counts over those of the last ``history`` connections (of all) that share dst, dst and service, or
-    dst and port. Needs seq, dst, service, dport, flag."""
-    every = tuple(_states())
-    return _trailing(df, "seq", history, spans, (("d", ["dst"], every), ("ds", ["dst", "service"], every), ("dp", ["dst", "dport"], ("n",))))
+    n = len(seq)
+    at = np.flatnonzero(own)
+    first = {True: np.where(timed[at], np.searchsorted(start, start[at] - window_us, side="left"), at), False: np.searchsorted(seq, seq[at] - history, side="left")}
+    out, runs = {}, {}
+    for prefix, keys, kinds, in_time in _SETS:
+        if keys not in runs:
+            code = codes[keys[0]].astype(np.int64)
+            for k in keys[1:]:
+                code = code * (int(codes[k].max(initial=0)) + 1) + codes[k]
+            _, code = np.unique(code, return_inverse=True)
+            place = code * n + np.arange(n)
+            order = np.argsort(place, kind="stable")
+            sums = {k: np.concatenate([[0], np.cumsum(states[k][order])]) for k in "er"}
+            runs[keys] = code, place[order], sums
+        code, places, sums = runs[keys]
+        low = np.searchsorted(places, code[at] * n + first[in_time])
+        high = np.searchsorted(places, code[at] * n + at)
+        for k in kinds:
+            out[f"{prefix}_{k}"] = high - low if k == "n" else sums[k][high] - sums[k][low]
+    return out
+
+
+def with_counts(df: DataFrame, window_us: int, history: int = 100) -> DataFrame:
+    """Adds COUNTS. h_, s_, hs_: of the earlier connections that started at most ``window_us`` before and share dst, service or
+    both. d_, ds_, dp_: of the last ``history`` connections (of all) that share dst, dst and service, or dst and port.
+    n all, e half-open, r rejected. Earlier is by seq, which numbers rows from 0 by start_us (null first); a null key is a key like any other.
+    """
+    size, firsts = _edges(df, window_us, history)
+    flag = F.lower("flag")
+    rows = df.withColumns({"_e": F.coalesce(flag.isin(fixed.HALF_OPEN), F.lit(False)).cast("int"), "_r": F.coalesce(flag.isin(fixed.REJECTED), F.lit(False)).cast("int")})
+    names = df.columns
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq, start = b.column("seq").to_numpy(), b.column("start_us")
+            timed = start.is_valid().to_numpy(zero_copy_only=False)
+            own = seq // size
+            far = np.where(timed, np.searchsorted(firsts, pc.fill_null(start, 0).to_numpy() + window_us, side="right") - 1, 0)
+            last = np.minimum(np.maximum(np.maximum(far, (seq + history) // size), own), len(firsts) - 1)
+            times = last - own + 1
+            which = np.repeat(np.arange(len(seq)), times)
+            chunk = np.repeat(own, times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            shown = b.take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([*shown.columns, pa.array(chunk), pa.array(chunk == own[which])], names=[*shown.schema.names, "_chunk", "_own"])
+
+    def count(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq").combine_chunks()
+        own = t.column("_own").to_numpy()
+        start = t.column("start_us")
+        timed = pc.is_valid(start).to_numpy()
+        least = np.iinfo(np.int64).min
+        code = lambda c: np.unique(pc.fill_null(pc.index_in(t.column(c), pc.unique(t.column(c))), -1).to_numpy(), return_inverse=True)[1]
+        found = counts_of(
+            t.column("seq").to_numpy(), np.where(timed, pc.fill_null(start, 0).to_numpy(), least), timed, {c: code(c) for c in ("dst", "service", "dport")},
+            {k: t.column(f"_{k}").to_numpy() for k in "er"}, own, window_us, history,
+        )
+        kept = t.filter(pa.array(own)).select(names)
+        for c in COUNTS:
+            kept = kept.append_column(c, pa.array(found[c], pa.int64()))
+        return kept
+
+    extra = [StructField("_chunk", LongType()), StructField("_own", BooleanType())]
+    dealt = rows.mapInArrow(deal, StructType([*rows.schema.fields, *extra]))
+    return dealt.groupBy("_chunk").applyInArrow(count, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in COUNTS)]))  # two chunks' rows or so
 
 
 COUNTS = [f"{p}_{k}" for p in ("h", "s", "hs", "d", "ds") for k in "ner"] + ["dp_n"]
 
 
 def features(counted: DataFrame) -> DataFrame:
-    """The count and rate features from time_counts() and recent_counts()."""
+    """The count and rate features from with_counts()."""
     one_less = lambda part, whole: F.when(F.col(whole) > 0, 1.0 - F.col(part) / F.col(whole)).otherwise(0.0)
     out = {
         "count": F.col("h_n").cast("double"),
@@ -102,4 +168,4 @@ def features(counted: DataFrame) -> DataFrame:
 
 def with_history(df: DataFrame, window_us: int = 2_000_000, history: int = 100) -> DataFrame:
     """All history features of connections (start_us, seq, dst, dport, service, flag)."""
-    return reduce(lambda d, f: f(d), (lambda d: time_counts(d, window_us), lambda d: recent_counts(d, history), features), df)
+    return features(with_counts(df, window_us, history))

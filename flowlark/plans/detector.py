@@ -60,21 +60,23 @@ class Detector:
         """n_rows, n_voted, n_right, accuracy of the forest on the rows that it was fitted to, each by the trees that did not see it."""
         return histogram.oob_accuracy(train, "flow_id", self.space.vector(train), self._label(self.classes), self.nodes, self.seed)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Rule, forest and isolation results for each row (flow_id and connection features)."""
-        out = rules.with_hits(df)
-        out = out.withColumn("proba", forests.node_probabilities(self.nodes)(self.space.vector(df)))
+    def supervised(self, df: DataFrame) -> DataFrame:
+        """Adds the forest's proba, attack_prob, supervised_category and supervised_alert."""
+        out = df.withColumn("proba", forests.node_probabilities(self.nodes)(self.space.vector(df)))
         normal = self.classes.index("normal") if "normal" in self.classes else -1
         attack = 1.0 - F.col("proba")[normal] if normal >= 0 else F.array_max("proba")
         best = F.array_position("proba", F.array_max("proba")).cast("int")
-        out = out.withColumns(
-            {
-                "supervised_category": F.element_at(F.array(*map(F.lit, self.classes)), best),
-                "attack_prob": attack,
-                "score": forests.isolation_score(self.isolation, self.sample)(self.space.vector(df, scaled=True)),
-            }
-        )
-        return out.withColumns({"supervised_alert": F.col("attack_prob") >= fixed.SUPERVISED_THRESHOLD, "anomaly_alert": F.col("score") >= self.threshold})
+        out = out.withColumns({"supervised_category": F.element_at(F.array(*map(F.lit, self.classes)), best), "attack_prob": attack})
+        return out.withColumn("supervised_alert", F.col("attack_prob") >= fixed.SUPERVISED_THRESHOLD)
+
+    def anomaly(self, df: DataFrame) -> DataFrame:
+        """Adds the isolation forest's score and anomaly_alert."""
+        out = df.withColumn("score", forests.isolation_score(self.isolation, self.sample)(self.space.vector(df, scaled=True)))
+        return out.withColumn("anomaly_alert", F.col("score") >= self.threshold)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Rule, forest and isolation results for each row (flow_id and connection features)."""
+        return self.anomaly(self.supervised(rules.with_hits(df)))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Scored and fused rows. They are a table: models run once, however the result is used."""

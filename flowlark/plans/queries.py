@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from flowlark.functions import columns as C
 from flowlark.operators import binning, features, forests, fusion, histogram, metrics, rules
 from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
+from flowlark.plans import report
 from flowlark.plans.detector import Detector
 from flowlark.sources import events as E
 from flowlark.sources import records
@@ -573,15 +575,7 @@ def q_distinct_signatures(spark, sf_dir):
     case max(case when is_alert then case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end end) when 4 then 'critical' when 3 then 'high' when 2 then 'medium' when 1 then 'low' else 'none' end as top_severity
     from fused group by src""")
 def q_by_source(spark, sf_dir):
-    return by_source(fused(spark, sf_dir), "src")
-
-
-def by_source(rows: DataFrame, source: str = "src_ip") -> DataFrame:
-    rank = F.array_position(F.lit(fixed.SEVERITY_ORDER), F.col("severity"))
-    return rows.groupBy(source).agg(
-        F.count("*").alias("flows"), F.count_if("is_alert").alias("alerts"), F.avg(F.col("is_alert").cast("int")).alias("alert_rate"),
-        F.coalesce(F.max_by("severity", F.when(F.col("is_alert"), rank)), F.lit("none")).alias("top_severity"),
-    )
+    return report.by_source(fused(spark, sf_dir), "src")
 
 
 @query("""with o as (select *, row_number() over (order by round(fused_score, 9) desc, flow_id) as place, row_number() over (partition by severity order by md5('0|' || flow_id), flow_id) as turn,
@@ -689,6 +683,34 @@ def q_hybrid_gain(spark, sf_dir):
     return metrics.gain(fused(spark, sf_dir).filter("category in ('r2l', 'u2r')"), 3)
 
 
+@query("""with r as (select category, unnest(string_split(hit_list, ',')) as rule from fused where hit_list <> ''),
+    t as (select rule, count(*) as n from r where category = 'probe' group by rule order by n desc, rule limit 3)
+    select rule, n as on_category, (select count(*) from r where r.rule = t.rule and category = 'normal') as on_benign from t""")
+def q_rule_overlap(spark, sf_dir):
+    """The rules that fire most on reconnaissance, and how often the same fire on benign rows."""
+    return report.rule_overlap(fused(spark, sf_dir))
+
+
+@query("""with f as (select category, label, avg((hit_list <> '')::int) as s, avg(supervised_alert::int) as m, avg(anomaly_alert::int) as a from fused where category in ('r2l', 'u2r') group by all)
+    select category, count(*) as families, count(*) filter (where s > greatest(m, a)) as rules_strongest from f group by category""")
+def q_rules_strongest(spark, sf_dir):
+    """In how many families of the rare categories the rules recall more than either model."""
+    return report.rules_strongest(fused(spark, sf_dir))
+
+
+@query("""select count(*) filter (where category = 'dos') as alerts, count(distinct case when category = 'dos' then hit_list || '|' || service || '|' || flag end) as signatures, count(*) as all_alerts,
+    (count(*) filter (where category = 'dos'))::double / count(*) as share_of_all_alerts from fused where is_alert""")
+def q_queue_share(spark, sf_dir):
+    """How much of the queue a category of attacks fills, and how few kinds of alerts that is."""
+    return report.signatures(fused(spark, sf_dir))
+
+
+@query("""select flow_id from fused where is_alert and contains(lower(concat_ws(' ', src, dst, service, flag, category_out, category, replace(hit_list, ',', ' '), replace(layer_list, ', ', ' '), supervised_category)), 'r09 signature supervised')""")
+def q_search_all(spark, sf_dir):
+    """Search over every field that an alert shows."""
+    return report.search(fused(spark, sf_dir), "R09 Signature Supervised").select("flow_id")
+
+
 @query("select src, r as rule, count(*) as n from (select src, unnest(string_split(hit_list, ',')) as r from fused where is_alert and hit_list <> '') group by src, r")
 def q_source_rules(spark, sf_dir):
     """How often each rule fired on the alerts of each source."""
@@ -880,6 +902,19 @@ def q_detect(spark, sf_dir):
     return detected(hist(spark, sf_dir))[1].select(*_VERDICT)
 
 
+@query()
+def q_evaluated(spark, sf_dir):
+    """Section, name and figures of the report on models that are fitted to one part of the table and judged on the other."""
+    rows = records.stratified_split(hist(spark, sf_dir), 0.3, 7)
+    train, test = (rows.filter(F.col("is_test") == t).drop("is_test") for t in (False, True))
+    det = Detector.fit(train)
+    verdicts, times = report.staged(det, test)
+    novel = report.novel_labels(train, test)
+    long = lambda df, section, name: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.to_json(F.struct(*(c for c in df.columns if c != name))).alias("figures"))
+    parts = [long(df, k, df.columns[0]) for k, df in (report.evaluation(det, verdicts, novel) | report.scenarios(det, verdicts, novel)).items() if "example" not in k and "near" not in k]
+    return reduce(DataFrame.union, parts)
+
+
 @query()
 def q_detect_oob(spark, sf_dir):
     """Accuracy of the forest that is fitted to the whole table, each row judged by the trees that did not see it."""

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.session import table
+
 
 #: Ranges into which a column's values are counted before the ranges that hold a wanted rank are ordered.
 RANGES = 1024
@@ -109,31 +111,29 @@ def gini_splits(df: DataFrame, bin_col: str, class_col: str, weight: Column | No
     return per.filter("right_n > 0").select("bin", "left_n", "right_n", gain.alias("gain"))
 
 
-def novelty(scored: DataFrame, benign: DataFrame, score: str = "score", spans: int = 1024) -> DataFrame:
-    """Adds novelty: the share of benign scores that are at most the row's score.
+def novelty(scored: DataFrame, benign: DataFrame, score: str = "score") -> DataFrame:
+    """Adds novelty: the share of benign scores that are at most the row's score. Rows whose score is null or NaN have none, and
+    such benign scores are left out.
 
-    Both sides are dealt by span of scores. A row's rank is the benign count of the spans below (a small table) plus
-    its rank within its own span, so no task sees all scores.
+    Rows and benign scores are range-partitioned together by score, benign before others of the same score, and each partition
+    runs its own count; what lies in the partitions before is one number for each of them. Rows are carried along, nothing is
+    joined by value, and equal scores, however many, are dealt over partitions by a number of their own.
     """
-    low, high = benign.agg(F.min(score), F.max(score)).first()
-    if low is None:
+    real = lambda d: d.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    columns = scored.columns
+    scored = table(scored)
+    both = real(scored).withColumn("_benign", F.lit(0).cast("long")).unionByName(real(benign).select(F.col(score).cast("double").alias(score), F.lit(1).cast("long").alias("_benign")), allowMissingColumns=True)
+    order = [F.col(score), F.desc("_benign"), F.col("_number")]
+    both = both.withColumn("_number", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    both = table(both.withColumn("_part", F.spark_partition_id()))
+    before, plan = 0, []
+    for r in both.groupBy("_part").agg(F.sum("_benign").alias("n")).orderBy("_part").collect():  # one row a partition
+        plan.append((r["_part"], before))
+        before += r["n"]
+    if not before:
         raise ValueError("no benign scores")
-    width = (high - low) / spans or 1.0
-    span = F.greatest(F.least(F.floor((F.col(score) - low) / width), F.lit(spans)), F.lit(-1)).cast("int")
-    points = benign.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n")).withColumnRenamed("_s", score).withColumn("_span", span)
-    per = points.groupBy("_span").agg(F.sum("_n").alias("_in"))
-    below = per.select("_span", F.sum("_in").over(Window.orderBy("_span")).alias("_upto"), F.sum("_in").over(Window.partitionBy()).alias("_all"), "_in")
-    steps = points.join(F.broadcast(below), "_span")
-    steps = steps.withColumn("_rank", F.col("_upto") - F.col("_in") + F.sum("_n").over(Window.partitionBy("_span").orderBy(score)))
-    # distinct scores of a row set are ranked once, then joined back by value
-    values = scored.select(score).distinct().withColumn("_span", span)
-    both = values.withColumn("_q", F.lit(1)).unionByName(steps.select(score, "_span", F.lit(0).alias("_q"), "_rank"), allowMissingColumns=True)
-    last = Window.partitionBy("_span").orderBy(score, "_q").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = both.withColumn("_r", F.max("_rank").over(last)).filter("_q = 1")
-    total = below.select("_all").limit(1)
-    start = below.select(F.col("_span").alias("_b"), "_upto")
-    spans_below = F.broadcast(start.groupBy().agg(F.collect_list(F.struct("_b", "_upto")).alias("_steps")))  # at most spans + 2 entries
-    ranked = ranked.join(spans_below).join(F.broadcast(total))
-    under = F.coalesce(F.array_max(F.transform(F.filter("_steps", lambda s: s["_b"] < F.col("_span")), lambda s: s["_upto"])), F.lit(0))
-    ranked = ranked.select(score, (F.coalesce("_r", under) / F.col("_all")).alias("novelty"))
-    return scored.join(ranked, score, "left")  # a score that is null has no novelty
+    shift = F.broadcast(scored.sparkSession.createDataFrame(plan, "_part int, _before long"))
+    upto = F.sum("_benign").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumn("_rank", upto).filter("_benign = 0").join(shift, "_part")
+    ranked = ranked.select(*columns, ((F.col("_before") + F.col("_rank")) / F.lit(float(before))).alias("novelty"))
+    return ranked.unionByName(scored.filter(F.col(score).isNull() | F.isnan(score)).withColumn("novelty", F.lit(None).cast("double")))

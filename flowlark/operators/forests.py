@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,25 +56,62 @@ def isolation_tree(points: np.ndarray, rng: np.random.Generator, limit: int) ->
     return [tuple(n) for n in out]
 
 
+def draws(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A number of 64 bits for each row (64-bit ids) in a tree; the rows with the smallest are the tree's sample."""
+    with np.errstate(over="ignore"):
+        h = rows.astype(np.int64).view(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finaliser of the public SplitMix64
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
 def fit_isolation(df: DataFrame, vector: Column, trees: int = 150, sample: int = 256, seed: int = 0, row_id: str = "flow_id") -> DataFrame:
-    """Node table of an isolation forest. Each tree grows in its own task on ``sample`` rows drawn by hash, so what is
-    shuffled is about 1.5 * trees * sample rows whatever the input."""
+    """Node table of an isolation forest. Each tree grows in its own task on exactly ``sample`` rows (all, if there are
+    fewer), those with the smallest draws. Draws are counted in ranges first, so what is shuffled is little more than
+    trees * sample rows whatever the input."""
     n = df.count()
     size = min(sample, n)
-    keep = min(1.0, 1.5 * trees * size / max(1, n))
-    per_tree = min(1.0, 1.5 * size / max(1.0, n * keep))
-    unit = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = df.select(F.col(row_id).alias("id"), vector.alias("x")).filter(unit("id") < keep)
-    drawn = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("u", unit("id", "tree", F.lit(7))).filter(F.col("u") < per_tree)
-    limit = max(1, math.ceil(math.log2(max(size, 2))))
+    rows = df.select(F.col(row_id).cast("long").alias("id"), vector.alias("x"))
+    limit, ranges = max(1, math.ceil(math.log2(max(size, 2)))), 256
+    share = min(1.0, 2.0 * size / max(1, n))
+    while True:
+        width = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))) // ranges + 1)
+
+        def count(batches, width=width):
+            sums = np.zeros((trees, ranges + 1), np.int64)
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                for t in range(trees):
+                    sums[t] += np.bincount(np.minimum(draws(ids, t, seed) // width, np.uint64(ranges)).astype(np.int64), minlength=ranges + 1)
+            tree, place = np.nonzero(sums[:, :ranges])
+            yield pa.record_batch([pa.array(tree, pa.int32()), pa.array(place, pa.int32()), pa.array(sums[tree, place], pa.int64())], ["tree", "place", "n"])
+
+        held = np.zeros((trees, ranges), np.int64)
+        for r in rows.select("id").mapInArrow(count, "tree int, place int, n long").groupBy("tree", "place").agg(F.sum("n").alias("n")).collect():  # trees * ranges
+            held[r["tree"], r["place"]] = r["n"]
+        upto = np.cumsum(held, axis=1)
+        if (upto[:, -1] >= size).all() or share >= 1.0:
+            break
+        share = min(1.0, 4 * share)  # some tree has too few below the limit
+    last = [int(np.searchsorted(u, size)) for u in upto]
+
+    def pick(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for t in range(trees):
+                h = draws(ids, t, seed)
+                at = np.flatnonzero(h // width <= np.uint64(last[t]))
+                if len(at):
+                    some = pa.array(at)
+                    yield pa.record_batch([pa.array(np.full(len(at), t), pa.int32()), pa.array((h[at] >> np.uint64(1)).astype(np.int64)), b.column(0).take(some), b.column(1).take(some)], ["tree", "h", "id", "x"])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "id"]).head(size)
+        pdf = pdf.sort_values(["h", "id"]).head(size)
         tree = int(pdf["tree"].iloc[0])
         nodes = isolation_tree(np.stack(pdf["x"].to_numpy()), np.random.default_rng([seed, tree]), limit)
         return pd.DataFrame([(tree, *x) for x in nodes], columns=[c.split()[0] for c in NODES.split(", ")])
 
-    return table(drawn.groupBy("tree").applyInPandas(grow, NODES))
+    return table(rows.mapInArrow(pick, "tree int, h long, id long, x array<double>").groupBy("tree").applyInPandas(grow, NODES))
 
 
 @dataclass

@@ -132,3 +132,42 @@ def test_quantiles(spark, kind):
     there = np.array([v for v in b if v is not None])
     assert np.allclose(got[0], np.quantile(a, at)) and np.allclose(got[1], np.quantile(there, at)) and got[2] == []
     assert quantiles(df.limit(0), [F.col("a")], at) == [[]]
+
+
+def test_samples_are_exact_for_every_tree(spark):
+    """Each tree has the rows with its smallest draws, no fewer and no more, also where the first limit is too low."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(5000).tolist()
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=2)]) for i in ids], "id long, x array<double>").repartition(5)
+    for size in (1, 16, 64):
+        nodes = forests.fit_isolation(df, F.col("x"), trees=500, sample=size, seed=size, row_id="id")
+        roots = nodes.filter("node = 0").collect()
+        assert len(roots) == 500 and {r["size"] for r in roots} == {size}
+    # a tree's sample by definition: its root splits between the least and greatest of the sampled rows
+    x = {r.id: r.x for r in df.collect()}
+    nodes = {r.tree: r for r in forests.fit_isolation(df, F.col("x"), trees=20, sample=16, seed=9, row_id="id").filter("node = 0").collect()}
+    for t, root in nodes.items():
+        drawn = sorted(x, key=lambda i: (int(forests.draws(np.array([i]), t, 9)[0]) >> 1, i))[:16]
+        again = forests.isolation_tree(np.array([x[i] for i in drawn]), np.random.default_rng([9, t]), 4)[0]
+        assert (root.feature, root.threshold) == (again[1], again[2])
+    assert forests.fit_isolation(df.filter("id < 3"), F.col("x"), trees=2, sample=64, row_id="id").filter("node = 0").agg(F.max("size")).first()[0] == 3
+
+
+def test_novelty_with_ties_nulls_and_nan(spark):
+    from flowlark.operators.binning import novelty
+
+    rng = np.random.default_rng(8)
+    benign = [*rng.choice([0.1, 0.5, 0.5, 0.9], 3000).tolist(), None, float("nan"), *rng.normal(size=50).tolist()]
+    rows = [(i, v, "x") for i, v in enumerate([*rng.choice([0.1, 0.5, 0.7], 4000).tolist(), None, float("nan"), -9.0, 9.0, float("inf"), 0.9])]
+    got = novelty(spark.createDataFrame(rows, "id long, score double, note string").repartition(7), spark.createDataFrame([(v,) for v in benign], "score double"))
+    assert got.columns == ["id", "score", "note", "novelty"]
+    real = np.array([v for v in benign if v is not None and not math.isnan(v)])
+    found = {r.id: r for r in got.collect()}
+    assert len(found) == len(rows) == got.count()
+    for i, v, _ in rows:
+        if v is None or math.isnan(v):
+            assert found[i].novelty is None
+        else:
+            assert found[i].novelty == pytest.approx((real <= v).mean())
+    with pytest.raises(ValueError):
+        novelty(got.drop("novelty"), got.select("score").limit(0))

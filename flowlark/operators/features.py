@@ -28,6 +28,19 @@ def ordinal(word: Column, vocabulary: list[str]) -> Column:
     return F.when(at > 0, at - 1).otherwise(len(vocabulary)).cast("double")
 
 
+def word_of(code: Column, vocabulary: list[str]) -> Column:
+    """The word at a place of the sorted vocabulary; <unseen> for a place that it has not."""
+    return F.coalesce(F.get(F.lit(vocabulary) if vocabulary else F.array().cast("array<string>"), code.cast("int")), F.lit("<unseen>"))
+
+
+def vocabulary_of(df: DataFrame, column: str) -> list[str]:
+    """The sorted distinct words of a column; an error if they are more than a plan can hold."""
+    rows = df.select(words(df, column).alias("w")).distinct().limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"{column} has over {MOST_VALUES} values")
+    return sorted(r["w"] for r in rows)
+
+
 @dataclass
 class FeatureSpace:
     vocabularies: dict[str, list[str]] = field(default_factory=dict)

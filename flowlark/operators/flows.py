@@ -61,6 +61,23 @@ def assemble(packets: DataFrame, timeout: float = 64.0, spans: int = 32) -> Data
     )
 
 
+def sessions(df: DataFrame, gap_us: int, key: str = "src", at: str = "start_us", value: str = "src_bytes", spans: int = 32) -> DataFrame:
+    """key, part (from 1), first_us, last_us, n and bytes of runs of a key's rows with at most ``gap_us`` between neighbours.
+
+    As in assemble(), rows are dealt by key and span of time; the runs of a key that meet at the edge of a span are joined
+    afterwards, so no task holds all rows of a busy key. A null key is a key; rows without a time are left out.
+    """
+    rows = _dealt(df.filter(F.col(at).isNotNull()).select(key, at, F.col(value).alias("_value")), at, gap_us + 1, spans)
+    order = Window.partitionBy("_span", key).orderBy(at)
+    before = F.lag(at).over(order)
+    rows = rows.withColumn("_new", (before.isNull() | (F.col(at) - before > gap_us)).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_own")
+    runs = rows.groupBy(key, "_span", "_run").agg(F.max_by("_new", F.struct(-F.col(at), "_new")).alias("_new"), F.min(at).alias("first_us"), F.max(at).alias("last_us"), F.count("*").alias("n"), F.sum("_value").alias("_value"))
+    along = Window.partitionBy(key).orderBy("first_us").rowsBetween(Window.unboundedPreceding, 0)  # one row a run and span
+    runs = runs.withColumn("part", F.sum("_new").over(along))
+    return runs.groupBy(key, "part").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"), F.round(F.sum("_value"), 3).alias("bytes"))
+
+
 def connections(flows: DataFrame, window: float = 2.0, history: int = 100) -> DataFrame:
     """Connection features of flows in order of start (ties by first packet), with src_ip, dst_ip, dst_port and
     start_time. Features that need packet contents are 0."""

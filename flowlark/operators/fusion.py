@@ -52,14 +52,20 @@ def fuse(df: DataFrame, percentile: float = fixed.ANOMALY_PERCENTILE) -> DataFra
 
 
 def corroboration() -> Column:
-    """How the layers support each other, in words; the figures are columns of their own."""
+    """How the layers support each other, in words, with the figures of those that are raised."""
     n, only = F.size("layers"), F.try_element_at("layers", F.lit(1))
+    whole = lambda c, of: F.floor(F.col(c) * of).cast("int").cast("string")
+    rule = F.concat(F.lit("by rule "), F.concat_ws(", ", "hits"))
+    forest = F.concat(F.lit("at an attack probability of "), whole("attack_prob", 100), F.lit(" %"))
+    unusual = F.concat(F.lit("more unusual than "), whole("novelty", 1000), F.lit(" in 1000 benign connections"))
+    raised = lambda layer, text: F.when(F.array_contains("layers", layer), text)
+    figures = F.concat_ws("; ", raised("signature", rule), raised("supervised", forest), raised("anomaly", unusual))
     return (
         F.when(n == 0, "nothing raised by any layer")
-        .when(n >= 2, F.concat(F.lit("raised by "), F.concat_ws(" and ", "layers")))
-        .when(only == "signature", "a rule alone; neither model is raised, so the score is lowered")
-        .when(only == "supervised", "the forest alone; no rule and no anomaly, so the score is lowered")
-        .otherwise("an anomaly alone, which says least of the three; the score is lowered most")
+        .when(n >= 2, F.concat(F.lit("raised by "), F.concat_ws(" and ", "layers"), F.lit(": "), figures))
+        .when(only == "signature", F.concat(F.lit("a rule alone, "), figures, F.lit("; neither model is raised, so the score is lowered")))
+        .when(only == "supervised", F.concat(F.lit("the forest alone, "), figures, F.lit("; no rule and no anomaly, so the score is lowered")))
+        .otherwise(F.concat(F.lit("an anomaly alone, "), figures, F.lit("; this says least of the three, so the score is lowered most")))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlark import fixed
 from flowlark.functions import columns as C
-from flowlark.operators import binning, features, forests, fusion, histogram, metrics, rules
+from flowlark.operators import binning, features, flows, forests, fusion, histogram, metrics, rules
 from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
 from flowlark.plans import report
@@ -265,6 +265,47 @@ def q_value_format(spark, sf_dir):
     return df.select("flow_id", F.when(F.col("src_bytes") == F.floor("src_bytes"), C.shown(F.col("src_bytes"))).otherwise("part").alias("shown"))
 
 
+@query("select flow_id, case when flow_id % 2 = 0 then printf('%.0f', floor(src_bytes)) else printf('%.3f', src_bytes / 7.0 + 0.00013) end as shown from conn")
+def q_value_fractions(spark, sf_dir):
+    """Whole numbers without decimals, others with three."""
+    x = F.when(F.col("flow_id") % 2 == 0, F.floor("src_bytes").cast("double")).otherwise(F.col("src_bytes") / 7.0 + 0.00013)
+    return conn(spark, sf_dir).select("flow_id", C.shown(x).alias("shown"))
+
+
+@query("""with f as (select service, count(*)::double / (select count(*) from hist) as share from hist group by service)
+    select flow_id, round(ln(1 + src_bytes), 6) as log_src_bytes, round(ln(1 + dst_bytes), 6) as log_dst_bytes, src_bytes / (src_bytes + dst_bytes + 1.0) as byte_ratio, (src_bytes + dst_bytes) / (duration + 1.0) as bytes_per_second,
+    "count" / (duration + 1.0) as conn_per_second, greatest(serror_rate, srv_serror_rate) + greatest(rerror_rate, srv_rerror_rate) as error_pressure, diff_srv_rate * dst_host_diff_srv_rate as service_entropy_proxy,
+    num_failed_logins + 2.0 * root_shell + 2.0 * su_attempted + hot / 5.0 + is_guest_login as auth_pressure, share as service_freq,
+    case when flag in ('s0','s1','s2','s3') then 1.0 else 0.0 end as flag_serror, case when flag in ('rej','rsto','rstr','rstos0','oth') then 1.0 else 0.0 end as flag_rerror,
+    case when protocol_type = 'tcp' then 1.0 else 0.0 end as proto_tcp, case when protocol_type = 'udp' then 1.0 else 0.0 end as proto_udp, case when protocol_type = 'icmp' then 1.0 else 0.0 end as proto_icmp
+    from hist join f using (service)""")
+def q_derived_all(spark, sf_dir):
+    """All fourteen derived features of connections with history."""
+    df = hist(spark, sf_dir)
+    shares = {r["service"]: r["share"] for r in features.service_shares(df).limit(features.MOST_VALUES).collect()}
+    d = C.derived(df, F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("service")))
+    return df.select("flow_id", *((F.round(c, 6) if k.startswith("log_") else c).alias(k) for k, c in d.items()))
+
+
+@query("""with v as (select w, row_number() over (order by w) - 1 as code from (select distinct lower(service) as w from conn where flow_id % 2 = 0 and service <> 'signup')), n as (select count(*) as n from v)
+    select flow_id, coalesce(v.w, '<unseen>') as back, flow_id % (n + 2) as code from conn, n left join v on v.code = flow_id % (n + 2)""")
+def q_ordinal_inverse(spark, sf_dir):
+    """The words of codes, of which some stand for none."""
+    df = conn(spark, sf_dir)
+    words = features.vocabulary_of(df.filter("flow_id % 2 = 0 and service <> 'signup'"), "service")
+    code = F.col("flow_id") % (len(words) + 2)
+    return df.select("flow_id", features.word_of(code, words).alias("back"), code.alias("code"))
+
+
+@query("""with v as (select category, row_number() over (order by category) - 1 as code from (select distinct category from conn where flow_id % 3 > 0 and category <> 'u2r'))
+    select flow_id, coalesce(code, (select count(*) from v))::double as label_code from conn left join v using (category)""")
+def q_label_codes(spark, sf_dir):
+    """The target as numbers, with one number for a class that training had not."""
+    df = conn(spark, sf_dir)
+    classes = features.vocabulary_of(df.filter("flow_id % 3 > 0 and category <> 'u2r'"), "category")
+    return df.select("flow_id", features.ordinal(F.col("category"), classes).alias("label_code"))
+
+
 # ---- windows -----------------------------------------------------------------------------------------------------
 
 
@@ -321,11 +362,8 @@ def q_range_join_all(spark, sf_dir):
     parts as (select *, sum(fresh) over (partition by src order by start_us, flow_id rows unbounded preceding) as part from gaps)
     select src, cast(part as bigint) as part, min(start_us) as first_us, max(start_us) as last_us, count(*) as n, round(sum(src_bytes), 3) as bytes from parts group by src, part""")
 def q_sessionize(spark, sf_dir):
-    key = Window.partitionBy("src").orderBy("start_us", "flow_id")
-    df = conn(spark, sf_dir)
-    fresh = F.coalesce((F.col("start_us") - F.lag("start_us").over(key) > 7_200_000_000).cast("int"), F.lit(1))
-    df = df.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(key.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy("src", "part").agg(F.min("start_us").alias("first_us"), F.max("start_us").alias("last_us"), F.count("*").alias("n"), F.round(F.sum("src_bytes"), 3).alias("bytes"))
+    """Runs of a source's connections with at most two hours between them."""
+    return flows.sessions(conn(spark, sf_dir), 7_200_000_000)
 
 
 _FLOW_SQL = """with p as (select flow_id as pkt_idx, cast(start_us / 1000000.0 as double) as ts, 'u' || (flow_id % 40) as a, 'v' || (flow_id % 3) as b, flow_id % 2 as back,
@@ -408,10 +446,15 @@ def q_severity(spark, sf_dir):
     return fused(spark, sf_dir).select("flow_id", "severity", "category_out")
 
 
-@query("""select flow_id, case when n_layers = 0 then 'nothing raised by any layer' when n_layers >= 2 then 'raised by ' || replace(layer_list, ', ', ' and ')
-    when layer_list = 'signature' then 'a rule alone; neither model is raised, so the score is lowered'
-    when layer_list = 'supervised' then 'the forest alone; no rule and no anomaly, so the score is lowered'
-    else 'an anomaly alone, which says least of the three; the score is lowered most' end as corroboration from fused""")
+_FIGURES = """concat_ws('; ', case when rule_score > 0 then 'by rule ' || replace(hit_list, ',', ', ') end,
+    case when supervised_alert then 'at an attack probability of ' || cast(floor(attack_prob * 100) as int) || ' %' end,
+    case when anomaly_alert then 'more unusual than ' || cast(floor(novelty * 1000) as int) || ' in 1000 benign connections' end)"""
+
+
+@query(f"""select flow_id, case when n_layers = 0 then 'nothing raised by any layer' when n_layers >= 2 then 'raised by ' || replace(layer_list, ', ', ' and ') || ': ' || {_FIGURES}
+    when layer_list = 'signature' then 'a rule alone, ' || {_FIGURES} || '; neither model is raised, so the score is lowered'
+    when layer_list = 'supervised' then 'the forest alone, ' || {_FIGURES} || '; no rule and no anomaly, so the score is lowered'
+    else 'an anomaly alone, ' || {_FIGURES} || '; this says least of the three, so the score is lowered most' end as corroboration from fused""")
 def q_corroboration(spark, sf_dir):
     return fused(spark, sf_dir).select("flow_id", "corroboration")
 

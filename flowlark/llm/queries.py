@@ -49,7 +49,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read(spark, sf_dir, "pages"))
+    return url_filter.judge(read(spark, sf_dir, "pages"), vocabulary=vocabulary())
 
 
 def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

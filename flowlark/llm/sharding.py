@@ -110,23 +110,32 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     free(rows, groups)
     sums = placed.groupBy("item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("item").collect()
     to = place(np.array([[r["b"], r["t"], r["n"]] for r in sums], dtype=float).reshape(-1, 3), shards)
-    first, plan = [0] * shards, []
+    first, plan = [0] * shards, {}
     for r, s in zip(sums, to.tolist(), strict=True):
-        plan.append((r["item"], s, first[s]))
+        plan[r["item"]] = (s, first[s])
         first[s] += r["n"]
-    plan = df.sparkSession.createDataFrame(plan, "item long, shard int, first long")
-    return numbered(placed, "item").join(F.broadcast(plan), "item").select(
+    rows, spans = numbered(placed)
+    slots = df.sparkSession.createDataFrame([(part, item, plan[item][0], plan[item][1] + start) for part, item, start in spans], "_part int, item long, shard int, start long")
+    return rows.join(F.broadcast(slots), ["_part", "item"]).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("first") + F.col("nth")).alias("slot"),
+        (F.col("start") + F.col("_at")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """``nth`` from 0 within each key; a key is an item and holds a small part of a shard, or one group below a shard."""
-    w = Window.partitionBy(key).orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("nth", F.row_number().over(w).cast("long") - 1)
+def numbered(placed: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The rows in order of item and doc_id with _part and _at, and for each item in each part what to add to _at for the place in
+    the item, from 0. Ranges cut an item of any size; there are at most as many (part, item) as items and parts together."""
+    order = ["item", "doc_id", "text_crc32", "size", "_tie"]
+    rows = placed.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    before: dict[int, int] = {}
+    spans = []
+    for r in rows.groupBy("_part", "item").agg(F.min("_at").alias("least"), F.count("*").alias("n")).orderBy("_part", "item").collect():
+        spans.append((r["_part"], r["item"], before.get(r["item"], 0) - r["least"]))
+        before[r["item"]] = before.get(r["item"], 0) + r["n"]
+    return rows, spans

@@ -145,6 +145,19 @@ def _read_table(body: bytes) -> dict[str, object] | None:
     return out
 
 
+def _read_fixed_table(frame: bytes) -> dict[str, object] | None:
+    """The other table in use, VBRI, which lies 32 bytes after the frame's header whatever the side information: version, delay and
+    quality, sizes, and the bytes of so many frames each, in entries of 1 to 4 bytes and a common scale."""
+    if frame[36:40] != b"VBRI" or len(frame) < 62:
+        return None
+    version, delay, quality, size, frames, entries, scale, width, per = struct.unpack_from(">HHHIIHHHH", frame, 40)
+    if not 1 <= width <= 4:
+        return None
+    cells = frame[62 : 62 + entries * width]
+    steps = [int.from_bytes(cells[i : i + width], "big") * scale for i in range(0, len(cells) - width + 1, width)]
+    return {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "version": version, "delay": delay, "frames_per_entry": per, "entries": steps}
+
+
 def demux(raw: bytes) -> Audio:
     """Everything a stream holds; see the module's text. A header counts only if the next frame (or the end) follows
     where it says, or, as long as frames follow each other, if its checksum is right. The variable-bitrate frame is not audio and counts in no figure but ``table``."""
@@ -180,7 +193,7 @@ def demux(raw: bytes) -> Audio:
         if f.protected:
             bad += not sound(f)
         body = raw[main : at + f.size]
-        found = _read_table(body) if not offsets and not table else None
+        found = (_read_table(body) or _read_fixed_table(raw[at : at + f.size])) if not offsets and not table else None
         if found:
             table = found
         else:
@@ -206,18 +219,33 @@ _STARTS = {i: _frame_start(i) for i in range(1, 15)}
 _SIZES = {i: 144 * BITRATES[1][i] * 1000 // 48000 for i in range(1, 15)}
 
 
-def mux(payload: bytes) -> bytes:
-    """``payload`` in frames of 320 kbit/s and a last one of the least bitrate that holds the rest."""
-    largest, overhead = 14, len(_STARTS[14])
-    room = _SIZES[largest] - overhead
-    frames = [_STARTS[largest] + payload[i : i + room] for i in range(0, len(payload), room)] if payload else []
-    if frames:
-        rest = len(frames[-1]) - overhead
-        index = next(i for i in range(1, 15) if _SIZES[i] - overhead >= rest)
-        frames[-1] = (_STARTS[index] + frames[-1][overhead:]).ljust(_SIZES[index], b"\0")
-    audio = b"".join(frames)
-    seek = bytes(min(255, 256 * i // 100) for i in range(100)) if len(frames) > 1 else bytes(100)
-    info = b"Xing" + struct.pack(">III", 7, len(frames), len(audio)) + seek
+def mux(payload: bytes, rates: tuple[int, ...] = (14,), kind: str = "Xing") -> bytes:
+    """``payload`` in frames of 320 kbit/s (or of the bitrates at ``rates`` in turn) and a last one of the least bitrate that
+    holds the rest, behind a table of either ``kind``."""
+    overhead = len(_STARTS[14])
+    frames, at = [], 0
+    while at < len(payload):
+        index = rates[len(frames) % len(rates)]
+        if len(payload) - at <= _SIZES[index] - overhead:
+            index = next(i for i in range(1, 15) if _SIZES[i] - overhead >= len(payload) - at)
+        room = _SIZES[index] - overhead
+        frames.append((_STARTS[index] + payload[at : at + room]).ljust(_SIZES[index], b"\0"))
+        at += room
+    audio, n = b"".join(frames), len(frames)
+    if kind == "VBRI":
+        per = max(1, -(-n // 100))
+        steps = [sum(map(len, frames[i : i + per])) for i in range(0, n, per)]
+        info = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, len(audio), n, len(steps), 1, 4, per) + b"".join(struct.pack(">I", v) for v in steps)
+        lead = 36 - len(_STARTS[1])
+        info = bytes(lead) + info
+    else:
+        seek = bytes(min(255, 256 * i // 100) for i in range(100)) if n > 1 else bytes(100)
+        if n > 1 and len(rates) > 1:
+            starts = [0]
+            for f in frames:
+                starts.append(starts[-1] + len(f))
+            seek = bytes(min(255, 256 * starts[i * n // 100] // len(audio)) for i in range(100))
+        info = b"Xing" + struct.pack(">III", 7, n, len(audio)) + seek
     index = next(i for i in range(1, 15) if _SIZES[i] - overhead >= len(info))
     first = (_STARTS[index] + info).ljust(_SIZES[index], b"\0")
     return _tag({"payload_bytes": str(len(payload))}) + first + audio

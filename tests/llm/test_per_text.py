@@ -286,6 +286,34 @@ def test_damaged_media(junk):
     assert mpeg.demux(bytes(flipped)).bad_checksums == 1
 
 
+@pytest.mark.parametrize("kind", ["Xing", "VBRI"])
+@pytest.mark.parametrize("rates", [(14,), (1, 14, 5, 9), (3, 2), (11, 11, 1)])
+def test_streams_of_mixed_bitrates(kind, rates):
+    """Frames of many sizes behind either table: payload, exact duration, offsets and what the table says of them."""
+    for size in (0, 1, 500, 40_000, 150_000):
+        payload = bytes(random.Random(size).randrange(256) for _ in range(size))
+        raw = mpeg.mux(payload, rates, kind)
+        a = mpeg.demux(raw)
+        assert a.payload == payload and (a.bad_checksums, a.resyncs, a.skipped) == (0, 0, 0)
+        assert a.table["kind"] == kind and a.table["frames"] == a.frames and a.duration == mpeg.Fraction(a.frames * 1152, 48000 if a.frames else 1)
+        ends = [*a.offsets[1:], len(raw)] if a.offsets else []
+        sizes = [z - b for b, z in zip(a.offsets, ends, strict=True)]
+        assert sizes[:-1] == [mpeg._SIZES[rates[i % len(rates)]] for i in range(len(sizes) - 1)]
+        assert a.table["bytes"] == sum(sizes)
+        if kind == "VBRI":
+            per = a.table["frames_per_entry"]
+            assert a.table["entries"] == [sum(sizes[i : i + per]) for i in range(0, len(sizes), per)]
+        elif a.frames > 1 and len(rates) > 1:
+            starts = [o - a.offsets[0] for o in a.offsets]
+            assert all(seek == min(255, 256 * starts[i * a.frames // 100] // sum(sizes)) for i, seek in enumerate(a.table["seek"]))
+    # a flipped checksum and junk in the middle of frames of unequal sizes
+    at = a.offsets[7]
+    assert mpeg.demux(raw[:at] + b"\xff\xfb\x90junk" + raw[at:]).frames == a.frames
+    flipped = bytearray(raw)
+    flipped[at + 5] ^= 1
+    assert mpeg.demux(bytes(flipped)).bad_checksums == 1
+
+
 def test_base_secrets(spark, sf_dir, documents, edges, empty):
     for df, out in ((documents, op10_secrets(spark, sf_dir)), (edges, secret_scan.find_secrets(edges))):
         want = []

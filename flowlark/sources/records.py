@@ -78,6 +78,16 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place), "UTF-8"))
+    try:
+        return lines.readLine() or ""
+    finally:
+        lines.close()
+
+
 def read_flow_exports(spark: SparkSession, folder: str, max_rows_per_file: int | None = 200_000, seed: int = 0) -> tuple[DataFrame, dict]:
     """(rows, provenance) of all CSV files of a folder with header. Files are put together by column name; a column that
     a file lacks is a gap there. Columns that hold nothing but numbers are doubles, infinities and gaps 0; label,
@@ -86,7 +96,15 @@ def read_flow_exports(spark: SparkSession, folder: str, max_rows_per_file: int |
     paths = _paths(spark, f"{folder}/*.csv")
     if not paths:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    parts = [clean_names(spark.read.option("header", True).csv(p)).withColumn("__source_file", F.lit(os.path.basename(p))) for p in paths]
+    # files of one header are read together, so the plan grows with the headers, not with the files
+    of_header: dict[str, list[str]] = {}
+    for p in paths:
+        of_header.setdefault(_first_line(spark, p), []).append(p)
+    parts = []
+    for group in of_header.values():
+        read = spark.read.option("header", True).csv(group)
+        values = clean_names(read).columns
+        parts.append(read.select("*", F.col("_metadata.file_name").alias("__source_file")).toDF(*values, "__source_file"))
     named = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if "label" not in named.columns:
         raise ValueError(f"no label column; found {named.columns[:8]}")

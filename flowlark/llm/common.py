@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,16 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Only a session on one machine may name none:
-    there a temporary folder stands in, and is set for the session. On a cluster that would lose tables, so it is refused."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
-
+from flowlark.session import shared_folder
 
 #: With this set, a query's shuffle files go when the query ends; the table that it wrote is all that is read later.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -111,17 +111,18 @@ def gini_splits(df: DataFrame, bin_col: str, class_col: str, weight: Column | No
     return per.filter("right_n > 0").select("bin", "left_n", "right_n", gain.alias("gain"))
 
 
-def novelty(scored: DataFrame, benign: DataFrame, score: str = "score") -> DataFrame:
+def novelty(scored: DataFrame, benign: DataFrame, score: str = "score", stored: bool = False) -> DataFrame:
     """Adds novelty: the share of benign scores that are at most the row's score. Rows whose score is null or NaN have none, and
     such benign scores are left out.
 
     Rows and benign scores are range-partitioned together by score, benign before others of the same score, and each partition
     runs its own count; what lies in the partitions before is one number for each of them. Rows are carried along, nothing is
-    joined by value, and equal scores, however many, are dealt over partitions by a number of their own.
+    joined by value, and equal scores, however many, are dealt over partitions by a number of their own. ``scored`` is read more
+    than once: it is written first unless it is ``stored`` already.
     """
     real = lambda d: d.filter(F.col(score).isNotNull() & ~F.isnan(score))
     columns = scored.columns
-    scored = table(scored)
+    scored = scored if stored else table(scored)
     both = real(scored).withColumn("_benign", F.lit(0).cast("long")).unionByName(real(benign).select(F.col(score).cast("double").alias(score), F.lit(1).cast("long").alias("_benign")), allowMissingColumns=True)
     order = [F.col(score), F.desc("_benign"), F.col("_number")]
     both = both.withColumn("_number", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)

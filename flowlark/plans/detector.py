@@ -43,6 +43,7 @@ class Detector:
         weights = forests.class_weights(train, "category")
         classes = sorted(weights)
         nodes = histogram.fit(train, "flow_id", space.vector(train), cls._label(classes), [weights[c] for c in classes], len(fixed.FEATURES), trees, depth, seed=seed)
+        forests.shared(nodes)  # a fitted model is ready to use
         isolation = forests.fit_isolation(benign_rows, space.vector(benign_rows, scaled=True), isolation_trees, sample, seed)
         size = min(sample, benign_rows.count())
         score = forests.isolation_score(isolation, size)
@@ -80,7 +81,7 @@ class Detector:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Scored and fused rows. They are a table: models run once, however the result is used."""
-        return fusion.fuse(novelty(table(self.score(df)), self.benign_scores), self.percentile)
+        return fusion.fuse(novelty(self.score(df), self.benign_scores), self.percentile)
 
     def explain(self, alerts: DataFrame, top: int = 5) -> DataFrame:
         """The explained record of each row of ``alerts`` (rows of predict(), filtered and limited before)."""

@@ -28,7 +28,7 @@ def staged(det: Detector, df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     stages = (
         ("signature", rules.with_hits, F.col("rule_score") > 0), ("supervised", det.supervised, F.col("supervised_alert")), ("anomaly", det.anomaly, F.col("anomaly_alert")),
-        ("fusion", lambda d: fusion.fuse(novelty(d, det.benign_scores), det.percentile), F.col("is_alert")),
+        ("fusion", lambda d: fusion.fuse(novelty(d, det.benign_scores, stored=True), det.percentile), F.col("is_alert")),
     )
     rows, told = df, []
     for name, work, alert in stages:

@@ -75,7 +75,8 @@ def quantiles(df: DataFrame, columns: list[Column], at: list[float]) -> list[lis
     ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "column int, place int, inner long, rank long"))  # two a share and column
     found = placed.join(ranks, ["column", "place"]).filter("inner >= upto - n and inner < upto").select("column", "rank", "value").collect()
     value = {(r["column"], r["rank"]): r["value"] for r in found}
-    between = lambda i, x, low, high: value[i, low] if low == high else (high - x) * value[i, low] + (x - low) * value[i, high]
+    # between equal values lies that value: a weighted sum of the two may be off by a bit, and >= would then miss all of them
+    between = lambda i, x, low, high: value[i, low] if value[i, low] == value[i, high] else (high - x) * value[i, low] + (x - low) * value[i, high]
     return [[between(i, *w) for w in ways[i]] for i in range(many)]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +67,19 @@ class FeatureSpace:
         return space
 
     def columns(self, df: DataFrame) -> dict[str, Column]:
-        service = words(df, "service")
-        share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in self.shares.items() for x in kv)), service), F.lit(0.0)) if self.shares else F.lit(0.0)
-        out = {c: number(df, c) for c in fixed.NUMERIC} | derived(df, share)
-        out |= {f"{c}_code": ordinal(words(df, c), self.vocabularies.get(c, [])) for c in fixed.CATEGORICAL}
-        return {c: finite(out[c]) for c in fixed.FEATURES}
+        """The features by name. They depend on which columns there are and on nothing else of ``df``, so they are kept for
+        other frames: some thousand calls to the JVM, which took longer than scoring a small frame."""
+        names = df.columns
+        key = (df.sparkSession, tuple(c for c in fixed.COLUMNS if c in names))
+        made = self.__dict__.setdefault("_columns", {})
+        if key not in made:
+            there = SimpleNamespace(columns=names)  # names are asked for each feature
+            service = words(there, "service")
+            share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in self.shares.items() for x in kv)), service), F.lit(0.0)) if self.shares else F.lit(0.0)
+            out = {c: number(there, c) for c in fixed.NUMERIC} | derived(there, share)
+            out |= {f"{c}_code": ordinal(words(there, c), self.vocabularies.get(c, [])) for c in fixed.CATEGORICAL}
+            made[key] = {c: finite(out[c]) for c in fixed.FEATURES}
+        return made[key]
 
     def transform(self, df: DataFrame, *keep: str) -> DataFrame:
         """The 55 features (after the columns ``keep``)."""
@@ -78,10 +87,13 @@ class FeatureSpace:
 
     def vector(self, df: DataFrame, scaled: bool = False) -> Column:
         """The features as one array."""
-        cols = self.columns(df).values()
-        if scaled:
-            cols = [(c - m) / s for c, m, s in zip(cols, self.mean, self.std, strict=True)]
-        return F.array(*cols)
+        cols = self.columns(df)
+        if not scaled:
+            return F.array(*cols.values())
+        made = self.__dict__.setdefault("_scaled", {})
+        if (key := (id(cols), tuple(self.mean), tuple(self.std))) not in made:
+            made[key] = F.array(*((c - m) / s for c, m, s in zip(cols.values(), self.mean, self.std, strict=True)))
+        return made[key]
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

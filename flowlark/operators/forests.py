@@ -299,3 +299,39 @@ def importances(nodes: DataFrame) -> DataFrame:
     per = nodes.filter("feature >= 0").groupBy("feature").agg(F.sum(F.greatest(F.col("gain") * F.col("weight"), F.lit(0.0))).alias("v"))
     total = per.agg(F.sum("v").alias("total"))
     return per.join(F.broadcast(total)).select("feature", F.coalesce(F.try_divide("v", "total"), F.lit(0.0)).alias("importance"))
+
+
+def importances_on(nodes: DataFrame, rows: DataFrame, vector: Column, label: Column, classes: int) -> DataFrame:
+    """feature, importance: the impurity decrease of a forest's splits on other rows than it was fitted to, as shares. What is
+    collected is one count for each leaf and class. ``label`` is a class number; rows of other numbers or of null play no part."""
+    forest = shared(nodes)
+
+    def count(batches):
+        f = forest.value
+        sums = np.zeros((len(f.feature), classes), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                leaf, _ = f.leaves(np.stack(part.column(0).to_numpy(zero_copy_only=False)), inclusive=True)
+                np.add.at(sums, (leaf, part.column(1).to_numpy()[:, None]), 1)
+        place, klass = np.nonzero(sums)
+        yield pa.record_batch([pa.array(place, pa.int64()), pa.array(klass, pa.int32()), pa.array(sums[place, klass], pa.int64())], ["place", "class", "n"])
+
+    known = rows.select(vector.alias("x"), label.cast("int").alias("k")).filter(F.col("k").between(0, classes - 1))
+    f = forest.value
+    held = np.zeros((len(f.feature), classes))
+    for r in known.mapInArrow(count, "place long, class int, n long").groupBy("place", "class").agg(F.sum("n").alias("n")).collect():  # leaves * classes
+        held[r["place"], r["class"]] = r["n"]
+    inner = f.feature >= 0
+    for d in range(int(f.depth.max(initial=0)), -1, -1):  # counts of the nodes above
+        at = np.flatnonzero(inner & (f.depth == d))
+        held[at] = held[f.left[at]] + held[f.left[at] + 1]
+    n = held.sum(axis=1)
+    impurity = n - (held**2).sum(axis=1) / np.maximum(n, 1)  # Gini impurity times rows
+    at = np.flatnonzero(inner)
+    gain = np.maximum(impurity[at] - impurity[f.left[at]] - impurity[f.left[at] + 1], 0.0)
+    used, place = np.unique(f.feature[at], return_inverse=True)
+    sums = np.bincount(place, weights=gain, minlength=len(used))
+    total = float(sums.sum())
+    found = [(int(u), float(v) / total if total > 0 else 0.0) for u, v in zip(used, sums, strict=True)]
+    return nodes.sparkSession.createDataFrame(found, "feature int, importance double")

@@ -45,13 +45,23 @@ class Detector:
         nodes = histogram.fit(train, "flow_id", space.vector(train), cls._label(classes), [weights[c] for c in classes], len(fixed.FEATURES), trees, depth, seed=seed)
         forests.shared(nodes)  # a fitted model is ready to use
         isolation = forests.fit_isolation(benign_rows, space.vector(benign_rows, scaled=True), isolation_trees, sample, seed)
-        size = min(sample, benign_rows.count())
-        score = forests.isolation_score(isolation, size)
+        return cls.around(train, space, classes, nodes, isolation, min(sample, benign_rows.count()), seed, benign)
+
+    @classmethod
+    def around(
+        cls, train: DataFrame, space: FeatureSpace, classes: list[str], nodes: DataFrame, isolation: DataFrame, sample: int, seed: int = fixed.SEED, benign: Column | None = None
+    ) -> Detector:
+        """A detector of node tables that exist, calibrated on the benign rows of ``train``: their scores, the threshold that one
+        in a hundred of them reaches, and mean and deviation of their features. ``sample`` is the size of the isolation trees' samples."""
+        benign_rows = train.filter(F.col("category") == "normal" if benign is None else benign)
+        score = forests.isolation_score(isolation, sample)
         scores = table(benign_rows.select(score(space.vector(benign_rows, scaled=True)).alias("score")))
-        threshold = quantiles(scores, [F.col("score")], [fixed.ANOMALY_PERCENTILE / 100])[0][0]
+        threshold = quantiles(scores, [F.col("score")], [fixed.ANOMALY_PERCENTILE / 100])[0]
+        if not threshold:
+            raise ValueError("no benign rows")
         raw = space.transform(benign_rows).agg(*(f(c).alias(f"{k}{c}") for c in fixed.FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         std = [s if (s := raw[f"s{c}"]) >= 1e-12 else 1.0 for c in fixed.FEATURES]
-        return cls(space, classes, nodes, isolation, scores, size, threshold, [raw[f"m{c}"] for c in fixed.FEATURES], std, seed=seed)
+        return cls(space, classes, nodes, isolation, scores, sample, threshold[0], [raw[f"m{c}"] for c in fixed.FEATURES], std, seed=seed)
 
     @staticmethod
     def _label(classes: list[str]) -> Column:

@@ -15,6 +15,7 @@ from flowlark.operators.history import _dealt, with_history
 from flowlark.operators.order import with_sequence
 from flowlark.plans import report
 from flowlark.plans.detector import Detector
+from flowlark.session import table
 from flowlark.sources import events as E
 from flowlark.sources import records
 
@@ -130,27 +131,36 @@ def _hits_sql(name: str, source: str, only: tuple[str, ...] = _ORDER) -> str:
     )
 
 
-_FUSED_SQL = f"""
-{_hits_sql("local_hit", "conn", _LOCAL)},
-parts as materialized (
-  select *, attack_prob >= 0.9 as supervised_alert, novelty >= 0.99 as anomaly_alert,
-    least(greatest((novelty - 0.99::double) / (1 - 0.99::double), 0.0), 1.0) as above
-  from (select *, ((flow_id * 37) % 100) / 100.0::double as attack_prob, ((flow_id * 7919) % 1000) / 1000.0::double as novelty,
-    case flow_id % 5 when 0 then 'normal' when 1 then 'dos' when 2 then 'probe' when 3 then 'r2l' else 'u2r' end as supervised_category from local_hit)),
-joined as materialized (
+_ABOVE = "least(greatest((novelty - 0.99::double) / (1 - 0.99::double), 0.0), 1.0)"
+
+
+def _fusion_sql(source: str, name: str) -> str:
+    """Rows of ``source`` with rule_score, rule_category, the models' verdicts and above, fused."""
+    return f"""
+{name}_joined as materialized (
   select *, (rule_score > 0)::int + supervised_alert::int + anomaly_alert::int as n_layers,
     1.0::double - (1.0::double - rule_score) * (1.0::double - 0.9::double * case when supervised_alert then attack_prob else 0.0 end)
       * (1.0::double - 0.6::double * case when anomaly_alert then above else 0.0 end) as raw
-  from parts),
-scored as materialized (
+  from {source}),
+{name}_scored as materialized (
   select *, raw * case when n_layers <> 1 then 1.0::double when rule_score > 0 then 0.62::double when supervised_alert then 0.55::double else 0.45::double end as fused_score,
     n_layers > 0 as is_alert,
     rtrim(case when rule_score > 0 then 'signature, ' else '' end || case when supervised_alert then 'supervised, ' else '' end || case when anomaly_alert then 'anomaly' else '' end, ', ') as layer_list
-  from joined),
-fused as materialized (
+  from {name}_joined),
+{name} as materialized (
   select *, case when not is_alert then 'info' when fused_score >= 0.85 then 'critical' when fused_score >= 0.65 then 'high' when fused_score >= 0.45 then 'medium' else 'low' end as severity,
     case when rule_score > 0 then rule_category when supervised_alert then supervised_category when anomaly_alert then 'unknown' else 'normal' end as category_out
-  from scored)"""
+  from {name}_scored)"""
+
+
+_FUSED_SQL = f"""
+{_hits_sql("local_hit", "conn", _LOCAL)},
+parts as materialized (
+  select *, attack_prob >= 0.9 as supervised_alert, novelty >= 0.99 as anomaly_alert, {_ABOVE} as above
+  from (select *, ((flow_id * 37) % 100) / 100.0::double as attack_prob, ((flow_id * 7919) % 1000) / 1000.0::double as novelty,
+    case flow_id % 5 when 0 then 'normal' when 1 then 'dos' when 2 then 'probe' when 3 then 'r2l' else 'u2r' end as supervised_category from local_hit)),
+{_fusion_sql("parts", "fused")}"""
+
 
 
 def _with_tables(sql: str) -> str:
@@ -830,18 +840,18 @@ _FOREST = (
 _ROW = "[duration, src_bytes, dst_bytes, hot]"
 
 
-def _nodes_sql(nodes) -> str:
+def _nodes_sql(nodes, tag: str = "") -> str:
     cells = lambda n: ", ".join(f"{v}::double" if isinstance(v, float) else str(v) for v in n[:7]) + "".join(f", {p}::double" for p in (n[7] if len(n) > 7 else ()))
     extra = "".join(f", p{i}" for i in range(len(nodes[0][7]))) if len(nodes[0]) > 7 else ""
-    return f"nodes(tree, node, feature, threshold, lft, rgt, size{extra}) as (values {', '.join(f'({cells(n)})' for n in nodes)})"
+    return f"nodes{tag}(tree, node, feature, threshold, lft, rgt, size{extra}) as (values {', '.join(f'({cells(n)})' for n in nodes)})"
 
 
-def _walk_sql(nodes, less: str) -> str:
+def _walk_sql(nodes, less: str, row: str = _ROW, source: str = "conn", tag: str = "") -> str:
     """walk: flow_id, tree, node, depth for every node on every row's way."""
-    return f"""{_nodes_sql(nodes)}, x as materialized (select flow_id, {_ROW} as v from conn),
-    walk(flow_id, tree, node, depth) as (select flow_id, tree, 0, 0 from x, (select distinct tree from nodes)
+    return f"""{_nodes_sql(nodes, tag)}, x{tag} as materialized (select flow_id, {row} as v from {source}),
+    walk{tag}(flow_id, tree, node, depth) as (select flow_id, tree, 0, 0 from x{tag}, (select distinct tree from nodes{tag})
       union all select w.flow_id, w.tree, case when x.v[n.feature + 1] {less} n.threshold then n.lft else n.rgt end, w.depth + 1
-      from walk w join nodes n on n.tree = w.tree and n.node = w.node join x on x.flow_id = w.flow_id where n.feature >= 0)"""
+      from walk{tag} w join nodes{tag} n on n.tree = w.tree and n.node = w.node join x{tag} x on x.flow_id = w.flow_id where n.feature >= 0)"""
 
 
 def literal_nodes(spark: SparkSession, nodes, classes: bool) -> DataFrame:
@@ -933,6 +943,100 @@ def q_oob_accuracy(spark, sf_dir):
     return out.withColumn("accuracy", F.try_divide(F.col("n_right").cast("double"), F.col("n_voted")))
 
 
+# ---- the whole detector around literal trees, repeated in SQL -------------------------------------------------------
+
+#: features of the literal detector; its isolation trees see them scaled
+_SEEN = ("duration", "src_bytes", "dst_bytes", "hot", "count", "serror_rate", "diff_srv_rate")
+_VOTERS = (
+    (0, 0, 1, 1210.7, 1, 2, 100, (0.53, 0.29, 0.18)), (0, 1, 5, 0.1137, 3, 4, 60, (0.71, 0.12, 0.17)), (0, 2, 4, 41.5, 5, 6, 40, (0.23, 0.58, 0.19)), (0, 3, -1, 0.0, -1, -1, 20, (0.83, 0.06, 0.11)),
+    (0, 4, -1, 0.0, -1, -1, 40, (0.37, 0.42, 0.21)), (0, 5, -1, 0.0, -1, -1, 25, (0.44, 0.33, 0.23)), (0, 6, -1, 0.0, -1, -1, 15, (0.07, 0.82, 0.11)),
+    (1, 0, 0, 3.5, 1, 2, 100, (0.47, 0.22, 0.31)), (1, 1, 3, 1.5, 3, 4, 55, (0.61, 0.14, 0.25)), (1, 2, 6, 0.6613, 5, 6, 45, (0.27, 0.24, 0.49)), (1, 3, -1, 0.0, -1, -1, 30, (0.73, 0.09, 0.18)),
+    (1, 4, -1, 0.0, -1, -1, 25, (0.41, 0.26, 0.33)), (1, 5, -1, 0.0, -1, -1, 25, (0.39, 0.28, 0.33)), (1, 6, -1, 0.0, -1, -1, 20, (0.11, 0.13, 0.76)),
+    (2, 0, 2, 2205.3, 1, 2, 100, (0.51, 0.27, 0.22)), (2, 1, -1, 0.0, -1, -1, 64, (0.67, 0.16, 0.17)), (2, 2, 4, 77.5, 3, 4, 36, (0.26, 0.43, 0.31)), (2, 3, -1, 0.0, -1, -1, 21, (0.34, 0.31, 0.35)), (2, 4, -1, 0.0, -1, -1, 15, (0.15, 0.59, 0.26)),
+)
+_APART = (
+    (0, 0, 0, 0.7531, 1, 2, 64), (0, 1, 1, -0.2113, 3, 4, 43), (0, 2, 2, 1.4177, 5, 6, 21), (0, 3, -1, 0.0, -1, -1, 19), (0, 4, -1, 0.0, -1, -1, 24), (0, 5, -1, 0.0, -1, -1, 20), (0, 6, -1, 0.0, -1, -1, 1),
+    (1, 0, 1, 1.3391, 1, 2, 64), (1, 1, 6, -0.1973, 3, 4, 57), (1, 2, 4, 0.3179, 5, 6, 7), (1, 3, -1, 0.0, -1, -1, 26), (1, 4, -1, 0.0, -1, -1, 31), (1, 5, -1, 0.0, -1, -1, 5), (1, 6, -1, 0.0, -1, -1, 2),
+    (2, 0, 3, 0.2719, 1, 2, 64), (2, 1, 2, 2.1337, 3, 4, 39), (2, 2, 5, 1.1713, 5, 6, 25), (2, 3, -1, 0.0, -1, -1, 38), (2, 4, -1, 0.0, -1, -1, 1), (2, 5, -1, 0.0, -1, -1, 22), (2, 6, -1, 0.0, -1, -1, 3),
+)
+_SAMPLE = 64
+
+
+def literal_detector(rows: DataFrame) -> Detector:
+    """A detector of the literal trees, with feature space, threshold and benign statistics from ``rows``."""
+    place = {i: fixed.FEATURES.index(c) for i, c in enumerate(_SEEN)}
+    moved = lambda nodes: tuple((n[0], n[1], place.get(n[2], -1), *n[3:]) for n in nodes)
+    spark = rows.sparkSession
+    space = features.FeatureSpace.fit(rows)
+    return Detector.around(rows, space, list(_KINDS), literal_nodes(spark, moved(_VOTERS), True), literal_nodes(spark, moved(_APART), False), _SAMPLE)
+
+
+_QUOTED = [f'"{c}"' for c in _SEEN]
+_SCALE_SQL = "scale as materialized (select " + ", ".join(f"avg({c}) as m{i}, case when stddev_pop({c}) < 1e-12 then 1.0 else stddev_pop({c}) end as d{i}" for i, c in enumerate(_QUOTED)) + " from hist)"
+_RAW_ROW = "[" + ", ".join(_QUOTED) + "]"
+_SCALED_ROW = "[" + ", ".join(f"({c} - m{i}) / d{i}" for i, c in enumerate(_QUOTED)) + "]"
+_JUDGED_SQL = f"""{_SCALE_SQL}, {_walk_sql(_VOTERS, "<=", _RAW_ROW, "hist", "_f")}, {_walk_sql(_APART, "<", _SCALED_ROW, "hist, scale", "_i")},
+    proba as materialized (select flow_id, avg(p0) as p0, avg(p1) as p1, avg(p2) as p2 from walk_f join nodes_f using (tree, node) where feature < 0 group by flow_id),
+    far as materialized (select *, round(exact, 11) as score from (select flow_id, pow(2.0::double, -avg(depth + {_USUAL.format(n="size::double")}) / {_USUAL.format(n="64.0::double")}) as exact
+      from walk_i join nodes_i using (tree, node) where feature < 0 group by flow_id)),
+    benign as materialized (select score, sum(count(*)) over (order by score) as upto, sum(count(*)) over () as many from far join hist using (flow_id) where category = 'normal' group by score),
+    line as materialized (select quantile_cont(score, 0.99) as threshold from far join hist using (flow_id) where category = 'normal'),
+    judged as materialized (select h.*, 1.0::double - p0 as attack_prob, round(1.0::double - p0, 9) >= 0.5 as supervised_alert, score, exact,
+        case when p0 >= p1 and p0 >= p2 then 'normal' when p1 >= p2 then 'dos' else 'probe' end as supervised_category, score >= round(threshold, 11) as anomaly_alert,
+        coalesce((select max(upto)::double / max(many) from benign b where b.score <= far.score), 0.0) as novelty
+      from hit h join proba using (flow_id) join far using (flow_id), line),
+    above as materialized (select *, {_ABOVE} as above from judged), {_fusion_sql("above", "verdict")}"""
+
+
+@query(f"""with recursive {_JUDGED_SQL} select flow_id, round(attack_prob, 9) as attack_prob, supervised_category, supervised_alert, round(exact, 9) as score, anomaly_alert, round(novelty, 9) as novelty,
+    rule_score, round(fused_score, 9) as fused_score, layer_list, severity, category_out from verdict""")
+def q_verdicts(spark, sf_dir):
+    """All three layers and their fusion for all connections, by a detector of literal trees: nothing in it is a stand-in."""
+    rows = table(hist(spark, sf_dir))
+    out = literal_detector(rows).predict(rows)
+    short = lambda c: F.round(c, 9).alias(c)
+    return out.select("flow_id", short("attack_prob"), "supervised_category", "supervised_alert", short("score"), "anomaly_alert", short("novelty"), "rule_score", short("fused_score"), F.concat_ws(", ", "layers").alias("layer_list"), "severity", "category_out")
+
+
+_NAMED = "case feature " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(_SEEN)) + " end"
+_STEPS = "walk{t} w join nodes{t} n on n.tree = w.tree and n.node = w.node join walk{t} u on u.flow_id = w.flow_id and u.tree = w.tree and u.depth = w.depth + 1 join nodes{t} c on c.tree = u.tree and c.node = u.node"
+
+
+@query(f"""with recursive {_JUDGED_SQL}, told as (select flow_id, supervised_category as k from verdict where n_layers >= 2),
+    s as (select w.flow_id, n.feature, sum(c.p0 - n.p0) / 3 as c0, sum(c.p1 - n.p1) / 3 as c1, sum(c.p2 - n.p2) / 3 as c2 from {_STEPS.format(t="_f")} group by all),
+    i as (select w.flow_id, n.feature, sum((1.0::double - c.size::double / n.size) / (w.depth + 1)) as part from {_STEPS.format(t="_i")} group by all),
+    stat as (select {", ".join(f"avg({c}) as b{i}, stddev_pop({c}) as e{i}" for i, c in enumerate(_QUOTED))} from hist where category = 'normal'),
+    told_all as (select 'supervised' as layer, flow_id, feature, round(case k when 'normal' then c0 when 'dos' then c1 else c2 end, 9) as amount from s join told using (flow_id)
+      union all select 'anomaly', flow_id, feature, round(part / sum(part) over (partition by flow_id), 9) from i join told using (flow_id)),
+    ranked as (select *, row_number() over (partition by flow_id, layer order by abs(amount) desc, feature) as place from told_all where amount <> 0)
+    select r.layer, flow_id, {_NAMED} as feature, amount, r.place, round(x.v[feature + 1], 6) as observed,
+      case when layer = 'anomaly' then round((x.v[feature + 1] - [{", ".join(f"b{i}" for i in range(len(_SEEN)))}][feature + 1]) / [{", ".join(f"e{i}" for i in range(len(_SEEN)))}][feature + 1], 6) end as z
+    from ranked r join x_f x using (flow_id), stat where r.place <= 3""")
+def q_top_features(spark, sf_dir):
+    """The three features that moved the forest most and the three that set the connection apart, for alerts of two layers or more."""
+    rows = table(hist(spark, sf_dir))
+    det = literal_detector(rows)
+    told = det.explain(det.predict(rows).filter("size(layers) >= 2"), top=3)
+    most = lambda layer, amount, z: told.select(F.lit(layer).alias("layer"), "flow_id", F.posexplode(f"{layer}.features").alias("i", "f")).select(
+        "layer", "flow_id", "f.feature", F.round(f"f.{amount}", 9).alias("amount"), (F.col("i") + 1).cast("long").alias("place"), F.round("f.observed", 6).alias("observed"), z.alias("z"))
+    return most("supervised", "contribution", F.lit(None).cast("double")).union(most("anomaly", "weight", F.round("f.z", 6))).filter("amount <> 0")
+
+
+@query(f"""with recursive {_walk_sql(_VOTERS, "<=", _RAW_ROW, "hist", "_f")},
+    k as (select flow_id, category as k from hist where category in ('normal', 'dos', 'probe')), c as (select tree, node, k, count(*)::double as n from walk_f join k using (flow_id) group by all),
+    g as (select tree, node, sum(n) - sum(n * n) / sum(n) as g from c group by all),
+    d as (select a.feature, greatest(g.g - coalesce(l.g, 0) - coalesce(r.g, 0), 0) as gain from nodes_f a join g on g.tree = a.tree and g.node = a.node
+      left join g l on l.tree = a.tree and l.node = a.lft left join g r on r.tree = a.tree and r.node = a.rgt where a.feature >= 0)
+    select {_NAMED} as feature, round(sum(gain) / (select sum(gain) from d), 9) as importance from d group by feature""")
+def q_importances_on(spark, sf_dir):
+    """How much each feature of a literal forest is worth on the connections of its classes, by the impurity its splits take away."""
+    rows = hist(spark, sf_dir)
+    vector = F.array(*(F.col(c).cast("double") for c in _SEEN))
+    label = F.array_position(F.lit(list(_KINDS)), F.col("category")) - 1
+    found = forests.importances_on(literal_nodes(spark, _VOTERS, True), rows, vector, label, len(_KINDS))
+    return found.select(F.get(F.lit(list(_SEEN)), F.col("feature")).alias("feature"), F.round("importance", 9).alias("importance"))
+
+
 # ---- the detector: no SQL, as its models are fitted ---------------------------------------------------------------
 
 

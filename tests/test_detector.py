@@ -103,3 +103,32 @@ def test_packets_of_a_capture(order):
         raw += struct.pack(order + "IIII", 100 + i, 500_000, len(f), len(f)) + f
     got = list(pcap.packets(raw + b"\1\2\3"))
     assert [(p[0], p[1], p[2], p[4], p[5], p[7]) for p in got] == [(100.5, "10.0.0.1", "10.0.0.2", 1000, 80, 2), (101.5, "10.0.0.2", "10.0.0.1", 80, 1000, 18)]
+
+
+def test_detector_of_existing_trees(fitted, traffic):
+    """Calibration on the rows of fit() gives the detector of fit()."""
+    det, _ = fitted
+    again = Detector.around(traffic.filter("flow_id % 4 <> 0"), det.space, det.classes, det.nodes, det.isolation, det.sample)
+    assert again.threshold == det.threshold and again.benign_std == pytest.approx(det.benign_std) and again.benign_scores.count() == det.benign_scores.count()
+    with pytest.raises(ValueError):
+        Detector.around(traffic.filter("category <> 'normal'"), det.space, det.classes, det.nodes, det.isolation, det.sample)
+
+
+def test_feature_columns_are_kept_by_what_a_frame_has(fitted, traffic):
+    space = fitted[0].space
+    some = traffic.limit(50).cache()
+    whole, fewer = space.transform(some), space.transform(some.drop("hot", "service"))
+    assert space.transform(some.withColumn("extra", F.lit(1))).columns == whole.columns
+    assert whole.agg(F.max("hot")).first()[0] > 0 and fewer.agg(F.max("hot"), F.max("service_freq")).first()[:] == (0.0, 0.0)
+
+
+def test_importances_on_other_rows(spark):
+    nodes = spark.createDataFrame(
+        [(0, 0, 0, 0.5, 1, 2, 4, [0.5, 0.5]), (0, 1, -1, 0.0, -1, -1, 2, [1.0, 0.0]), (0, 2, 1, 0.5, 3, 4, 2, [0.0, 1.0]), (0, 3, -1, 0.0, -1, -1, 1, [0.0, 1.0]), (0, 4, -1, 0.0, -1, -1, 1, [0.0, 1.0])],
+        forests.NODES + ", value array<double>",
+    )
+    rows = spark.createDataFrame([([0.0, 0.0], 0), ([0.0, 1.0], 0), ([1.0, 0.0], 1), ([1.0, 1.0], 0), ([1.0, 1.0], None), ([1.0, 1.0], 7)], "x array<double>, k int")
+    got = {r.feature: r.importance for r in forests.importances_on(nodes, rows, F.col("x"), F.col("k"), 2).collect()}
+    # root: 4 rows, 3 and 1, 1.5; left pure; right one and one, 1.0; its children pure
+    assert got == pytest.approx({0: 0.5 / 1.5, 1: 1.0 / 1.5})
+    assert all(r.importance == 0 for r in forests.importances_on(nodes, rows.filter("k > 5"), F.col("x"), F.col("k"), 2).collect())

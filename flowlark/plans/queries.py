@@ -316,6 +316,50 @@ def q_label_codes(spark, sf_dir):
     return df.select("flow_id", features.ordinal(F.col("category"), classes).alias("label_code"))
 
 
+#: raw features that the events give; the others are 0
+_CONN = "duration src_bytes dst_bytes land wrong_fragment hot num_failed_logins root_shell su_attempted num_root num_file_creations is_guest_login".split()
+
+
+def _matrix_sql() -> str:
+    """matrix: flow_id and the 55 features in their order."""
+    past = [c for c in fixed.NUMERIC if c in fixed.COLUMNS[fixed.COLUMNS.index("count") : fixed.COLUMNS.index("label")]]
+    raw = [f'"{c}"::double as "{c}"' if c in (*_CONN, *past) else f'0.0::double as "{c}"' for c in fixed.NUMERIC]
+    made = """ln(1 + src_bytes) as log_src_bytes, ln(1 + dst_bytes) as log_dst_bytes, src_bytes / (src_bytes + dst_bytes + 1.0) as byte_ratio, (src_bytes + dst_bytes) / (duration + 1.0) as bytes_per_second,
+      "count" / (duration + 1.0) as conn_per_second, greatest(serror_rate, srv_serror_rate) + greatest(rerror_rate, srv_rerror_rate) as error_pressure, diff_srv_rate * dst_host_diff_srv_rate as service_entropy_proxy,
+      num_failed_logins + 2.0 * root_shell + 2.0 * su_attempted + hot / 5.0 + is_guest_login as auth_pressure, s.share as service_freq, (flag in ('s0','s1','s2','s3'))::int::double as flag_serror,
+      (flag in ('rej','rsto','rstr','rstos0','oth'))::int::double as flag_rerror, (protocol_type = 'tcp')::int::double as proto_tcp, (protocol_type = 'udp')::int::double as proto_udp, (protocol_type = 'icmp')::int::double as proto_icmp,
+      p.code::double as protocol_type_code, s.code::double as service_code, f.code::double as flag_code"""
+    codes = lambda c: f"(select lower({c}) as w, row_number() over (order by lower({c})) - 1 as code, sum(count(*)) over (partition by lower({c}))::double / (select count(*) from hist) as share from hist group by lower({c}))"
+    joins = f"join {codes('protocol_type')} p on p.w = protocol_type join {codes('service')} s on s.w = service join {codes('flag')} f on f.w = flag"
+    return f"matrix as materialized (select flow_id, {', '.join(raw)}, {made} from hist {joins})"
+
+
+def _matrix(spark, sf_dir) -> DataFrame:
+    rows = table(hist(spark, sf_dir))
+    return features.FeatureSpace.fit(rows).transform(rows, "flow_id")
+
+
+@query(f"with {_matrix_sql()} select flow_id, {', '.join(f'round({c}, 6) as {c}' if c.startswith('log_') else f'"{c}"' for c in fixed.FEATURES)} from matrix, (select 1 from hist limit 1)")
+def q_matrix(spark, sf_dir):
+    """The 55 features of every connection, in their order, as the models see them."""
+    return _matrix(spark, sf_dir).select("flow_id", *(F.round(c, 6).alias(c) if c.startswith("log_") else c for c in fixed.FEATURES))
+
+
+# groups by feature in the SQL, to be compared with the lookup's rule
+_GROUPS_SQL = "groups(g, members) as (values " + ", ".join(f"('{g}', {m})" for g, m in fixed.FEATURE_GROUPS.items()) + ")"
+
+
+@query(f"""with {_matrix_sql()}, {_GROUPS_SQL}, long as (unpivot (select columns(* exclude flow_id) from matrix) on columns(*) into name feature value v),
+    per as (select feature, count(*) filter (v <> 0) as n_present, round(avg(v), 6) as mean, round(max(v), 6) as largest from long group by feature)
+    select feature, coalesce((select g from groups where list_contains(members, per.feature)), (select g from groups where list_contains(members, regexp_replace(per.feature, '_code$', ''))),
+      case when list_contains({fixed.DERIVED}, feature) then 'derived' else 'other' end) as feature_group, n_present, mean, largest from per, (select 1 from hist limit 1)""")
+def q_feature_groups(spark, sf_dir):
+    """Group of each of the 55 features, in how many connections it is other than 0, its mean and its largest value, in one aggregation."""
+    rows = _matrix(spark, sf_dir)
+    sums = lambda c: F.struct(F.lit(c).alias("feature"), F.lit(fixed.group_of(c)).alias("feature_group"), F.count_if(F.col(c) != 0).alias("n_present"), F.round(F.avg(c), 6).alias("mean"), F.round(F.max(c), 6).alias("largest"))
+    return rows.agg(F.array(*map(sums, fixed.FEATURES)).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+
+
 # ---- windows -----------------------------------------------------------------------------------------------------
 
 

@@ -134,6 +134,14 @@ def test_quantiles(spark, kind):
     assert quantiles(df.limit(0), [F.col("a")], at) == [[]]
 
 
+def test_quantile_between_equal_values(spark):
+    """It is that value to the bit, so that >= finds the rows that have it."""
+    values = [0.1 + 0.2, 0.7, 1.1, 2.0 / 3.0]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(113)], "a double")
+    for v in values:
+        assert set(quantiles(df.filter(F.col("a") == v), [F.col("a")], [i / 64 for i in range(65)])[0]) == {v}
+
+
 def test_samples_are_exact_for_every_tree(spark):
     """Each tree has the rows with its smallest draws, no fewer and no more, also where the first limit is too low."""
     rng = np.random.default_rng(3)

@@ -53,3 +53,19 @@ def _small(df, window, last, chunk, plain_edges):
     least = np.iinfo(np.int64).min
     each = [min((t for s, t in rows if s // size == c and t is not None), default=least) for c in range(rows[-1][0] // size + 1)]
     return size, np.maximum.accumulate(np.array(each))
+
+
+def test_parts_do_not_grow_with_windows():
+    """However many rows a window holds, a task gets the rows of two chunks and the last ones before; each row is in one part."""
+    import numpy as np
+
+    size, last, n = 50, 20, 5000
+    seq, start = np.arange(n), np.concatenate([np.full(70, history._LEAST), np.sort(np.random.default_rng(5).integers(0, 900, n - 70))])
+    firsts = np.array([start[i] for i in range(0, n, size)])
+    for window in (0, 10, 300, 2000):
+        parts = history._Parts(size, firsts, int(start[-1]), window)
+        row, part = parts.shown(seq, start, last)
+        assert np.bincount(part).max() <= 2 * size + last and len(row) <= 6 * n
+        assert len(set(zip(row.tolist(), part.tolist()))) == len(row)
+        own, begin = parts.of(seq, start)
+        assert set(zip(seq.tolist(), (parts.first[own] + begin - parts.low[own]).tolist())) <= set(zip(row.tolist(), part.tolist()))

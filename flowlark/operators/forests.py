@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,27 +133,32 @@ class Forest:
     def of(cls, nodes: DataFrame) -> Forest:
         if (n := nodes.count()) > MOST_NODES:
             raise ValueError(f"{n} nodes are too many for every task to hold; fit fewer or shallower trees")
-        pdf = nodes.toPandas().sort_values(["tree", "node"], kind="stable")
-        tree = pdf["tree"].to_numpy(np.int64)
-        key = tree << 32 | pdf["node"].to_numpy(np.int64)
-        feature = pdf["feature"].to_numpy(np.int64)
+        # columns as they are: a Python object for each node's distribution would be most of the driver's memory
+        t = nodes.select("tree", "node", "feature", "threshold", "left", "right", "size", *(["value"] if "value" in nodes.columns else [])).toArrow()
+        at = np.lexsort([t.column(c).to_numpy() for c in ("node", "tree")])
+        col = lambda c, kind: t.column(c).to_numpy().astype(kind)[at]
+        tree = col("tree", np.int64)
+        key = tree << 32 | col("node", np.int64)
+        feature, children = col("feature", np.int64), [col(c, np.int64) for c in ("left", "right")]
+        threshold, size = col("threshold", float), col("size", np.int64)
+        value = pc.list_flatten(t.column("value")).to_numpy().reshape(n, -1)[at] if "value" in t.column_names else None
+        del t
         roots = np.flatnonzero(np.diff(tree, prepend=-1))
         order, depth, cur = [], [], roots
         while len(cur):
             order.append(cur)
             depth.append(np.full(len(cur), len(depth)))
             inner = cur[feature[cur] >= 0]
-            cur = np.stack([np.searchsorted(key, tree[inner] << 32 | pdf[c].to_numpy(np.int64)[inner]) for c in ("left", "right")], axis=1).ravel()
+            cur = np.stack([np.searchsorted(key, tree[inner] << 32 | c[inner]) for c in children], axis=1).ravel()
         order, depth = np.concatenate(order), np.concatenate(depth)
         at = np.lexsort((np.arange(len(order)), tree[order]))  # one tree after the other
         order, depth = order[at], depth[at]
-        place = np.empty(len(pdf), np.int64)
+        place = np.empty(n, np.int64)
         place[order] = np.arange(len(order))
         feature, inner = feature[order], feature[order] >= 0
         left = np.arange(len(order))
-        left[inner] = place[np.searchsorted(key, tree[order][inner] << 32 | pdf["left"].to_numpy(np.int64)[order][inner])]
-        value = np.stack(pdf["value"].to_numpy())[order] if "value" in pdf else None
-        return cls(feature, pdf["threshold"].to_numpy(float)[order], left, pdf["size"].to_numpy(np.int64)[order], depth, place[roots], tree[roots].tolist(), value)
+        left[inner] = place[np.searchsorted(key, tree[order][inner] << 32 | children[0][order][inner])]
+        return cls(feature, threshold[order], left, size[order], depth, place[roots], tree[roots].tolist(), value if value is None else value[order])
 
     def walk(self, x: np.ndarray, inclusive: bool):
         """Yields (place, feature, next place) for each step of all rows (first axis) in all trees (second axis); steps

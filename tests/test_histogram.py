@@ -179,3 +179,21 @@ def test_novelty_with_ties_nulls_and_nan(spark):
             assert found[i].novelty == pytest.approx((real <= v).mean())
     with pytest.raises(ValueError):
         novelty(got.drop("novelty"), got.select("score").limit(0))
+
+
+def test_forest_is_made_without_an_object_for_each_node(spark):
+    """The driver holds columns of numbers; before, each node's distribution was a Python object of its own."""
+    import tracemalloc
+
+    # a hundred trees: a chain of 200 inner nodes, each with a leaf on its left
+    nodes = spark.range(100).withColumnRenamed("id", "t").crossJoin(spark.range(401)).select(
+        F.col("t").cast("int").alias("tree"), F.col("id").cast("int").alias("node"), F.expr("if(id % 2 = 0 and id < 400, 1, -1)").alias("feature"), F.lit(0.5).alias("threshold"),
+        (F.col("id") + 1).cast("int").alias("left"), (F.col("id") + 2).cast("int").alias("right"), F.lit(3).cast("long").alias("size"), F.array(F.col("id") / 401, 1 - F.col("id") / 401).alias("value"),
+    )
+    forests.Forest.of(nodes.filter("tree = 0"))  # imports
+    tracemalloc.start()
+    f = forests.Forest.of(nodes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(f.roots) == 100 and len(f.feature) == nodes.count() == 40_100 and f.depth.max() == 200
+    assert peak < 400 * len(f.feature)

@@ -7,6 +7,7 @@ random forest, the class distribution. Its size depends on the model's parameter
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -228,23 +229,51 @@ def isolation_score(nodes: DataFrame, sample: int):
     return score
 
 
+#: Places of features and what each amounts to, largest first.
+TOP = "places array<int>, amounts array<double>"
+
+
+def largest(amounts: np.ndarray, top: int) -> tuple[list, list]:
+    """Of each row the places of the ``top`` amounts that are largest without their sign, of equal ones the first, and these amounts."""
+    places = np.argsort(-np.abs(amounts), axis=1, kind="stable")[:, :top]
+    return list(places.astype(np.int32)), list(np.take_along_axis(amounts, places, axis=1))
+
+
+def _weights(f: Forest, x: pd.Series) -> Iterator[np.ndarray]:
+    for i in range(0, len(x), 512):
+        rows = np.stack(x.iloc[i : i + 512].to_numpy())
+        total, depth = np.zeros(rows.shape), 0
+        for at, feature, to in f.walk(rows, inclusive=False):
+            shrink = np.where(feature >= 0, 1.0 - f.size[to] / np.maximum(f.size[at], 1), 0.0) / (depth + 1.0)
+            np.add.at(total, (np.repeat(np.arange(len(rows)), feature.shape[1]), np.maximum(feature, 0).ravel()), shrink.ravel())
+            depth += 1
+        sums = total.sum(axis=1, keepdims=True)
+        yield total / np.where(sums > 0, sums, 1.0)
+
+
 def isolation_weights(nodes: DataFrame):
     """A function of the feature array: how much each feature isolated the row, as shares. For explained rows only."""
     forest = shared(nodes)
 
     @F.pandas_udf("array<double>")
     def weights(x: pd.Series) -> pd.Series:
-        f, out = forest.value, []
-        for i in range(0, len(x), 512):
-            rows = np.stack(x.iloc[i : i + 512].to_numpy())
-            total, depth = np.zeros(rows.shape), 0
-            for at, feature, to in f.walk(rows, inclusive=False):
-                shrink = np.where(feature >= 0, 1.0 - f.size[to] / np.maximum(f.size[at], 1), 0.0) / (depth + 1.0)
-                np.add.at(total, (np.repeat(np.arange(len(rows)), feature.shape[1]), np.maximum(feature, 0).ravel()), shrink.ravel())
-                depth += 1
-            sums = total.sum(axis=1, keepdims=True)
-            out += list(total / np.where(sums > 0, sums, 1.0))
-        return pd.Series(out)
+        return pd.Series([w for part in _weights(forest.value, x) for w in part])
+
+    return weights
+
+
+def top_weights(nodes: DataFrame, top: int):
+    """A function of the feature array: the ``top`` features of isolation_weights(), as TOP."""
+    forest = shared(nodes)
+
+    @F.pandas_udf(TOP)
+    def weights(x: pd.Series) -> pd.DataFrame:
+        places, amounts = [], []
+        for part in _weights(forest.value, x):
+            p, a = largest(part, top)
+            places += p
+            amounts += a
+        return pd.DataFrame({"places": places, "amounts": amounts})
 
     return weights
 
@@ -256,6 +285,21 @@ def class_weights(df: DataFrame, target: str) -> dict[str, float]:
     return {r[target]: n / (len(rows) * r["count"]) for r in rows}
 
 
+def _contributions(f: Forest, x: pd.Series, classes: int) -> Iterator[np.ndarray]:
+    """Contributions of up to 512 rows by (row, feature, class)."""
+    for i in range(0, len(x), 512):
+        rows = np.stack(x.iloc[i : i + 512].to_numpy())
+        n, width = rows.shape
+        total = np.zeros((n * width, classes))
+        for at, feature, to in f.walk(rows, inclusive=True):
+            row, tree = np.nonzero(feature >= 0)
+            cell = row * width + feature[row, tree]
+            step = f.value[to[row, tree]] - f.value[at[row, tree]]
+            for k in range(classes):
+                total[:, k] += np.bincount(cell, weights=step[:, k], minlength=n * width)
+        yield total.reshape(n, width, classes) / len(f.roots)
+
+
 def contributions(nodes: DataFrame, classes: int):
     """A function of the feature array: features * classes contributions, row by row, and after them the bias of each
     class. Added up over features and bias they are the probabilities. For explained rows only."""
@@ -264,24 +308,31 @@ def contributions(nodes: DataFrame, classes: int):
     @F.pandas_udf("array<double>")
     def share(x: pd.Series) -> pd.Series:
         f, out = forest.value, []
-        trees, bias = len(f.roots), f.value[f.roots].mean(axis=0)
-        for i in range(0, len(x), 512):
-            rows = np.stack(x.iloc[i : i + 512].to_numpy())
-            n, width = rows.shape
-            total = np.zeros((n * width, classes))
-            for at, feature, to in f.walk(rows, inclusive=True):
-                row, tree = np.nonzero(feature >= 0)
-                cell = row * width + feature[row, tree]
-                step = f.value[to[row, tree]] - f.value[at[row, tree]]
-                for k in range(classes):
-                    total[:, k] += np.bincount(cell, weights=step[:, k], minlength=n * width)
-            total = total.reshape(n, width * classes) / trees
-            out += list(np.concatenate([total, np.broadcast_to(bias, (n, classes))], axis=1))
+        bias = f.value[f.roots].mean(axis=0)
+        for part in _contributions(f, x, classes):
+            out += list(np.concatenate([part.reshape(len(part), -1), np.broadcast_to(bias, (len(part), classes))], axis=1))
         return pd.Series(out)
 
     return share
 
 
+def top_contributions(nodes: DataFrame, classes: int, top: int):
+    """A function of the feature array and a class number: the ``top`` features of contributions() to that class, as TOP."""
+    forest = shared(nodes)
+
+    @F.pandas_udf(TOP)
+    def share(x: pd.Series, k: pd.Series) -> pd.DataFrame:
+        of, places, amounts = k.to_numpy(np.int64), [], []
+        for part in _contributions(forest.value, x, classes):
+            here = of[len(places) : len(places) + len(part)]
+            p, a = largest(part[np.arange(len(part)), :, here], top)
+            places += p
+            amounts += a
+        return pd.DataFrame({"places": places, "amounts": amounts})
+
+    return share
+
+
 def node_probabilities(nodes: DataFrame):
     """A function of the feature array: the mean of the leaves' class distributions, from a node table with value."""
     forest = shared(nodes)

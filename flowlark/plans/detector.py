@@ -95,33 +95,23 @@ class Detector:
 
     def explain(self, alerts: DataFrame, top: int = 5) -> DataFrame:
         """The explained record of each row of ``alerts`` (rows of predict(), filtered and limited before)."""
-        f, k = len(fixed.FEATURES), len(self.classes)
         x, xs = self.space.vector(alerts), self.space.vector(alerts, scaled=True)
-        rows = alerts.withColumns({"_x": x, "_c": forests.contributions(self.nodes, k)(x), "_w": forests.isolation_weights(self.isolation)(xs)})
+        klass = F.array_position(F.lit(self.classes), F.col("supervised_category")).cast("int") - 1
+        rows = alerts.withColumns({"_x": x, "_k": klass, "_c": forests.top_contributions(self.nodes, len(self.classes), top)(x, klass), "_w": forests.top_weights(self.isolation, top)(xs)})
         names, groups, meanings = (F.array(*map(F.lit, v)) for v in (fixed.FEATURES, [*map(fixed.group_of, fixed.FEATURES)], [*map(fixed.meaning_of, fixed.FEATURES)]))
         mean, std = (F.array(*map(F.lit, v)) for v in (self.benign_mean, self.benign_std))
-        places = F.sequence(F.lit(0), F.lit(f - 1))
-        klass = F.array_position(F.lit(self.classes), F.col("supervised_category")).cast("int") - 1
-        rows = rows.withColumn("_k", klass)
-
-        def largest(weight) -> Column:
-            pairs = F.transform(places, lambda i: F.struct((-F.abs(weight(i))).alias("by"), i.alias("i")))
-            return F.slice(F.transform(F.array_sort(pairs), lambda p: p["i"]), 1, top)
-
-        share = lambda i: F.get("_c", (i * k + F.col("_k")).cast("int"))
-        weight = lambda i: F.get("_w", i)
         at = lambda a, i: F.get(a, i)
         supervised = F.struct(
             F.col("supervised_category").alias("predicted"), F.get("proba", F.col("_k")).alias("probability"), F.col("attack_prob").alias("attack_probability"),
             F.map_from_arrays(F.lit(self.classes), F.col("proba")).alias("class_probabilities"),
-            F.transform(largest(share), lambda i: F.struct(
-                at(names, i).alias("feature"), at(groups, i).alias("group"), share(i).alias("contribution"), F.get("_x", i).alias("observed"),
-                F.when(share(i) > 0, "raises").otherwise("lowers").alias("direction"), at(meanings, i).alias("meaning"))).alias("features"),
+            F.zip_with("_c.places", "_c.amounts", lambda i, share: F.struct(
+                at(names, i).alias("feature"), at(groups, i).alias("group"), share.alias("contribution"), F.get("_x", i).alias("observed"),
+                F.when(share > 0, "raises").otherwise("lowers").alias("direction"), at(meanings, i).alias("meaning"))).alias("features"),
         )
         anomaly = F.struct(
             "score", F.lit(self.threshold).alias("threshold"), F.col("novelty").alias("more_unusual_than"), F.col("anomaly_alert").alias("alerted"),
-            F.transform(largest(weight), lambda i: F.struct(
-                at(names, i).alias("feature"), at(groups, i).alias("group"), weight(i).alias("weight"), F.get("_x", i).alias("observed"), at(mean, i).alias("benign_mean"),
+            F.zip_with("_w.places", "_w.amounts", lambda i, weight: F.struct(
+                at(names, i).alias("feature"), at(groups, i).alias("group"), weight.alias("weight"), F.get("_x", i).alias("observed"), at(mean, i).alias("benign_mean"),
                 at(std, i).alias("benign_sd"), ((F.get("_x", i) - at(mean, i)) / at(std, i)).alias("z"), at(meanings, i).alias("meaning"))).alias("features"),
         )
         identity = F.struct(*(c for c in IDENTITY if c in alerts.columns))

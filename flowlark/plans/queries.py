@@ -1060,10 +1060,12 @@ def q_top_features(spark, sf_dir):
     """The three features that moved the forest most and the three that set the connection apart, for alerts of two layers or more."""
     rows = table(hist(spark, sf_dir))
     det = literal_detector(rows)
-    told = det.explain(det.predict(rows).filter("size(layers) >= 2"), top=3)
-    most = lambda layer, amount, z: told.select(F.lit(layer).alias("layer"), "flow_id", F.posexplode(f"{layer}.features").alias("i", "f")).select(
-        "layer", "flow_id", "f.feature", F.round(f"f.{amount}", 9).alias("amount"), (F.col("i") + 1).cast("long").alias("place"), F.round("f.observed", 6).alias("observed"), z.alias("z"))
-    return most("supervised", "contribution", F.lit(None).cast("double")).union(most("anomaly", "weight", F.round("f.z", 6))).filter("amount <> 0")
+    # dealt anew, as verdicts come in the order of their scores; and explained once for both layers
+    told = det.explain(det.predict(rows).filter("size(layers) >= 2").repartition("flow_id"), top=3)
+    most = lambda layer, amount, z: F.transform(f"{layer}.features", lambda f, i: F.struct(
+        F.lit(layer).alias("layer"), f["feature"].alias("feature"), F.round(f[amount], 9).alias("amount"), (i + 1).cast("long").alias("place"), F.round(f["observed"], 6).alias("observed"), z(f).alias("z")))
+    both = F.concat(most("supervised", "contribution", lambda f: F.lit(None).cast("double")), most("anomaly", "weight", lambda f: F.round(f["z"], 6)))
+    return told.select("flow_id", F.explode(both).alias("r")).select("r.layer", "flow_id", "r.feature", "r.amount", "r.place", "r.observed", "r.z").filter("amount <> 0")
 
 
 @query(f"""with recursive {_walk_sql(_VOTERS, "<=", _RAW_ROW, "hist", "_f")},

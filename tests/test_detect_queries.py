@@ -53,3 +53,15 @@ def test_detector_over_all_connections(spark, sf_dir):
 
 def test_detector_queries_are_registered():
     assert {"q_detect", "q_detect_explained"} <= set(QUERIES)
+
+
+def test_connections_are_explained_once(spark, sf_dir):
+    """Both layers' features come from one pass of the trees; they are those that a plain sort of all amounts finds."""
+    from flowlark.operators import forests
+
+    plan = QUERIES["q_top_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    amounts = np.random.default_rng(3).integers(-3, 4, (200, 9)).astype(float)
+    places, found = forests.largest(amounts, 4)
+    for row, p, a in zip(amounts, places, found, strict=True):
+        assert p.tolist() == sorted(range(9), key=lambda i: (-abs(row[i]), i))[:4] and a.tolist() == row[p].tolist()

@@ -34,8 +34,9 @@ def rate(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 
 
-#: Rows of a chunk at most; a task holds two chunks' rows in seven narrow columns.
-CHUNK = 1 << 17
+#: Rows of a chunk at most; a task holds two chunks' rows in seven narrow columns. Small enough that they are little beside
+#: the libraries that a worker loads, so its memory is the same for any table that has more rows than a few chunks.
+CHUNK = 1 << 14
 _LEAST = np.iinfo(np.int64).min
 
 

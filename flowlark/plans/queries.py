@@ -292,7 +292,7 @@ def q_value_fractions(spark, sf_dir):
 def q_derived_all(spark, sf_dir):
     """All fourteen derived features of connections with history."""
     df = hist(spark, sf_dir)
-    shares = {r["service"]: r["share"] for r in features.service_shares(df).limit(features.MOST_VALUES).collect()}
+    shares = {r["service"]: r["share"] for r in features.service_shares(conn(spark, sf_dir)).limit(features.MOST_VALUES).collect()}  # without history
     d = C.derived(df, F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("service")))
     return df.select("flow_id", *((F.round(c, 6) if k.startswith("log_") else c).alias(k) for k, c in d.items()))
 

@@ -69,3 +69,9 @@ def test_parts_do_not_grow_with_windows():
         assert len(set(zip(row.tolist(), part.tolist()))) == len(row)
         own, begin = parts.of(seq, start)
         assert set(zip(seq.tolist(), (parts.first[own] + begin - parts.low[own]).tolist())) <= set(zip(row.tolist(), part.tolist()))
+
+
+def test_chunks_do_not_grow_with_the_table(spark):
+    """A task's rows are the same few over four times as many connections."""
+    sizes = [history._edges(spark.range(n).selectExpr("id as seq", "id as start_us"), 1000, 100)[0] for n in (1_000_000, 4_000_000)]
+    assert sizes[0] == sizes[1] <= 20_000

@@ -26,7 +26,7 @@ from flowlark.session import table
 LOCAL = 50_000
 #: Rows of a node below which it is not split.
 LEAST_ROWS = 4
-#: Cells of a task's dense counts; beyond that a batch's cells are counted by sorting.
+#: Cells that a task counts at once; open nodes with more are counted in several passes, each over the trees that it counts.
 _DENSE = 4_000_000
 
 _SPLIT = "tree int, node long, feature int, bin int, left array<long>, right array<long>"
@@ -38,15 +38,14 @@ _GROWN = "tree int, node long, feature int, bin int, counts array<long>"
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """32 bits stirred; the finaliser of the public MurmurHash3."""
-    h = h.astype(np.uint64)
-    low = np.uint64(0xFFFFFFFF)
+    h = h.astype(np.uint32)
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor) & low
-    return h ^ (h >> np.uint64(16))
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)  # modulo 2 ** 32
+    return h ^ (h >> np.uint32(16))
 
 
 def tree_key(tree: int, seed: int) -> int:
-    return int(mixed(mixed(np.array([seed & 0xFFFFFFFF], np.uint64)) ^ np.uint64(tree + 1))[0])
+    return int(mixed(mixed(np.array([seed & 0xFFFFFFFF])) ^ np.uint32(tree + 1))[0])
 
 
 #: A draw of 32 bits that reaches so many of these is the weight: the Poisson distribution of mean 1.
@@ -56,8 +55,8 @@ POISSON = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in
 def bag_weights(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row (64-bit ids) is in the tree's bag."""
     r = rows.astype(np.int64).view(np.uint64)
-    h = mixed(mixed(r & np.uint64(0xFFFFFFFF) ^ np.uint64(tree_key(tree, seed))) ^ (r >> np.uint64(32)))
-    return np.searchsorted(np.array(POISSON, np.uint64), h, side="right")
+    h = mixed(mixed(r.astype(np.uint32) ^ np.uint32(tree_key(tree, seed))) ^ (r >> np.uint64(32)).astype(np.uint32))
+    return np.searchsorted(np.array(POISSON, np.uint32), h, side="right")
 
 
 # ---- one node ----------------------------------------------------------------------------------------------------
@@ -126,7 +125,7 @@ class _Trees:
     def __init__(self, trees: int) -> None:
         self.tree, self.node = list(range(trees)), [1] * trees
         self.feature, self.bin, self.left = [-1] * trees, [-1] * trees, [-1] * trees
-        self.state = [0] * trees  # number among the open nodes plus 1, or -1 for a node that a task is to finish
+        self.state = [0] * trees  # -1 for a node that a task is to finish
 
     def split(self, place: int, feature: int, bin_: int) -> int:
         """Place of the left child; the right one follows."""
@@ -145,16 +144,19 @@ class _Trees:
         return {c: np.array(getattr(self, c), np.int64) for c in ("tree", "node", "feature", "bin", "left", "state")}
 
 
-def _places(a: dict[str, np.ndarray], tree: int, codes: np.ndarray) -> np.ndarray:
-    at = np.full(len(codes), tree, np.int64)
-    rows = np.arange(len(codes))
+def _places(a: dict[str, np.ndarray], tree: int, codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Place in the tree of each of the ``rows`` of ``codes``."""
+    out, flat = np.empty(len(rows), np.int64), codes.ravel()
+    at, base, live = np.full(len(rows), tree, np.int64), rows * codes.shape[1], np.arange(len(rows))
     while True:
-        f = a["feature"][at[rows]]
-        rows = rows[f >= 0]
-        if not len(rows):
-            return at
-        here = at[rows]
-        at[rows] = a["left"][here] + (codes[rows, a["feature"][here]] > a["bin"][here])
+        feature = a["feature"].take(at)
+        going = feature >= 0
+        if not going.all():
+            out[live[~going]] = at[~going]
+            feature, at, base, live = feature[going], at[going], base[going], live[going]
+        if not len(live):
+            return out
+        at = a["left"].take(at) + (flat.take(base + feature) > a["bin"].take(at))
 
 
 def coded(df: DataFrame, row_id: str, vector: Column, label: Column, edges: list[np.ndarray]) -> DataFrame:
@@ -218,18 +220,19 @@ def grown(rows: DataFrame, features: int, weights: list[float], trees: int, dept
                 state.state[place] = -1
             else:
                 open_.append(place)
-                state.state[place] = len(open_)
         if not open_:
             break
         if len(state.tree) > MOST_NODES:
             raise ValueError("the forest has too many nodes for every task to hold; fit fewer or shallower trees")
         counts_of = dict(fresh)
         fresh = []
-        found = {(r["tree"], r["node"]): r for r in _splits(rows, state.arrays(), open_, features, p).collect()}  # one row an open node
+        open_.sort(key=lambda place: state.tree[place])
+        arrays, most = state.arrays(), max(1, _DENSE // (tried * bins * k))
+        passes = (open_[i : i + most] for i in range(0, len(open_), most))
+        found = {(r["tree"], r["node"]): r for part in passes for r in _splits(rows, arrays, part, features, p).collect()}  # one row an open node
         for place in open_:
             key = (state.tree[place], state.node[place])
             if (r := found.get(key)) is None:
-                state.state[place] = 0
                 done.append((*key, -1, -1, counts_of[place].tolist()))
                 continue
             done.append((*key, r["feature"], r["bin"], counts_of[place].tolist()))
@@ -242,43 +245,38 @@ def grown(rows: DataFrame, features: int, weights: list[float], trees: int, dept
 
 
 def _splits(rows: DataFrame, arrays: dict[str, np.ndarray], open_: list[int], features: int, p: dict) -> DataFrame:
-    """The best split of each open node that has one."""
+    """The best split of each open node (in order of trees) that has one."""
     k, bins, tried = len(p["weights"]), p["bins"], p["tried"]
     of = np.stack([features_of(int(arrays["tree"][i]), int(arrays["node"][i]), features, tried, p["seed"]) for i in open_])
-    mine = sorted({int(arrays["tree"][i]) for i in open_})
-    shared = rows.sparkSession.sparkContext.broadcast((arrays, of, np.array(open_)))  # bounded by MOST_NODES
+    number = np.full(len(arrays["tree"]), -1)
+    number[open_] = np.arange(len(open_))
+    mine, first = np.unique(arrays["tree"][open_], return_index=True)
+    ranges = [(int(t), int(low), int(high)) for t, low, high in zip(mine, first, [*first[1:], len(open_)], strict=True)]
+    shared = rows.sparkSession.sparkContext.broadcast(({**arrays, "number": number}, of, np.array(open_)))  # bounded by MOST_NODES
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         a, of, places = shared.value
-        cells = len(of) * tried * bins * k
-        dense = np.zeros(cells, np.int64) if cells <= _DENSE else None
-
-        def batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            rest, label = np.divmod(keys, k)
-            rest, bin_ = np.divmod(rest, bins)
-            place, slot = np.divmod(rest, tried)
-            tree, node = a["tree"][places[place]], a["node"][places[place]]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            return pa.record_batch([pa.array(v, kind) for v, kind in zip((tree, node, slot, bin_, label, n), kinds, strict=True)], ["tree", "node", "slot", "bin", "label", "n"])
-
+        cells = tried * bins * k
+        dense = np.zeros(len(of) * cells, np.int64)
         for b in batches:
             ids, y, codes = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b, features)
-            for t in mine:
-                state = a["state"][_places(a, t, codes)]
+            for t, low, high in ranges:  # a tree's open nodes are next to each other, and so are their cells
                 w = bag_weights(ids, t, p["seed"])
-                at = np.flatnonzero((state > 0) & (w > 0))
+                at = np.flatnonzero(w > 0)  # the others need not walk the tree
+                number = a["number"].take(_places(a, t, codes, at))
+                at, number = at[number >= 0], number[number >= 0]
                 if not len(at):
                     continue
-                number = state[at] - 1
-                codes_of = codes[at[:, None], of[number]]
-                keys = (((number[:, None] * tried + np.arange(tried)) * bins + codes_of) * k + y[at, None]).ravel()
-                if dense is not None:
-                    dense += np.bincount(keys, weights=np.repeat(w[at], tried), minlength=cells).astype(np.int64)
-                else:
-                    held, where = np.unique(keys, return_inverse=True)
-                    yield batch(held, np.bincount(where, weights=np.repeat(w[at], tried)).astype(np.int64))
-        if dense is not None and (held := np.flatnonzero(dense)).size:
-            yield batch(held, dense[held])
+                codes_of = codes.ravel().take(at[:, None] * features + of.take(number, axis=0))
+                keys = ((((number[:, None] - low) * tried + np.arange(tried)) * bins + codes_of) * k + y[at, None]).ravel()
+                dense[low * cells : high * cells] += np.bincount(keys, weights=np.repeat(w[at], tried), minlength=(high - low) * cells).astype(np.int64)
+        held = np.flatnonzero(dense)
+        rest, label = np.divmod(held, k)
+        rest, bin_ = np.divmod(rest, bins)
+        place, slot = np.divmod(rest, tried)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        columns = (a["tree"][places[place]], a["node"][places[place]], slot, bin_, label, dense[held])
+        yield pa.record_batch([pa.array(v, kind) for v, kind in zip(columns, kinds, strict=True)], ["tree", "node", "slot", "bin", "label", "n"])
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
@@ -307,13 +305,15 @@ def _finished(rows: DataFrame, arrays: dict[str, np.ndarray], features: int, p:
         for b in batches:
             ids, codes = b.column(0).to_numpy(), _matrix(b, features)
             for t in trees:
-                place = _places(a, t, codes)
                 w = bag_weights(ids, t, p["seed"])
-                at = np.flatnonzero((a["state"][place] < 0) & (w > 0))
+                at = np.flatnonzero(w > 0)
+                place = _places(a, t, codes, at)
+                unfinished = a["state"][place] < 0
+                at, place = at[unfinished], place[unfinished]
                 if len(at):
                     some = pa.array(at)
                     yield pa.record_batch(
-                        [pa.array(np.full(len(at), t), pa.int32()), pa.array(a["node"][place[at]], pa.int64()), b.column(1).take(some), pa.array(w[at], pa.int32()), b.column(2).take(some)],
+                        [pa.array(np.full(len(at), t), pa.int32()), pa.array(a["node"][place], pa.int64()), b.column(1).take(some), pa.array(w[at], pa.int32()), b.column(2).take(some)],
                         ["tree", "node", "label", "times", "codes"],
                     )
 

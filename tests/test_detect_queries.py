@@ -65,3 +65,20 @@ def test_connections_are_explained_once(spark, sf_dir):
     places, found = forests.largest(amounts, 4)
     for row, p, a in zip(amounts, places, found, strict=True):
         assert p.tolist() == sorted(range(9), key=lambda i: (-abs(row[i]), i))[:4] and a.tolist() == row[p].tolist()
+
+
+def test_evaluated_computes_history_once(spark, sf_dir, monkeypatch):
+    """Both parts are read from a table; neither plan counts history again."""
+    from flowlark.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def fit(train):
+        raise Seen(train)
+
+    monkeypatch.setattr(queries.Detector, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        QUERIES["q_evaluated"](spark, sf_dir)
+    plan = seen.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Window" not in plan

@@ -197,3 +197,14 @@ def test_forest_is_made_without_an_object_for_each_node(spark):
     tracemalloc.stop()
     assert len(f.roots) == 100 and len(f.feature) == nodes.count() == 40_100 and f.depth.max() == 200
     assert peak < 400 * len(f.feature)
+
+
+def test_open_nodes_are_counted_in_passes(points, monkeypatch):
+    """With fewer cells at once there are more passes, each of a bounded number of nodes, and the same trees."""
+    _, _, df = points
+    grown = lambda: sorted((r.tree, r.node, r.feature, r.threshold, r.size) for r in histogram.fit(df, "id", F.col("x"), F.col("y"), WEIGHTS, WIDTH, trees=4, depth=7, bins=BINS, tried=3, seed=5, local=60).collect())
+    want, seen, splits = grown(), [], histogram._splits
+    monkeypatch.setattr(histogram, "_DENSE", 3 * 3 * BINS * K)
+    monkeypatch.setattr(histogram, "_splits", lambda rows, arrays, open_, *rest: seen.append(len(open_)) or splits(rows, arrays, open_, *rest))
+    assert grown() == want
+    assert seen[:2] == [3, 1] and max(seen) == 3

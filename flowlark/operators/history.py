@@ -74,6 +74,13 @@ class _Parts:
         own = seq // self.size
         return own, np.clip(self.before(start), self.low[own], self.high[own])
 
+    def times(self, seq: np.ndarray, start: np.ndarray, history: int) -> np.ndarray:
+        """To how many parts shown() shows each row, at most."""
+        own, start_in = self.of(seq, start)
+        n = self.high[own] - start_in + 1 + np.searchsorted(self.low, own, side="right") - np.searchsorted(self.high, own, side="left")
+        after = np.minimum(own + 1, len(self.firsts) - 1)
+        return n + np.where(seq >= (own + 1) * self.size - history, self.high[after] - self.low[after] + 1, 0)
+
     def shown(self, seq: np.ndarray, start: np.ndarray, history: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, part) for every part that needs the row: its own and later ones of its chunk, those whose windows start in its
         chunk, and those of the next chunk if the row is among the ``history`` rows before it."""
@@ -102,6 +109,26 @@ class _Parts:
         return np.concatenate(rows), np.concatenate(parts)
 
 
+#: Copies of rows that are made at a time: few rows may be shown to many parts, where their windows start far apart.
+SHOWN = 1 << 16
+
+
+def _deal(batches, parts: _Parts, history: int) -> Iterator[pa.RecordBatch]:
+    """The rows with each part that needs them, at most SHOWN at a time and a row's parts more."""
+    for b in batches:
+        seq, start = b.column("seq").to_numpy(), _starts(b.column("start_us"))
+        piece = np.cumsum(parts.times(seq, start, history)) // SHOWN
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(seq)]
+        for low, high in zip(cuts, cuts[1:]):
+            row, part = parts.shown(seq[low:high], start[low:high], history)
+            some = b.slice(low, high - low).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *some.columns], names=["part", *some.schema.names])
+
+
+def _starts(c) -> np.ndarray:
+    return pc.fill_null(c, int(_LEAST)).to_numpy()
+
+
 #: Counted keys: prefix, columns, what of them (all, half-open, rejected), and whether in the time window or the last rows.
 _SETS = (("h", ("dst",), "ner", True), ("s", ("service",), "ner", True), ("hs", ("dst", "service"), "ner", True), ("d", ("dst",), "ner", False), ("ds", ("dst", "service"), "ner", False), ("dp", ("dst", "dport"), "n", False))
 
@@ -175,17 +202,13 @@ def with_counts(df: DataFrame, window_us: int, history: int = 100) -> DataFrame:
     flag = F.lower("flag")
     state = {"e": flag.isin(fixed.HALF_OPEN), "r": flag.isin(fixed.REJECTED)}
     rows = df.select("seq", "start_us", *(F.col(c).cast("string").alias(c) for c in ("dst", "service", "dport")), *(F.coalesce(v, F.lit(False)).cast("int").alias(k) for k, v in state.items()))
-    starts = lambda c: pc.fill_null(c, int(_LEAST)).to_numpy()
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, part = parts.shown(b.column("seq").to_numpy(), starts(b.column("start_us")), history)
-            some = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *some.columns], names=["part", *some.schema.names])
+        return _deal(batches, parts, history)
 
     def summed(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, begin = parts.of(b.column("seq").to_numpy(), starts(b.column("start_us")))
+            own, begin = parts.of(b.column("seq").to_numpy(), _starts(b.column("start_us")))
             part = parts.first[own] + begin - parts.low[own]
             t = pa.table({"part": part, "chunk": own, "begin": begin, **{c: b.column(c) for c in ("dst", "service")}, "n": np.ones(len(own), np.int64), **{c: pc.cast(b.column(c), pa.int64()) for c in "er"}})
             keys = ["part", "chunk", "begin", "dst", "service"]
@@ -196,7 +219,7 @@ def with_counts(df: DataFrame, window_us: int, history: int = 100) -> DataFrame:
         if not len(rows):
             return pa.table([pa.array([], pa.int64())] * (1 + len(COUNTS)), ["seq", *COUNTS])
         rows = rows.sort_by("seq")
-        seq, start, part = rows.column("seq").to_numpy(), starts(rows.column("start_us")), rows.column("part")[0].as_py()
+        seq, start, part = rows.column("seq").to_numpy(), _starts(rows.column("start_us")), rows.column("part")[0].as_py()
         c = int(np.searchsorted(parts.first, part, side="right")) - 1
         p = int(part - parts.first[c] + parts.low[c])
         own, begin = parts.of(seq, start)

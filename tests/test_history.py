@@ -75,3 +75,24 @@ def test_chunks_do_not_grow_with_the_table(spark):
     """A task's rows are the same few over four times as many connections."""
     sizes = [history._edges(spark.range(n).selectExpr("id as seq", "id as start_us"), 1000, 100)[0] for n in (1_000_000, 4_000_000)]
     assert sizes[0] == sizes[1] <= 20_000
+
+
+def test_rows_are_dealt_a_few_at_a_time():
+    """After a burst within one window and a pause, the windows of one chunk's rows start in all chunks before, and each row of it
+    is shown to hundreds of parts. The copies of a batch are made a few at a time, whatever the number of chunks."""
+    import numpy as np
+    import pyarrow as pa
+
+    size, last, n = 1000, 100, 400_500
+    seq = np.arange(n)
+    start = np.concatenate([np.arange(n - 500), np.arange(500) * 1000 + n + 400_000])  # the last chunk's second half starts later
+    window = 500_000
+    parts = history._Parts(size, np.array([start[i] for i in range(0, n, size)]), int(start[-1]), window)
+    batch = pa.record_batch({"seq": pa.array(seq[-2 * size :]), "start_us": pa.array(start[-2 * size :]), "dst": pa.array(["a"] * 2 * size)})
+    row, part = parts.shown(seq[-2 * size :], start[-2 * size :], last)
+    assert len(row) > 4 * history.SHOWN
+    assert (np.bincount(row) <= parts.times(seq[-2 * size :], start[-2 * size :], last)).all()
+    got = list(history._deal(iter([batch]), parts, last))
+    assert max(b.num_rows for b in got) <= history.SHOWN + len(parts.firsts) * 2
+    dealt = [(p, s) for b in got for p, s in zip(b.column("part").to_pylist(), b.column("seq").to_pylist())]
+    assert sorted(dealt) == sorted(zip(part.tolist(), seq[-2 * size :][row].tolist()))

@@ -292,8 +292,10 @@ def q_value_fractions(spark, sf_dir):
 def q_derived_all(spark, sf_dir):
     """All fourteen derived features of connections with history."""
     df = hist(spark, sf_dir)
-    shares = {r["service"]: r["share"] for r in features.service_shares(conn(spark, sf_dir)).limit(features.MOST_VALUES).collect()}  # without history
-    d = C.derived(df, F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("service")))
+    # without history, and of any number of services: as a table its size is known, so that it is broadcast if it is small
+    shares = table(features.service_shares(conn(spark, sf_dir)).select(F.col("service").alias("_service"), "share"))
+    df = df.join(shares, C.words(df, "service") == F.col("_service"))  # each row's service is one of them
+    d = C.derived(df, F.col("share"))
     return df.select("flow_id", *((F.round(c, 6) if k.startswith("log_") else c).alias(k) for k, c in d.items()))
 
 

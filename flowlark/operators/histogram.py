@@ -4,7 +4,7 @@ Rows become bytes of bin codes once. A row's weight in a tree is a Poisson draw
 stored and any task can redraw it. Nodes with many rows are split level by level: one pass counts (tree, node, feature, bin,
 class) for all open nodes, partial counts are summed in one shuffle, and each node's best split is found from its cells alone.
 A node whose rows fit a task is finished there, with the same counts and the same choice of features, so where that
-happens does not change the trees.
+happens does not change the trees. Rows travel to that task in blocks of many rows, not one by one.
 """
 
 from __future__ import annotations
@@ -22,15 +22,19 @@ from flowlark.operators.binning import exact_quantiles
 from flowlark.operators.forests import MOST_NODES, NODES, shared
 from flowlark.session import table
 
-#: Weighted rows of a node that one task finishes.
-LOCAL = 50_000
+#: Weighted rows of a node that one task finishes: some 200 bytes each there.
+LOCAL = 2_000_000
+#: Rows that a task looks at together, and rows of small nodes that are split together.
+_SLAB, _TOGETHER = 131_072, 16_384
+#: Rows from which a node of a task is counted by itself.
+_LARGE = 1_024
 #: Rows of a node below which it is not split.
 LEAST_ROWS = 4
 #: Cells that a task counts at once; open nodes with more are counted in several passes, each over the trees that it counts.
 _DENSE = 4_000_000
 
 _SPLIT = "tree int, node long, feature int, bin int, left array<long>, right array<long>"
-_GROWN = "tree int, node long, feature int, bin int, counts array<long>"
+_GROWN = "tree int, node long, feature int, bin int, counts array<long>, gain double"
 
 
 # ---- bootstrap weights ------------------------------------------------------------------------------------------
@@ -54,9 +58,20 @@ POISSON = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in
 
 def bag_weights(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row (64-bit ids) is in the tree's bag."""
+    return _bag(*_halves(rows), tree, seed)
+
+
+def _halves(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     r = rows.astype(np.int64).view(np.uint64)
-    h = mixed(mixed(r.astype(np.uint32) ^ np.uint32(tree_key(tree, seed))) ^ (r >> np.uint64(32)).astype(np.uint32))
-    return np.searchsorted(np.array(POISSON, np.uint32), h, side="right")
+    return r.astype(np.uint32), (r >> np.uint64(32)).astype(np.uint32)
+
+
+def _bag(low: np.ndarray, high: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    h = mixed(mixed(low ^ np.uint32(tree_key(tree, seed))) ^ high)
+    out = np.zeros(len(h), np.uint8)
+    for p in POISSON:
+        out += h >= np.uint32(p)
+    return out
 
 
 # ---- one node ----------------------------------------------------------------------------------------------------
@@ -73,8 +88,7 @@ def best_split(cells: np.ndarray, weights: np.ndarray, leaf: float) -> tuple[int
     The score is the sum over both sides of squared class weights over the side's weight; it grows as Gini impurity falls.
     None if no split leaves ``leaf`` on both sides or improves on the whole.
     """
-    w = cells * weights
-    left = np.cumsum(w, axis=1)
+    left = np.cumsum(cells, axis=1) * weights
     whole = left[:, -1:]
     right = whole - left
     nl, nr = left.sum(axis=2), right.sum(axis=2)
@@ -87,33 +101,121 @@ def best_split(cells: np.ndarray, weights: np.ndarray, leaf: float) -> tuple[int
     return at // score.shape[1], at % score.shape[1]
 
 
+def best_splits(part: np.ndarray, label: np.ndarray, times: np.ndarray, sizes: np.ndarray, counts: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """best_split() of many small nodes: place of the feature (-1: none) and bin of each. ``part`` has the codes of the features
+    that a row's node tries; rows are in the order of nodes, of which each has ``sizes``. Only bins that have rows are looked at."""
+    k, tried, m = len(p["weights"]), part.shape[1], len(sizes)
+    label_bits, bin_bits = (k - 1).bit_length(), (p["bins"] - 1).bit_length()
+    node = np.repeat(np.arange(m), sizes)
+    key = (((node[:, None] * tried + np.arange(tried)) << bin_bits | part) << label_bits | label[:, None]) << 4 | times[:, None]  # times are 12 at most
+    key = np.sort(key.ravel().astype(np.int32 if (m * tried) << (bin_bits + label_bits + 4) < 1 << 31 else np.int64))
+    each, of = key & 15, (key >> 4) & ((1 << label_bits) - 1)
+    cell = key >> (label_bits + 4)
+    at = np.flatnonzero(np.append(cell[1:] != cell[:-1], True))  # the last entry of each bin
+    run = cell[at] >> bin_bits  # node and feature
+    node = run // tried
+    begin = (np.repeat(tried * (np.cumsum(sizes) - sizes), tried) + np.tile(np.arange(tried), m) * np.repeat(sizes, tried))[run]
+    nl, nr, sl, sr = (np.zeros(len(at)) for _ in range(4))
+    total, square = np.zeros(m), np.zeros(m)
+    for j, weight in enumerate(p["weights"]):
+        upto = np.concatenate([[0], np.cumsum(each * (of == j), dtype=np.int64)])
+        whole = counts[:, j] * weight
+        left = (upto[at + 1] - upto[begin]) * weight
+        right = whole[node] - left
+        nl, nr, sl, sr = nl + left, nr + right, sl + left**2, sr + right**2
+        total, square = total + whole, square + whole**2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where((nl >= p["leaf"]) & (nr >= p["leaf"]), sl / nl + sr / nr, -np.inf)
+    top = np.maximum.reduceat(score, np.searchsorted(node, np.arange(m)))
+    near = np.flatnonzero(score >= (top - 1e-10 * total)[node])
+    first = near[np.append(True, np.diff(node[near]) > 0)]  # every node has one
+    better = score[first] > square / total + 1e-9
+    return np.where(better, run[first] % tried, -1), cell[at[first]] & ((1 << bin_bits) - 1)
+
+
 def is_leaf(counts: np.ndarray, depth: int, most: int, leaf: float) -> bool:
     return depth >= most or (counts > 0).sum() <= 1 or counts.sum() < max(LEAST_ROWS, 2 * leaf)
 
 
-def grow(codes: np.ndarray, label: np.ndarray, times: np.ndarray, tree: int, node: int, p: dict) -> list[tuple]:
-    """(tree, node, feature, bin, counts) of the subtree at ``node`` over rows that are ``times`` in the bag."""
-    k, bins, out = len(p["weights"]), p["bins"], []
-    stack = [(node, np.arange(len(label)))]
-    while stack:
-        node, rows = stack.pop()
-        y, t = label[rows], times[rows]
-        counts = np.bincount(y, weights=t, minlength=k).astype(np.int64)
-        found = None
-        if not is_leaf(counts, node.bit_length() - 1, p["depth"], p["leaf"]):
-            tried = features_of(tree, node, codes.shape[1], p["tried"], p["seed"])
-            part = codes[rows[:, None], tried[None, :]]
-            keys = (np.arange(len(tried)) * bins + part) * k + y[:, None]
-            cells = np.bincount(keys.ravel(), weights=np.repeat(t, len(tried)), minlength=len(tried) * bins * k)
-            found = best_split(cells.reshape(len(tried), bins, k), p["weights"], p["leaf"])
-        if found is None:
-            out.append((tree, node, -1, -1, counts.tolist()))
-            continue
-        f, b = int(tried[found[0]]), found[1]
-        out.append((tree, node, f, b, counts.tolist()))
-        low = part[:, found[0]] <= b
-        stack += [(2 * node + 1, rows[~low]), (2 * node, rows[low])]
-    return out
+def mass(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weight times Gini impurity of nodes (counts by class on the last axis)."""
+    w = counts * weights
+    total = w.sum(axis=-1)
+    return total - (w**2).sum(axis=-1) / np.where(total > 0, total, 1.0)
+
+
+def gain_of(counts: np.ndarray, left: np.ndarray, right: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Impurity that a split takes away."""
+    return (mass(counts, weights) - mass(left, weights) - mass(right, weights)) / (counts * weights).sum(axis=-1)
+
+
+def grow(codes: np.ndarray, label: np.ndarray, times: np.ndarray, tree: int, node: int, p: dict) -> dict[str, np.ndarray]:
+    """node, feature, bin, counts and gain of the subtree at ``node`` over rows that are ``times`` in the bag; ``codes`` by feature and row.
+
+    All nodes of a level at once: rows lie in the order of nodes. Nodes of many rows are counted one by one, others together.
+    """
+    k, bins, width, weights = len(p["weights"]), p["bins"], len(codes), p["weights"]
+    by_row = np.ascontiguousarray(codes.T).ravel()
+    joint = codes.astype(np.int16 if bins * k < 1 << 15 else np.int32) * k + label.astype(np.int16)
+    kept = {f: i for i, f in enumerate(p["kept"])}  # other features have one value
+    column = np.full(p["features"], -1)
+    column[p["kept"]] = np.arange(width)
+    times8, out = times.astype(np.int64), []
+    heap, sizes, rows = np.array([node]), np.array([len(label)]), np.arange(len(label))
+    while len(heap):
+        at = np.repeat(np.arange(len(heap)), sizes)
+        y, t = label[rows].astype(np.int64), times8[rows]
+        counts = np.bincount(at * k + y, weights=t, minlength=len(heap) * k).reshape(-1, k).astype(np.int64)
+        leaf = ((counts > 0).sum(axis=1) <= 1) | (counts.sum(axis=1) < max(LEAST_ROWS, 2 * p["leaf"])) | (int(heap[0]).bit_length() - 1 >= p["depth"])
+        feature, bin_, starts = np.full(len(heap), -1), np.full(len(heap), -1), np.cumsum(sizes) - sizes
+        inner = np.flatnonzero(~leaf)
+        tried = np.full((len(heap), p["tried"]), -1)
+        for i in inner:
+            tried[i] = features_of(tree, int(heap[i]), p["features"], p["tried"], p["seed"])
+        large = sizes[inner] >= _LARGE
+        for i in inner[large]:
+            here = slice(starts[i], starts[i] + sizes[i])
+            some, tw = rows[here], t[here].astype(float)
+            cells = np.zeros((p["tried"], bins, k))
+            cells[:, 0] = counts[i]
+            for slot, f in enumerate(tried[i]):
+                if (f := int(f)) in kept:
+                    cells[slot] = np.bincount(joint[kept[f]].take(some), weights=tw, minlength=bins * k).reshape(bins, k)
+            if (found := best_split(cells, weights, p["leaf"])) is not None:
+                feature[i], bin_[i] = tried[i, found[0]], found[1]
+        small = inner[~large]
+        piece = np.cumsum(sizes[small]) // _TOGETHER
+        for some in np.split(small, np.flatnonzero(np.diff(piece)) + 1):
+            if not len(some):
+                continue
+            n = sizes[some]
+            where = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            columns = np.repeat(column[tried[some]], n, axis=0)
+            part = np.where(columns >= 0, by_row.take(rows[where][:, None] * width + columns), 0)
+            slot, b = best_splits(part, y[where], t[where], n, counts[some], p)
+            feature[some] = np.where(slot >= 0, tried[some, slot], -1)
+            bin_[some] = np.where(slot >= 0, b, -1)
+        split = feature >= 0
+        gain = np.zeros(len(heap))
+        going = split[at]
+        at, rows, y, t = at[going], rows[going], y[going], t[going]
+        right = by_row.take(rows * width + column[feature][at]) > bin_[at]
+        both, child = np.flatnonzero(split), np.cumsum(split) - 1
+        to = child[at] * 2 + right
+        under = np.bincount(to * k + y, weights=t, minlength=len(both) * 2 * k).reshape(-1, 2, k)
+        gain[both] = gain_of(counts[both], under[:, 0], under[:, 1], weights)
+        out.append((heap, feature, bin_, counts, gain))
+        sizes = np.bincount(to, minlength=2 * len(both))
+        before = np.cumsum(right) - right  # rows before that go right
+        first = np.cumsum(sizes) - sizes
+        start = first[0::2]  # of a node's rows, that of its left child's
+        less = before - (before[start] if len(start) else before)[child[at]]
+        place = np.where(right, first[to] + less, start[child[at]] + np.arange(len(at)) - start[child[at]] - less)
+        moved = np.empty_like(rows)
+        moved[place] = rows
+        rows = moved
+        heap = (heap[both, None] * 2 + np.arange(2)).ravel()
+    return dict(zip(("node", "feature", "bin", "counts", "gain"), map(np.concatenate, zip(*out)), strict=True))
 
 
 # ---- all trees ---------------------------------------------------------------------------------------------------
@@ -173,8 +275,17 @@ def coded(df: DataFrame, row_id: str, vector: Column, label: Column, edges: list
     return rows.mapInArrow(work, "row long, label int, codes binary")
 
 
-def _matrix(b: pa.RecordBatch, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, n)
+def _slabs(batches, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, labels and codes (by row) of some _SLAB rows at a time."""
+    held, rows = [], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, n)))
+        rows += b.num_rows
+        if rows >= _SLAB:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, rows = [], 0
+    if rows:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def fit(
@@ -191,19 +302,31 @@ def fit(
     return table(_nodes(grown(table(coded(df, row_id, vector, label, edges)), features, weights, trees, depth, leaf, bins, tried, seed, local), weights, edges))
 
 
+def _varying(rows: DataFrame, features: int) -> np.ndarray:
+    """The features that have any code but 0; others have no split and need not travel."""
+
+    def look(batches) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(features, bool)
+        for _, _, codes in _slabs(batches, features):
+            found |= codes.any(axis=0)
+        yield pa.record_batch([pa.array(np.flatnonzero(found), pa.int32())], ["feature"])
+
+    return np.array(sorted(r["feature"] for r in rows.mapInArrow(look, "feature int").distinct().collect()), int)
+
+
 def grown(rows: DataFrame, features: int, weights: list[float], trees: int, depth: int, leaf: float, bins: int, tried: int, seed: int, local: int = LOCAL) -> DataFrame:
-    """tree, node, feature, bin, counts of all nodes over rows of codes, numbered as in a heap."""
+    """tree, node, feature, bin, counts, gain of all nodes over rows of codes, numbered as in a heap."""
     spark, k = rows.sparkSession, len(weights)
-    p = {"weights": np.array(weights), "bins": bins, "depth": depth, "leaf": leaf, "tried": tried, "seed": seed}
+    p = {"weights": np.array(weights), "bins": bins, "depth": depth, "leaf": leaf, "tried": tried, "seed": seed, "features": features, "kept": _varying(rows, features)}
     state = _Trees(trees)
     done: list[tuple] = []
 
     def roots(batches) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((trees, k), np.int64)
         for b in batches:
-            ids, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            halves, y = _halves(b.column(0).to_numpy()), b.column(1).to_numpy()
             for t in range(trees):
-                sums[t] += np.bincount(y, weights=bag_weights(ids, t, seed), minlength=k).astype(np.int64)
+                sums[t] += np.bincount(y, weights=_bag(*halves, t, seed), minlength=k).astype(np.int64)
         yield pa.record_batch([pa.array(np.repeat(np.arange(trees), k), pa.int32()), pa.array(np.tile(np.arange(k), trees), pa.int32()), pa.array(sums.ravel(), pa.int64())], ["tree", "label", "n"])
 
     first = np.zeros((trees, k), np.int64)
@@ -215,7 +338,7 @@ def grown(rows: DataFrame, features: int, weights: list[float], trees: int, dept
         for place, counts in fresh:
             node = state.node[place]
             if is_leaf(counts, node.bit_length() - 1, depth, leaf):
-                done.append((state.tree[place], node, -1, -1, counts.tolist()))
+                done.append((state.tree[place], node, -1, -1, counts.tolist(), 0.0))
             elif counts.sum() <= local:
                 state.state[place] = -1
             else:
@@ -233,11 +356,12 @@ def grown(rows: DataFrame, features: int, weights: list[float], trees: int, dept
         for place in open_:
             key = (state.tree[place], state.node[place])
             if (r := found.get(key)) is None:
-                done.append((*key, -1, -1, counts_of[place].tolist()))
+                done.append((*key, -1, -1, counts_of[place].tolist(), 0.0))
                 continue
-            done.append((*key, r["feature"], r["bin"], counts_of[place].tolist()))
+            left, right = np.array(r["left"]), np.array(r["right"])
+            done.append((*key, r["feature"], r["bin"], counts_of[place].tolist(), float(gain_of(counts_of[place], left, right, p["weights"]))))
             child = state.split(place, r["feature"], r["bin"])
-            fresh += [(child, np.array(r["left"])), (child + 1, np.array(r["right"]))]
+            fresh += [(child, left), (child + 1, right)]
     out = spark.createDataFrame(done, _GROWN)
     if -1 in state.state:
         out = out.unionByName(_finished(rows, state.arrays(), features, p))
@@ -256,32 +380,28 @@ def _splits(rows: DataFrame, arrays: dict[str, np.ndarray], open_: list[int], fe
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         a, of, places = shared.value
-        cells = tried * bins * k
-        dense = np.zeros(len(of) * cells, np.int64)
-        for b in batches:
-            ids, y, codes = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b, features)
-            for t, low, high in ranges:  # a tree's open nodes are next to each other, and so are their cells
-                w = bag_weights(ids, t, p["seed"])
+        dense = np.zeros((len(of), tried, bins * k))
+        for ids, y, codes in _slabs(batches, features):
+            halves = _halves(ids)
+            joint = codes.T.astype(np.int16 if bins * k < 1 << 15 else np.int32, order="C") * k + y.astype(np.int16)
+            for t, low, high in ranges:  # a tree's open nodes are next to each other
+                w = _bag(*halves, t, p["seed"])
                 at = np.flatnonzero(w > 0)  # the others need not walk the tree
                 number = a["number"].take(_places(a, t, codes, at))
-                at, number = at[number >= 0], number[number >= 0]
-                if not len(at):
-                    continue
-                codes_of = codes.ravel().take(at[:, None] * features + of.take(number, axis=0))
-                keys = ((((number[:, None] - low) * tried + np.arange(tried)) * bins + codes_of) * k + y[at, None]).ravel()
-                dense[low * cells : high * cells] += np.bincount(keys, weights=np.repeat(w[at], tried), minlength=(high - low) * cells).astype(np.int64)
-        held = np.flatnonzero(dense)
-        rest, label = np.divmod(held, k)
-        rest, bin_ = np.divmod(rest, bins)
-        place, slot = np.divmod(rest, tried)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        columns = (a["tree"][places[place]], a["node"][places[place]], slot, bin_, label, dense[held])
-        yield pa.record_batch([pa.array(v, kind) for v, kind in zip(columns, kinds, strict=True)], ["tree", "node", "slot", "bin", "label", "n"])
+                order = np.argsort(number, kind="stable")
+                at, number = at[order], number[order]
+                for i, begin, end in zip(range(low, high), *(np.searchsorted(number, np.arange(low, high), side=side) for side in ("left", "right")), strict=True):
+                    some = at[begin:end]
+                    times = w[some].astype(float)
+                    for slot, f in enumerate(of[i]):
+                        dense[i, slot] += np.bincount(joint[f].take(some), weights=times, minlength=bins * k)
+        for i in range(len(of)):
+            if dense[i].any():
+                yield pa.record_batch([pa.array([a["tree"][places[i]]], pa.int32()), pa.array([a["node"][places[i]]], pa.int64()), pa.array([dense[i].astype(np.int64).tobytes()], pa.binary())], ["tree", "node", "cells"])
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
-        cells = np.zeros((tried, bins, k), np.int64)
-        cells[pdf["slot"], pdf["bin"], pdf["label"]] = pdf["n"]
+        cells = sum(np.frombuffer(c, np.int64) for c in pdf["cells"]).reshape(tried, bins, k)
         found = best_split(cells, p["weights"], p["leaf"])
         if found is None:
             return pd.DataFrame([], columns=[c.split()[0] for c in _SPLIT.split(", ")])
@@ -290,59 +410,64 @@ def _splits(rows: DataFrame, arrays: dict[str, np.ndarray], open_: list[int], fe
         left = cells[slot, : b + 1].sum(axis=0)
         return pd.DataFrame([(tree, node, f, b, left.tolist(), (cells[slot].sum(axis=0) - left).tolist())], columns=[c.split()[0] for c in _SPLIT.split(", ")])
 
-    cells = rows.mapInArrow(count, "tree int, node long, slot int, bin int, label int, n long")
-    cells = cells.groupBy("tree", "node", "slot", "bin", "label").agg(F.sum("n").alias("n"))
-    return cells.groupBy("tree", "node").applyInPandas(best, _SPLIT)  # at most tried * bins * classes rows a node
+    cells = rows.mapInArrow(count, "tree int, node long, cells binary")
+    return cells.groupBy("tree", "node").applyInPandas(best, _SPLIT)  # tried * bins * classes counts of each task a node
 
 
 def _finished(rows: DataFrame, arrays: dict[str, np.ndarray], features: int, p: dict) -> DataFrame:
-    """Subtrees of the nodes whose rows fit a task."""
+    """Subtrees of the nodes whose rows fit a task. Of each slab a node has one row: its labels, times and codes, feature by feature."""
     shared = rows.sparkSession.sparkContext.broadcast(arrays)
     trees = sorted({int(t) for t, s in zip(arrays["tree"], arrays["state"], strict=True) if s < 0})
+    kept = p["kept"]
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         a = shared.value
-        for b in batches:
-            ids, codes = b.column(0).to_numpy(), _matrix(b, features)
+        for ids, y, codes in _slabs(batches, features):
+            halves, columns, label = _halves(ids), np.ascontiguousarray(codes.T[kept]), y.astype(np.uint8)
             for t in trees:
-                w = bag_weights(ids, t, p["seed"])
+                w = _bag(*halves, t, p["seed"])
                 at = np.flatnonzero(w > 0)
                 place = _places(a, t, codes, at)
                 unfinished = a["state"][place] < 0
                 at, place = at[unfinished], place[unfinished]
-                if len(at):
-                    some = pa.array(at)
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(at), t), pa.int32()), pa.array(a["node"][place], pa.int64()), b.column(1).take(some), pa.array(w[at], pa.int32()), b.column(2).take(some)],
-                        ["tree", "node", "label", "times", "codes"],
-                    )
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(-1, features)
-        out = grow(codes, pdf["label"].to_numpy(), pdf["times"].to_numpy(), int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0]), p)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _GROWN.split(", ")])
-
-    dealt = rows.mapInArrow(deal, "tree int, node long, label int, times int, codes binary")
-    return dealt.groupBy("tree", "node").applyInPandas(finish, _GROWN)  # LOCAL weighted rows at most
+                order = np.argsort(place, kind="stable")
+                at, place = at[order], place[order]
+                cuts = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(at)]
+                for low, high in zip(cuts, cuts[1:]):
+                    some = at[low:high]
+                    packed = np.concatenate([label[some], w[some], *(c.take(some) for c in columns)])
+                    yield pa.record_batch([pa.array([t], pa.int32()), pa.array([a["node"][place[low]]], pa.int64()), pa.array([packed.tobytes()], pa.binary())], ["tree", "node", "packed"])
+
+    def finish(blocks: pa.Table) -> pa.Table:
+        tree, node = (blocks.column(c)[0].as_py() for c in ("tree", "node"))
+        parts = [np.frombuffer(v, np.uint8).reshape(2 + len(kept), -1) for v in blocks.column("packed").to_pylist()]
+        rows = np.concatenate(parts, axis=1)
+        del parts
+        out = grow(rows[2:], rows[0], rows[1], tree, node, p)
+        n, k = out["counts"].shape
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k), pa.int32()), pa.array(out["counts"].ravel()))
+        columns = [pa.array(np.full(n, tree), pa.int32()), pa.array(out["node"], pa.int64()), *(pa.array(out[c], pa.int32()) for c in ("feature", "bin")), counts, pa.array(out["gain"])]
+        return pa.table(columns, [c.split()[0] for c in _GROWN.split(", ")])
+
+    dealt = rows.mapInArrow(deal, "tree int, node long, packed binary")
+    return dealt.groupBy("tree", "node").applyInArrow(finish, _GROWN)  # LOCAL weighted rows at most
 
 
 def _nodes(found: DataFrame, weights: list[float], edges: list[np.ndarray]) -> DataFrame:
-    """The node table of grown(): thresholds for bins, distributions for counts, and the impurity that a split takes away."""
+    """The node table of grown(): thresholds for bins and distributions for counts."""
     w = F.array(*map(F.lit, map(float, weights)))
     # a split after bin b sends values up to the b-th edge to the left
     flat = [[float(v) for v in e] or [0.0] for e in edges]
     part = F.zip_with("counts", w, lambda n, x: n * x)
     total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
     rows = found.withColumn("parts", part).withColumn("weight", total).withColumn("value", F.transform("parts", lambda x: F.try_divide(x, F.col("weight"))))
-    rows = rows.withColumn("impurity", 1.0 - F.aggregate("value", F.lit(0.0), lambda a, x: a + x * x)).withColumn("mass", F.col("weight") * F.col("impurity"))
-    below = rows.filter("node > 1").groupBy("tree", (F.floor(F.col("node") / 2)).cast("long").alias("node")).agg(F.sum("mass").alias("below"))
     inner = F.col("feature") >= 0
     at = F.get(F.get(F.lit(flat), F.col("feature")), F.col("bin"))
-    return rows.join(below, ["tree", "node"], "left").select(
+    return rows.select(
         "tree", F.col("node").cast("int").alias("node"), "feature", F.when(inner, at).otherwise(0.0).alias("threshold"),
         F.when(inner, 2 * F.col("node")).otherwise(-1).cast("int").alias("left"), F.when(inner, 2 * F.col("node") + 1).otherwise(-1).cast("int").alias("right"),
         F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"), "value",
-        F.when(inner, F.try_divide(F.col("mass") - F.col("below"), F.col("weight"))).otherwise(0.0).alias("gain"), "impurity", "weight",
+        "gain", (1.0 - F.aggregate("value", F.lit(0.0), lambda a, x: a + x * x)).alias("impurity"), "weight",
     )
 
 

@@ -208,3 +208,21 @@ def test_open_nodes_are_counted_in_passes(points, monkeypatch):
     monkeypatch.setattr(histogram, "_splits", lambda rows, arrays, open_, *rest: seen.append(len(open_)) or splits(rows, arrays, open_, *rest))
     assert grown() == want
     assert seen[:2] == [3, 1] and max(seen) == 3
+
+
+def test_small_nodes_are_split_together():
+    """Many nodes at once, of which only bins with rows are looked at, are split as each is by all its counts."""
+    rng = np.random.default_rng(12)
+    p = {"weights": np.array(WEIGHTS), "bins": BINS, "tried": 3, "leaf": 2.0}
+    sizes = rng.integers(1, 40, 300)
+    n, node = sizes.sum(), np.repeat(np.arange(300), sizes)
+    part, label, times = rng.integers(0, BINS, (n, 3)).astype(np.uint8) // rng.integers(1, 9, (300, 1))[node].astype(np.uint8), rng.integers(0, K, n), rng.integers(1, 4, n)
+    counts, want = np.zeros((300, K), np.int64), []
+    for i in range(300):
+        cells = np.zeros((3, BINS, K))
+        for f in range(3):
+            np.add.at(cells[f], (part[node == i, f], label[node == i]), times[node == i])
+        counts[i] = cells[0].sum(axis=0)
+        want.append(histogram.best_split(cells, p["weights"], 2.0))
+    slot, b = histogram.best_splits(part, label, times, sizes, counts, p)
+    assert [None if f < 0 else (f, c) for f, c in zip(slot.tolist(), b.tolist(), strict=True)] == want and None in want and len(set(want)) > 20

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,23 +18,53 @@ from flowlark.session import table
 RANGES = 1024
 
 
+def _thinned(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most RANGES of the values that stand for about as many each, and for how many; value i stands for n[i]."""
+    if len(values) <= RANGES:
+        return values, n
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(n[order])
+    at = np.searchsorted(upto, (np.arange(RANGES) + 0.5) * upto[-1] / RANGES)
+    return values[order][at], np.full(RANGES, upto[-1] / RANGES)
+
+
 def quantiles(df: DataFrame, columns: list[Column], at: list[float]) -> list[list[float]]:
     """For each column its exact quantiles at the shares ``at``, between two values in proportion; none for a column of nulls.
 
     Selection for all ranks of all columns at once: a mergeable sketch gives points that cut each column in ranges of about
-    equal size, one pass counts the ranges exactly, and only the values of ranges that hold a wanted rank are ordered, each
+    equal size, one pass counts the ranges exactly (where the cuts are plays no part in the result), and only the values of ranges that hold a wanted rank are ordered, each
     range by itself and equal values as one row. Nulls are left out, NaN is the largest value.
     """
     many = len(columns)
     rows = df.select(F.array(*(c.cast("double") for c in columns)).alias("x"))
-    grid = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    sketch = rows.agg(*(F.percentile_approx(F.get("x", F.lit(i)), grid, 4 * RANGES).alias(f"c{i}") for i in range(many))).first()
-    cuts = [np.unique(np.array(c or [], float)) for c in sketch]
 
     def values(b: pa.RecordBatch) -> np.ndarray:
         x = b.column(0).flatten()
         return x.to_numpy(zero_copy_only=False).reshape(-1, many), x.is_valid().to_numpy(zero_copy_only=False).reshape(-1, many)
 
+    def sketch(batches) -> Iterator[pa.RecordBatch]:
+        held = [[] for _ in range(many)]  # of each column points and what each stands for
+        for b in batches:
+            x, there = values(b)
+            for i, points in enumerate(held):
+                v = np.sort(x[there[:, i], i])
+                if len(v):
+                    points.append(_thinned(v, np.ones(len(v))))
+                if len(points) == 32:
+                    points[:] = [_thinned(*map(np.concatenate, zip(*points)))]
+        for i, points in enumerate(held):
+            if points:
+                v, n = _thinned(*map(np.concatenate, zip(*points)))
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64())), pa.array([n.tolist()], pa.list_(pa.float64()))], ["column", "points", "n"])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, _ = _thinned(np.concatenate(list(pdf["points"])), np.concatenate(list(pdf["n"])))
+        return pd.DataFrame({"column": pdf["column"].iloc[:1], "points": [np.unique(v)]})
+
+    cuts = [np.zeros(0) for _ in range(many)]
+    for r in rows.mapInArrow(sketch, "column int, points array<double>, n array<double>").groupBy("column").applyInPandas(cut, "column int, points array<double>").collect():  # RANGES points a column
+        cuts[r["column"]] = np.array(r["points"], float)
+
     def count(batches) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(len(c) + 1, np.int64) for c in cuts]
         for b in batches:

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from flowlark import fixed
 from flowlark.functions.columns import derived, finite, number, words
+from flowlark.session import table
 
 #: A categorical column with more values than this is refused: vocabularies are part of the plan.
 MOST_VALUES = 10_000
+#: The column of FeatureSpace.stored().
+STORED = "_features"
 
 
 def service_shares(df: DataFrame) -> DataFrame:
@@ -52,6 +55,13 @@ class FeatureSpace:
     @classmethod
     def fit(cls, df: DataFrame) -> FeatureSpace:
         """Vocabularies and service shares, then mean and deviation of every feature, in two passes of aggregation."""
+        space = cls.worded(df)
+        space.scale(df)
+        return space
+
+    @classmethod
+    def worded(cls, df: DataFrame) -> FeatureSpace:
+        """Vocabularies and service shares alone."""
         space = cls()
         for c in fixed.CATEGORICAL:
             rows = df.select(words(df, c).alias("w")).groupBy("w").count().limit(MOST_VALUES + 1).collect()
@@ -61,17 +71,27 @@ class FeatureSpace:
             if c == "service":
                 total = sum(r["count"] for r in rows)
                 space.shares = {r["w"]: r["count"] / total for r in rows}
-        sums = space.transform(df).agg(*(f(c).alias(f"{k}_{c}") for c in fixed.FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-        space.mean = [sums[f"m_{c}"] or 0.0 for c in fixed.FEATURES]
-        space.std = [s if (s := sums[f"s_{c}"] or 0.0) >= 1e-12 else 1.0 for c in fixed.FEATURES]
         return space
 
+    def scale(self, df: DataFrame) -> None:
+        """Takes mean and deviation of every feature from ``df``."""
+        sums = self.transform(df).agg(*(f(c).alias(f"{k}_{c}") for c in fixed.FEATURES for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        self.mean = [sums[f"m_{c}"] or 0.0 for c in fixed.FEATURES]
+        self.std = [s if (s := sums[f"s_{c}"] or 0.0) >= 1e-12 else 1.0 for c in fixed.FEATURES]
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table with this space's features beside its columns. To read them takes far less than to compute them, so
+        frames of which they are used more than once are stored; STORED is to be dropped before another space sees the rows."""
+        return table(df.withColumn(STORED, self.vector(df)))
+
     def columns(self, df: DataFrame) -> dict[str, Column]:
         """The features by name. They depend on which columns there are and on nothing else of ``df``, so they are kept for
         other frames: some thousand calls to the JVM, which took longer than scoring a small frame."""
         names = df.columns
-        key = (df.sparkSession, tuple(c for c in fixed.COLUMNS if c in names))
+        key = (df.sparkSession, STORED if STORED in names else tuple(c for c in fixed.COLUMNS if c in names))
         made = self.__dict__.setdefault("_columns", {})
+        if key not in made and STORED in names:
+            made[key] = {c: F.get(STORED, F.lit(i)) for i, c in enumerate(fixed.FEATURES)}
         if key not in made:
             there = SimpleNamespace(columns=names)  # names are asked for each feature
             service = words(there, "service")
@@ -89,7 +109,7 @@ class FeatureSpace:
         """The features as one array."""
         cols = self.columns(df)
         if not scaled:
-            return F.array(*cols.values())
+            return F.col(STORED) if STORED in df.columns else F.array(*cols.values())
         made = self.__dict__.setdefault("_scaled", {})
         if (key := (id(cols), tuple(self.mean), tuple(self.std))) not in made:
             made[key] = F.array(*((c - m) / s for c, m, s in zip(cols.values(), self.mean, self.std, strict=True)))

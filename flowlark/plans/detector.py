@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowlark import fixed
 from flowlark.operators import forests, fusion, histogram, rules
 from flowlark.operators.binning import novelty, quantiles
-from flowlark.operators.features import FeatureSpace
+from flowlark.operators.features import STORED, FeatureSpace
 from flowlark.session import table
 
 IDENTITY = "src_ip dst_ip dst_port start_time protocol_type service flag duration src_bytes dst_bytes count srv_count".split()
@@ -39,13 +39,28 @@ class Detector:
         benign_rows = train.filter(F.col("category") == "normal" if benign is None else benign)
         if benign_rows.limit(50).count() < 50:
             raise ValueError("at least 50 benign rows are needed")
-        space = FeatureSpace.fit(train)
+        space, train, classes, nodes = cls._forest(train, trees, seed, depth)
+        space.scale(train)
+        benign_rows = train.filter(F.col("category") == "normal" if benign is None else benign)
+        isolation = forests.fit_isolation(benign_rows, space.vector(benign_rows, scaled=True), isolation_trees, sample, seed)
+        return cls.around(train, space, classes, nodes, isolation, min(sample, benign_rows.count()), seed, benign)
+
+    @classmethod
+    def _forest(cls, train: DataFrame, trees: int, seed: int, depth: int) -> tuple[FeatureSpace, DataFrame, list[str], DataFrame]:
+        """The feature space without its scale, the rows with stored features, the classes and the supervised forest."""
+        space = FeatureSpace.worded(train)
+        train = space.stored(train)
         weights = forests.class_weights(train, "category")
         classes = sorted(weights)
         nodes = histogram.fit(train, "flow_id", space.vector(train), cls._label(classes), [weights[c] for c in classes], len(fixed.FEATURES), trees, depth, seed=seed)
         forests.shared(nodes)  # a fitted model is ready to use
-        isolation = forests.fit_isolation(benign_rows, space.vector(benign_rows, scaled=True), isolation_trees, sample, seed)
-        return cls.around(train, space, classes, nodes, isolation, min(sample, benign_rows.count()), seed, benign)
+        return space, train, classes, nodes
+
+    @classmethod
+    def oob(cls, train: DataFrame, trees: int = 120, seed: int = fixed.SEED, depth: int = 20) -> DataFrame:
+        """oob_accuracy() of a detector fitted to ``train``, of which only the supervised forest is needed."""
+        space, train, classes, nodes = cls._forest(table(train), trees, seed, depth)
+        return histogram.oob_accuracy(train, "flow_id", space.vector(train), cls._label(classes), nodes, seed)
 
     @classmethod
     def around(
@@ -87,7 +102,7 @@ class Detector:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Rule, forest and isolation results for each row (flow_id and connection features)."""
-        return self.anomaly(self.supervised(rules.with_hits(df)))
+        return self.anomaly(self.supervised(rules.with_hits(self.space.stored(df)))).drop(STORED)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Scored and fused rows. They are a table: models run once, however the result is used."""

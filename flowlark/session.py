@@ -31,10 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: it is computed once and survives lost executors."""
+    """``df`` as a table in the shared folder, read back: it is computed once and survives lost executors. What is one already stays as it is."""
+    if getattr(df, "_flowlark_table", False):
+        return df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._flowlark_table = True
+    return out

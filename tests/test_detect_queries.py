@@ -82,3 +82,33 @@ def test_evaluated_computes_history_once(spark, sf_dir, monkeypatch):
         QUERIES["q_evaluated"](spark, sf_dir)
     plan = seen.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name, step", [("q_detect", "fit"), ("q_detect_explained", "fit"), ("q_detect_oob", "oob")])
+def test_detection_computes_history_once(spark, sf_dir, monkeypatch, name, step):
+    """Models are fitted to a table and applied to it; the history of connections was computed for both."""
+    from flowlark.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(train):
+        raise Seen(train)
+
+    monkeypatch.setattr(queries.Detector, step, seen)
+    with pytest.raises(Seen) as found:
+        QUERIES[name](spark, sf_dir)
+    plan = found.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Window" not in plan
+
+
+def test_accuracy_out_of_the_bag_needs_no_other_model(spark, sf_dir):
+    """The supervised forest alone gives what the whole detector does, from features that are stored once."""
+    from flowlark.plans.detector import Detector
+    from flowlark.session import table
+
+    rows = table(hist(spark, sf_dir))
+    det = Detector.fit(rows, trees=3, isolation_trees=2, sample=32, depth=5)
+    assert Detector.oob(rows, trees=3, depth=5).collect() == det.oob_accuracy(rows).collect()
+    stored = det.space.stored(rows)
+    assert "CreateArray" not in (plan := stored.select(det.space.vector(stored))._jdf.queryExecution().optimizedPlan().toString()) and "log1p" not in plan.lower()
